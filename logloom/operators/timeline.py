@@ -24,15 +24,24 @@ SLICE = "slice"
 MAX_ROWS = 2_000_000
 
 
-def cut(log: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Add a `slice` column if some student has more than `max_rows` events."""
-    load = log.groupBy(*subject(log)).count()
+def cut(
+    log: DataFrame,
+    max_rows: int = MAX_ROWS,
+    by: Sequence[str] | None = None,
+    order: Sequence[str] = ORDER,
+) -> DataFrame:
+    """Add a `slice` column if some student (or other group) has more than `max_rows` rows.
+
+    `order` must be total within a group.
+    """
+    by = list(by or subject(log))
+    load = log.groupBy(*by).count()
     most, total = load.agg(F.max("count"), F.sum("count")).first()
     if (most or 0) <= max_rows:
         return log
     slices = math.ceil(total / max_rows)
     # Slices follow the sort order, so a higher number is never earlier for the same student.
-    ranged = log.repartitionByRange(slices, *subject(log), *ORDER)
+    ranged = log.repartitionByRange(slices, *by, *order)
     return settle(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
@@ -53,6 +62,7 @@ def along(
     running: Mapping[str, Column] | None = None,
     latest: Mapping[str, Column] | None = None,
     overall: Mapping[str, tuple[Callable[[Column], Column], Column]] | None = None,
+    order: Sequence[str] = ORDER,
 ) -> DataFrame:
     """Add columns computed over each group's events in time order.
 
@@ -65,7 +75,7 @@ def along(
     previous, following = dict(previous or {}), dict(following or {})
     running, latest, overall = dict(running or {}), dict(latest or {}), dict(overall or {})
     parts = [*by, SLICE] if is_cut(log) else by
-    here = Window.partitionBy(*parts).orderBy(*ORDER)
+    here = Window.partitionBy(*parts).orderBy(*order)
     so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.partitionBy(*parts)
 
@@ -86,7 +96,7 @@ def along(
         | {n: F.last(c, ignorenulls=True).over(so_far) for n, c in latest.items()}
         | {n: agg(c).over(everything) for n, (agg, c) in overall.items()}
     )
-    at = F.struct(*ORDER)
+    at = F.struct(*order)
     summary = log.groupBy(*parts).agg(
         F.count(F.lit(1)).alias("_events"),
         *[F.max_by(F.struct(c.alias("v")), at).alias(f"_{n}") for n, c in previous.items()],
@@ -147,8 +157,12 @@ def in_blocks(
     return gathered.select(*keys, "block", F.col("_rows.v").alias(name))
 
 
-def number_rows(log: DataFrame, by: Sequence[str] | None = None, name: str = "position") -> DataFrame:
-    """Position of each event on its time line, from 0."""
-    return along(log, by=by, running={name: F.lit(1)}).withColumn(
-        name, (F.col(name) - 1).cast("long")
-    )
+def number_rows(
+    log: DataFrame,
+    by: Sequence[str] | None = None,
+    order: Sequence[str] = ORDER,
+    name: str = "position",
+) -> DataFrame:
+    """Position of each event on its time line, or of each row in its group, from 0."""
+    counted = along(log, by=by, running={name: F.lit(1)}, order=order)
+    return counted.withColumn(name, (F.col(name) - 1).cast("long"))

@@ -19,6 +19,12 @@ def seconds_between(start: Column, end: Column) -> Column:
     return micros_between(start, end) / F.lit(float(MICROS))
 
 
+def mean_seconds(seconds: Column) -> Column:
+    """Mean of times, from their exact sum: the same in whatever order rows arrive."""
+    total = F.sum(seconds.cast("decimal(22,6)"))
+    return total.cast("double") / F.count(seconds)
+
+
 def whole_units(micros: Column, unit_seconds: int) -> Column:
     """How many whole units of `unit_seconds` fit into a non-negative time span."""
     return F.floor(micros / F.lit(unit_seconds * MICROS)).cast("long")

@@ -138,8 +138,7 @@ def verb_weights(clean: DataFrame, labels: DataFrame) -> DataFrame:
                 elasticNetParam=0.0,
                 standardization=False,
                 fitIntercept=False,
-                maxIter=1000,
-                tol=1e-10,
+                maxIter=200,
             ),
         ]
     )

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.columns import floor_ratio, seconds_between
+from logloom.functions.columns import floor_ratio, mean_seconds, seconds_between
 from logloom.operators.prepare import preprocess, real_items
 from logloom.operators.timeline import along
-from logloom.schema import ATTEMPT, DURATION, ITEM, ITEMS, STUDENT, TIME, scope, subject
+from logloom.schema import ATTEMPT, DURATION, ITEM, ITEMS, TIME, scope, subject
+from logloom.session import settle
 
 VERB_DURATION = "verb_duration"
 LEVEL = "duration_level"
@@ -41,7 +42,7 @@ def item_attempt_stats(durations: DataFrame) -> DataFrame:
     """Number of attempts, their mean and their shortest time per student and item."""
     return durations.groupBy(*subject(durations), ITEM).agg(
         F.count(DURATION).alias("attempt_times"),
-        F.avg(DURATION).alias("attempt_mean_time"),
+        mean_seconds(F.col(DURATION)).alias("attempt_mean_time"),
         F.min(DURATION).alias("attempt_min_time"),
     )
 
@@ -51,7 +52,7 @@ def item_duration_stats(durations: DataFrame, items: Sequence[str] = tuple(ITEMS
     return (
         real_items(durations, items)
         .groupBy(*scope(durations), ITEM)
-        .agg(F.avg(DURATION).alias("item_mean"), F.stddev_samp(DURATION).alias("item_std"))
+        .agg(mean_seconds(F.col(DURATION)).alias("item_mean"), F.stddev_samp(DURATION).alias("item_std"))
     )
 
 
@@ -86,7 +87,7 @@ def student_time_stats(
     valid_items = F.count_distinct(F.when(F.col("z") > valid_z, F.col(ITEM)))
     return scored.groupBy(*subject(scored)).agg(
         (valid_items / F.lit(len(items))).alias("valid_question_attempt_percent"),
-        F.avg(DURATION).alias("question_attempt_mean_time"),
+        mean_seconds(F.col(DURATION)).alias("question_attempt_mean_time"),
         F.stddev_samp(DURATION).alias("question_attempt_std_time"),
         F.avg("z").alias("scaled_question_attempt_mean_time"),
         F.stddev_pop("z").alias("scaled_question_attempt_std_time"),
@@ -113,7 +114,8 @@ def time_features(
     x_<item>_<attempt> is the attempt's time; y_<measure>_<item> describes the student's
     attempts at the item; z_<measure> describes the student.
     """
-    durations = attempt_durations(preprocess(log))
+    # Five uses below: sort the log once and keep the much shorter table of attempts.
+    durations = settle(attempt_durations(preprocess(log)))
     keys = subject(durations)
     x = melt(durations, keys, F.concat_ws("_", F.lit("x"), ITEM, ATTEMPT), [DURATION])
     y = melt(

@@ -57,12 +57,15 @@ def labelled(features: DataFrame, labels: DataFrame) -> DataFrame:
 def training_tables(
     train: DataFrame, hidden: DataFrame, labels: DataFrame
 ) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Wide train rows with label, wide hidden rows, and their common columns, no nulls."""
+    """Wide train rows with label, wide hidden rows, and their common columns, no nulls.
+
+    Training reads its rows many times, so they are written out.
+    """
     train, hidden = common_features(train, hidden)
     names = feature_names(train)
     wide_train = widen(train, names).fillna(0.0, names)
     wide_hidden = widen(hidden, names).fillna(0.0, names)
-    return labelled(wide_train, labels), wide_hidden, names
+    return settle(labelled(wide_train, labels)), wide_hidden, names
 
 
 def pipeline(names: Sequence[str], classifier: Estimator) -> Pipeline:
@@ -139,12 +142,12 @@ def grid_scores(
 ) -> DataFrame:
     """Cross-validated scores of every setting, one row each.
 
-    `data` is read once per fit, so it is written out first.
+    Every fit and every score reads its input several times, so both are written out.
     """
     rows = settle(stratified_folds(data, folds))
     table = []
     for setting, build in classifiers.items():
-        result = score(cross_predictions(rows, names, build())).first()
+        result = score(settle(cross_predictions(rows, names, build()))).first()
         table.append((*setting, *(float(x or 0.0) for x in result)))
     columns = [*parameters, "adj_auc", "adj_kappa", "adj_score"]
     return data.sparkSession.createDataFrame(table, columns)
@@ -196,9 +199,10 @@ class BoostedRegression:
         assembler = VectorAssembler(inputCols=list(names), outputCol="features")
         rows = assembler.transform(as_training(data)).select(STUDENT, LABEL, "features")
         rows = settle(rows.withColumn("weight", F.lit(1.0)))
-        # Row weights sum to 1 and C is 1, so the penalty is 1.
+        # Row weights sum to 1 and C is 1, so the penalty is 1. It is put on scaled columns:
+        # times and counts differ by orders of magnitude, and the fit would take far longer.
         regression = LogisticRegression(
-            labelCol=LABEL, weightCol="weight", regParam=1.0, standardization=False, maxIter=self.max_iter
+            labelCol=LABEL, weightCol="weight", regParam=1.0, maxIter=self.max_iter
         )
         self.assembler, self.members = assembler, []
         for turn in range(1, self.rounds + 1):

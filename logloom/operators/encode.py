@@ -123,26 +123,37 @@ def verb_weights(clean: DataFrame, labels: DataFrame) -> DataFrame:
     share = F.create_map(
         *[F.lit(float(x)) for k, v in totals.items() for x in (k, total / (len(totals) * v))]
     )
-    weighted = counts.withColumn("weight", F.col("events") * share[F.col(LABEL)]).withColumn(
-        "one", F.lit(1.0)
+    weighted = counts.select(
+        "pair", LABEL, (F.col("events") * share[F.col(LABEL)]).alias("weight"), F.lit(1.0).alias("one")
     )
+    # The intercept is the coefficient of the column `one`, so that it is penalised too. Spark
+    # fits no coefficient to a constant column; a row of zeros makes it vary, and has the same
+    # loss whatever the coefficients.
+    spark = clean.sparkSession
+    zeros = spark.createDataFrame([(None, 0.0, float(total), 0.0)], weighted.schema)
     pipeline = Pipeline(
         stages=[
-            StringIndexer(inputCol="pair", outputCol="index", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCol="index", outputCol="onehot", dropLast=False),
+            StringIndexer(
+                inputCol="pair",
+                outputCol="index",
+                stringOrderType="alphabetAsc",
+                handleInvalid="keep",
+            ),
+            OneHotEncoder(inputCol="index", outputCol="onehot", dropLast=True),
             VectorAssembler(inputCols=["onehot", "one"], outputCol="features"),
             LogisticRegression(
                 labelCol=LABEL,
                 weightCol="weight",
-                regParam=1.0 / total,
+                regParam=1.0 / (2 * total),
                 elasticNetParam=0.0,
                 standardization=False,
                 fitIntercept=False,
                 maxIter=200,
+                tol=1e-8,
             ),
         ]
     )
-    model = pipeline.fit(weighted)
+    model = pipeline.fit(weighted.unionByName(zeros))
     counts.unpersist()
     names = model.stages[0].labelsArray[0]
     coefficients = model.stages[-1].coefficients.toArray()
@@ -154,7 +165,7 @@ def verb_weights(clean: DataFrame, labels: DataFrame) -> DataFrame:
             T.StructField(WEIGHT, T.DoubleType()),
         ]
     )
-    return clean.sparkSession.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, schema)
 
 
 def verb_weight_map(clean: DataFrame, labels: DataFrame) -> DataFrame:

@@ -331,13 +331,13 @@ def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def second_bins(spark, sf_dir):
-    return bins(spark, sf_dir).select(STUDENT, SEQ, "occur_second", rounded("verb_duration"))
+    return bins(spark, sf_dir).select(STUDENT, SEQ, "occur_second", "verb_duration")
 
 
 @query
 def last_per_second(spark, sf_dir):
     last = ser.last_per_second(bins(spark, sf_dir))
-    return last.select(STUDENT, "occur_second", ITEM, ITEM_TYPE, VERB, rounded("verb_duration"))
+    return last.select(STUDENT, "occur_second", ITEM, ITEM_TYPE, VERB, "verb_duration")
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,7 +347,7 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dense_series(spark, sf_dir):
     return dense(spark, sf_dir).select(
-        STUDENT, "occur_second", ITEM, ITEM_TYPE, VERB, rounded("verb_duration")
+        STUDENT, "occur_second", ITEM, ITEM_TYPE, VERB, "verb_duration"
     )
 
 
@@ -549,7 +549,7 @@ def weight_rows(spark, sf_dir):
     binned = enc.equal_width_bins(pair_rates(spark, sf_dir), "verb_weight")
     known = settle(binned.where(F.col(ITEM) != "IT03"))
     rows = enc.weight_rows(event_log(spark, sf_dir), known, SECOND, GRID * SECOND)
-    return rows.select(STUDENT, "position", whole("verb_weight"), rounded("verb_duration"))
+    return rows.select(STUDENT, "position", whole("verb_weight"), "verb_duration")
 
 
 @query
@@ -569,7 +569,7 @@ def weight_sequences(spark, sf_dir):
     both = beh.padded(rows, "verb_weight", 0).join(
         beh.padded(rows, "verb_duration", 0.0), [STUDENT, "position"]
     )
-    return both.select(STUDENT, "position", "verb_weight", rounded("verb_duration"))
+    return both.select(STUDENT, "position", "verb_weight", "verb_duration")
 
 
 # --- Training and metrics -------------------------------------------------------------

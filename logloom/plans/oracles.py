@@ -446,12 +446,12 @@ FROM minute_grid GROUP BY 1, 2""")
 
 # --- Series ---------------------------------------------------------------------------
 add("clean_extended_info", "SELECT student_id, seq, item_id, item_type, observable FROM combined")
-add("second_bins", "SELECT student_id, seq, occur_second, round(verb_duration, 6) AS verb_duration FROM binned")
+add("second_bins", "SELECT student_id, seq, occur_second, verb_duration FROM binned")
 add("last_per_second", """
-SELECT student_id, occur_second, item_id, item_type, observable, round(verb_duration, 6) AS verb_duration
+SELECT student_id, occur_second, item_id, item_type, observable, verb_duration
 FROM last_rows""")
 add("dense_series", """
-SELECT student_id, occur_second, item_id, item_type, observable, round(verb_duration, 6) AS verb_duration
+SELECT student_id, occur_second, item_id, item_type, observable, verb_duration
 FROM dense""")
 add("series_arrays", """
 SELECT student_id, string_agg(item_id, ',' ORDER BY occur_second) AS item_id,
@@ -544,7 +544,7 @@ GROUP BY r.student_id""")
 add("weight_bins", "SELECT item_id, observable, verb_weight FROM rate_bins")
 add("weight_rows", """
 SELECT b.student_id, row_number() OVER (PARTITION BY b.student_id ORDER BY b.event_time, b.seq) - 1 AS position,
-       coalesce(w.verb_weight, 4) AS verb_weight, round(b.verb_duration, 6) AS verb_duration
+       coalesce(w.verb_weight, 4) AS verb_weight, b.verb_duration
 FROM binned b LEFT JOIN (SELECT * FROM rate_bins WHERE item_id <> 'IT03') w USING (item_id, observable)""")
 
 # --- Training and metrics -------------------------------------------------------------

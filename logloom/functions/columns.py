@@ -27,7 +27,8 @@ def mean_seconds(seconds: Column) -> Column:
 
 def whole_units(micros: Column, unit_seconds: int) -> Column:
     """How many whole units of `unit_seconds` fit into a non-negative time span."""
-    return F.floor(micros / F.lit(unit_seconds * MICROS)).cast("long")
+    unit = F.lit(unit_seconds * MICROS)
+    return ((micros - micros % unit) / unit).cast("long")
 
 
 def verb_group(verb: Column, groups: dict[str, str] | None = None) -> Column:

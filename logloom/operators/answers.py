@@ -69,38 +69,40 @@ def visit_events(visits: DataFrame) -> DataFrame:
     return visits.where((F.col(VISIT) > 0) & inside)
 
 
-def choice_answers(visits: DataFrame) -> DataFrame:
-    """The option clicked last, as a list of one."""
+def last_option() -> Column:
+    """Aggregate: the option clicked last inside a visit, as a list of one."""
     option = F.right(F.split_part(INFO, F.lit(":"), F.lit(1)), F.lit(1)).try_cast("int")
-    clicks = visit_events(visits).where(F.col(VERB) == CLICK).withColumn("_option", option)
-    return (
-        clicks.where(F.col("_option").isNotNull())
-        .groupBy(*subject(visits), ITEM)
-        .agg(F.max_by("_option", F.struct(*ORDER)).alias("_option"))
-        .select(*subject(visits), ITEM, F.array(F.col("_option").cast("string")).alias(SLOTS))
-    )
+    clicked = F.when((F.col(VISIT) > 0) & (F.col(VERB) == CLICK), option)
+    last = F.max_by(clicked, F.when(clicked.isNotNull(), F.struct(*ORDER)))
+    return F.when(last.isNotNull(), F.array(last.cast("string")))
+
+
+def last_targets(slots: int) -> Column:
+    """Aggregate: the target dropped last for each source inside visits; null where none."""
+    drops = F.when((F.col(VISIT) > 0) & (F.col(VERB) == DROP), F.from_json(INFO, DROP_FIELDS))
+
+    def target(slot: int) -> Column:
+        source = str(slot + 1)
+        own = F.filter(drops, lambda d: d["source"] == source)
+        found = F.try_element_at(own, F.lit(-1))["target"]
+        return F.max_by(found, F.when(found.isNotNull(), F.struct(*ORDER)))
+
+    targets = [target(n) for n in range(slots)]
+    return F.when(F.coalesce(*targets).isNotNull(), F.array(*targets))
+
+
+def choice_answers(visits: DataFrame) -> DataFrame:
+    """Single-choice answers of every student and item that has one."""
+    clicks = visits.where(F.col(VERB) == CLICK)
+    found = clicks.groupBy(*subject(visits), ITEM).agg(last_option().alias(SLOTS))
+    return found.where(F.col(SLOTS).isNotNull())
 
 
 def match_answers(visits: DataFrame, slots: int = 4) -> DataFrame:
-    """The target last dropped for each source, as a list by source; null where none."""
-    drops = (
-        visit_events(visits)
-        .where(F.col(VERB) == DROP)
-        .select(
-            *subject(visits), ITEM, *ORDER, F.posexplode(F.from_json(INFO, DROP_FIELDS)).alias("_n", "_drop")
-        )
-    )
-    source = F.col("_drop.source").try_cast("int")
-    at = F.struct(*ORDER, "_n")
-    per_source = [
-        F.max_by(F.col("_drop.target"), F.when(source == n + 1, at)).alias(f"_{n}")
-        for n in range(slots)
-    ]
-    return (
-        drops.groupBy(*subject(visits), ITEM)
-        .agg(*per_source)
-        .select(*subject(visits), ITEM, F.array(*[f"_{n}" for n in range(slots)]).alias(SLOTS))
-    )
+    """Match answers, lists by source, of every student and item that has one."""
+    drops = visits.where(F.col(VERB) == DROP)
+    found = drops.groupBy(*subject(visits), ITEM).agg(last_targets(slots).alias(SLOTS))
+    return found.where(F.col(SLOTS).isNotNull())
 
 
 def typed_text(code: Column, key_text: Mapping[str, str] = KEY_TEXT) -> Column:
@@ -267,20 +269,24 @@ def responses(
     visits = settled(with_visits(in_force(log)))
     keys = [*subject(visits), ITEM]
     kind = kind_of(F.col(ITEM), key)
-    answered = (
-        choice_answers(visits.where(kind == CHOICE))
-        .unionByName(match_answers(visits.where(kind == MATCH)))
-        .unionByName(blank_answers(visits.where(kind.isin(BLANK, BLANKS, COMPOSITE)), key, legacy))
+    matches = [len(accepted) for k, accepted in key.values() if k == MATCH]
+    # One pass finds who saw which item, and all answers that one event decides.
+    seen = (
+        visits.where(kind.isNotNull())
+        .groupBy(*keys)
+        .agg(last_option().alias("_option"), last_targets(max(matches, default=1)).alias("_targets"))
     )
-    seen = visits.where(kind.isNotNull()).select(*keys).distinct()
-    # Items of several blanks always count as answered, if only by empty text.
-    empty = F.when(
-        kind.isin(BLANKS, COMPOSITE), F.array_repeat(F.lit(""), slots_of(F.col(ITEM), key))
+    typed = blank_answers(visits, key, legacy).withColumnRenamed(SLOTS, "_texts")
+    # A single blank without text is no answer; several blanks always are one.
+    nothing = F.array_repeat(F.lit(""), slots_of(F.col(ITEM), key))
+    slots = (
+        F.when(kind == CHOICE, F.col("_option"))
+        .when(kind == MATCH, F.col("_targets"))
+        .when(kind == BLANK, F.when(F.col("_texts")[0] != "", F.col("_texts")))
+        .otherwise(F.coalesce("_texts", nothing))
     )
-    given = seen.join(answered, keys, "left").select(
-        *keys,
-        F.coalesce(F.when(F.array_join(SLOTS, "") != "", F.col(SLOTS)), empty).alias(SLOTS),
-        F.lit(True).alias("_seen"),
+    given = seen.join(typed, keys, "left").select(
+        *keys, slots.alias(SLOTS), F.lit(True).alias("_seen")
     )
     expected = roster.withColumn(ITEM, F.explode(F.array(*[F.lit(i) for i in key])))
     status = (

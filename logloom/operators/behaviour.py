@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.operators.prepare import base_clean, group_verbs, preprocess, with_occurrence
@@ -15,12 +13,12 @@ from logloom.schema import (
     ITEM,
     ITEM_TYPE,
     ORDER,
-    STUDENT,
     VERB,
     VERB_RUN,
     scope,
     subject,
 )
+from logloom.session import settle
 
 CHAIN = "verb_chain"
 OTHER = "OtherActions"
@@ -85,7 +83,9 @@ def behaviour_features(
     log: DataFrame, top: int = 10, support: int = 20, least: int = 10
 ) -> DataFrame:
     """All behaviour features in long form (student, feature, value)."""
-    return chain_features(verb_chains(preprocess(log)), top, support, least)
+    # Four uses follow: sort the log once and keep the much shorter table of attempts.
+    chains = settle(verb_chains(preprocess(log)))
+    return chain_features(chains, top, support, least)
 
 
 def first_of_runs(numbered: DataFrame) -> DataFrame:
@@ -131,7 +131,9 @@ def padded(tokens: DataFrame, value: str = "token", fill: str | float = "") -> D
     return tokens.select(*keys, "position", value).unionByName(filler)
 
 
-def positions_between(df: DataFrame, first, last, name: str, block: int = 1000) -> DataFrame:
+def positions_between(
+    df: DataFrame, first: Column, last: Column, name: str, block: int = 1000
+) -> DataFrame:
     """One row per whole number from `first` to `last`, made in two steps of short lists."""
     blocks = F.sequence(F.floor(first / block).cast("long"), F.floor(last / block).cast("long"))
     start = F.greatest(F.col("_block") * block, first.cast("long"))
@@ -156,12 +158,12 @@ def minute_events(
 def minute_summary(events: DataFrame) -> DataFrame:
     """Per student and minute: total level, number of verbs, distinct verbs and their list."""
     verbs = F.array_sort(F.collect_set(VERB))
-    return events.groupBy(*subject(events), "minute").agg(
+    summary = events.groupBy(*subject(events), "minute").agg(
         F.sum(LEVEL).alias("duration_level"),
         F.count(F.lit(1)).alias("verb_count"),
-        F.count_distinct(VERB).alias("unique_verb_count"),
         verbs.alias("unique_verbs"),
     )
+    return summary.withColumn("unique_verb_count", F.size("unique_verbs").cast("long"))
 
 
 def minute_series(summary: DataFrame) -> DataFrame:

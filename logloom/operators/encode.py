@@ -16,6 +16,7 @@ from logloom.operators.series import MASKED, weight_series
 from logloom.operators.timeline import MAX_ROWS, cut, number_rows, settled
 from logloom.operators.timing import beside
 from logloom.schema import ITEM, LABEL, STUDENT, VERB, scope
+from logloom.session import settle
 
 WEIGHT = "verb_weight"
 #: Weight of verbs the training log does not have, and number of weight classes.
@@ -26,7 +27,7 @@ WEIGHT_BINS = 6
 def code_book(values: DataFrame, column: str, max_rows: int = MAX_ROWS) -> DataFrame:
     """Distinct non-null values and their codes 0, 1, ... in sorted order."""
     words = values.select(column).where(F.col(column).isNotNull()).distinct()
-    words = words.withColumn("_book", F.lit(column))
+    words = settle(words.withColumn("_book", F.lit(column)))
     # A vocabulary too long for one task is numbered slice by slice.
     words = cut(words, max_rows, by=["_book"], order=[column])
     numbered = number_rows(words, by=["_book"], order=[column], name="code")
@@ -40,24 +41,24 @@ def with_codes(df: DataFrame, column: str, book: DataFrame) -> DataFrame:
 
 
 def encoded_series(
-    dense: DataFrame, columns: Sequence[str] = MASKED
+    spans: DataFrame, columns: Sequence[str] = MASKED
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The dense series with item, type and verb as codes, and the code books.
+    """The spans of dense series with item, type and verb as codes, and the code books.
 
     Books are made on train and hidden rows together. "0", the mask, sorts first and so
     gets code 0.
     """
-    books = {c: code_book(dense, c) for c in columns}
-    coded = dense
+    books = {c: code_book(spans, c) for c in columns}
+    coded = spans
     for column, book in books.items():
         coded = with_codes(coded, column, book)
     return coded, books
 
 
-def encoding_dims(dense: DataFrame, columns: Sequence[str] = MASKED) -> DataFrame:
+def encoding_dims(spans: DataFrame, columns: Sequence[str] = MASKED) -> DataFrame:
     """Number of classes of each encoded column, and of the verb weight."""
-    sets = [c for c in scope(dense) if c != "task"]
-    counts = dense.groupBy(*sets).agg(*[F.count_distinct(c).alias(c) for c in columns])
+    sets = [c for c in scope(spans) if c != "task"]
+    counts = spans.groupBy(*sets).agg(*[F.count_distinct(c).alias(c) for c in columns])
     rows = [F.struct(F.lit(c).alias("feature_type"), F.col(c).alias("dim")) for c in columns]
     weight = F.struct(F.lit(WEIGHT).alias("feature_type"), F.lit(WEIGHT_BINS).cast("long").alias("dim"))
     return counts.select(*sets, F.inline(F.array(*rows, weight)))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.columns import MICROS, whole_units
-from logloom.operators.behaviour import positions_between
 from logloom.operators.clean import clean_log
 from logloom.operators.prepare import with_elapsed
 from logloom.operators.timeline import SLICE, along, settled
@@ -36,7 +35,7 @@ def second_bins(clean: DataFrame, time_bin: int = 1, limit: int = GRID_SECONDS)
             / F.lit(float(time_bin * MICROS)),
         }
     )
-    return bins.where(F.col(SECOND) <= limit / time_bin).drop("_next", "elapsed_micros")
+    return bins.where(F.col(SECOND) <= limit // time_bin).drop("_next", "elapsed_micros")
 
 
 def last_per_second(bins: DataFrame) -> DataFrame:
@@ -52,49 +51,74 @@ def last_per_second(bins: DataFrame) -> DataFrame:
     )
 
 
-def dense_series(seconds: DataFrame, time_bin: int = 1, limit: int = GRID_SECONDS) -> DataFrame:
-    """Every student in every bin up to `limit`: values carried forward, then masked.
+def series_spans(seconds: DataFrame, time_bin: int = 1, limit: int = GRID_SECONDS) -> DataFrame:
+    """The dense series of each student as spans of bins (start, end) with equal values.
 
-    After the student's last bin, item, type and verb are "0"; the duration keeps its last
-    value. A student has limit / time_bin + 1 rows whatever the length of the log, so plain
-    windows do.
+    A value holds until the next one; after the student's last bin, item, type and verb are
+    "0" and the duration keeps its last value. Spans cover every bin from 0 to
+    limit / time_bin, yet there are no more of them than observed bins plus one, and a
+    student has a bounded number of bins, so plain windows do.
     """
-    keys = subject(seconds)
-    grid = positions_between(
-        seconds.select(*keys).distinct(), F.lit(0), F.lit(limit // time_bin), SECOND
-    )
-    rows = Window.partitionBy(*keys).orderBy(SECOND)
+    rows = Window.partitionBy(*subject(seconds)).orderBy(SECOND)
     so_far = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    observed = seconds.withColumn("_seen", F.col(SECOND))
-    joined = grid.join(observed, [*keys, SECOND], "left").withColumn(
-        "_last", F.max("_seen").over(Window.partitionBy(*keys))
+    values = (*MASKED, VERB_DURATION)
+    filled = seconds.withColumns(
+        {c: F.last(c, ignorenulls=True).over(so_far) for c in values}
+        | {"_next": F.lead(SECOND).over(rows)}
+    )
+    end = F.lit(limit // time_bin).cast("long")
+    own = F.struct(
+        F.col(SECOND).alias("start"),
+        F.coalesce(F.col("_next") - 1, F.col(SECOND)).alias("end"),
+        *values,
+    )
+    masked = F.struct(
+        (F.col(SECOND) + 1).alias("start"),
+        end.alias("end"),
+        *[F.lit(MASK).alias(c) for c in MASKED],
+        VERB_DURATION,
+    )
+    rest = F.when(F.col("_next").isNull() & (F.col(SECOND) < end), masked)
+    return filled.select(
+        *subject(seconds), F.inline(F.array_compact(F.array(own, rest)))
     )
-    carried = {c: F.last(c, ignorenulls=True).over(so_far) for c in (*MASKED, VERB_DURATION)}
-    filled = joined.withColumns(carried)
-    over = F.col(SECOND) > F.col("_last")
-    masked = {c: F.when(over, F.lit(MASK)).otherwise(F.col(c)) for c in MASKED}
-    return filled.withColumns(masked).drop("_seen", "_last")
 
 
 def second_series(log: DataFrame, time_bin: int = 1, limit: int = GRID_SECONDS) -> DataFrame:
-    """From raw events to the dense series of each student."""
+    """From raw events to the spans of each student's dense series."""
     bins = second_bins(clean_log(log), time_bin, limit)
-    return dense_series(last_per_second(bins), time_bin, limit)
+    return series_spans(last_per_second(bins), time_bin, limit)
+
+
+def dense_rows(spans: DataFrame) -> DataFrame:
+    """One row per student and bin."""
+    return spans.withColumn(SECOND, F.explode(F.sequence("start", "end"))).drop("start", "end")
 
 
-def series_arrays(dense: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per student with each column's values in order; the grid bounds the length."""
-    row = F.struct(SECOND, *columns)
-    gathered = dense.groupBy(*subject(dense)).agg(
-        F.array_sort(F.collect_list(row)).alias("_rows")
+def series_arrays(spans: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per student with each column's value in every bin, in order.
+
+    The grid bounds the length of the lists, which are made without its rows.
+    """
+    gathered = spans.groupBy(*subject(spans)).agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", *columns))).alias("_spans")
     )
-    return gathered.select(*subject(dense), *[F.col(f"_rows.{c}").alias(c) for c in columns])
+
+    def values(column: str) -> Column:
+        def repeat(span: Column) -> Column:
+            length = (span["end"] - span["start"] + 1).cast("int")
+            return F.array_repeat(span[column], length)
+
+        return F.flatten(F.transform("_spans", repeat)).alias(column)
+
+    return gathered.select(*subject(spans), *[values(c) for c in columns])
 
 
-def wide_series(dense: DataFrame, column: str, limit: int) -> DataFrame:
+def wide_series(spans: DataFrame, column: str, limit: int) -> DataFrame:
     """One row per student and one column per bin 0..limit, for a single series."""
     return (
-        dense.groupBy(*subject(dense))
+        dense_rows(spans)
+        .groupBy(*subject(spans))
         .pivot(SECOND, list(range(limit + 1)))
         .agg(F.first(column, ignorenulls=True))
     )

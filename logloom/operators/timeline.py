@@ -77,7 +77,8 @@ def along(
     parts = [*by, SLICE] if is_cut(log) else by
     here = Window.partitionBy(*parts).orderBy(*order)
     so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy(*parts)
+    # Ordered like the others, so that one sort serves all columns.
+    everything = here.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     if not is_cut(log):
         return log.withColumns(

@@ -67,7 +67,7 @@ def with_zscore(
     would put a popular item's attempts into one task.
     """
     kept = real_items(durations, items)
-    stats = fitted if fitted is not None else item_duration_stats(durations, items)
+    stats = item_duration_stats(durations, items) if fitted is None else real_items(fitted, items)
     keys = [c for c in (*scope(kept), ITEM) if c in stats.columns]
     centred = F.col(DURATION) - F.col("item_mean")
     return (

@@ -340,26 +340,26 @@ def last_per_second(spark, sf_dir):
     return last.select(STUDENT, "occur_second", ITEM, ITEM_TYPE, VERB, "verb_duration")
 
 
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ser.second_series(event_log(spark, sf_dir), SECOND, GRID * SECOND)
 
 
 @query
 def dense_series(spark, sf_dir):
-    return dense(spark, sf_dir).select(
+    return ser.dense_rows(spans(spark, sf_dir)).select(
         STUDENT, "occur_second", ITEM, ITEM_TYPE, VERB, "verb_duration"
     )
 
 
 @query
 def series_arrays(spark, sf_dir):
-    arrays = ser.series_arrays(dense(spark, sf_dir), [ITEM, VERB])
+    arrays = ser.series_arrays(spans(spark, sf_dir), [ITEM, VERB])
     return arrays.select(STUDENT, *[F.array_join(c, ",").alias(c) for c in (ITEM, VERB)])
 
 
 @query
 def encoding_dims(spark, sf_dir):
-    return enc.encoding_dims(dense(spark, sf_dir)).select(
+    return enc.encoding_dims(spans(spark, sf_dir)).select(
         "feature_type", whole("dim"), enc.embedding_width(F.col("dim")).alias("width")
     )
 
@@ -367,7 +367,7 @@ def encoding_dims(spark, sf_dir):
 @query
 def encoded_series(spark, sf_dir):
     """Label-encoded series of all students, train and hidden, with shared codes."""
-    coded, _ = enc.encoded_series(settle(dense(spark, sf_dir)))
+    coded, _ = enc.encoded_series(settle(spans(spark, sf_dir)))
     arrays = ser.series_arrays(coded, [ITEM, ITEM_TYPE, VERB])
     text = [F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in (ITEM, ITEM_TYPE, VERB)]
     return arrays.select(STUDENT, *text)
@@ -375,7 +375,7 @@ def encoded_series(spark, sf_dir):
 
 @query
 def stacked_series(spark, sf_dir):
-    arrays = settle(ser.series_arrays(dense(spark, sf_dir), [ITEM, ITEM_TYPE]))
+    arrays = settle(ser.series_arrays(spans(spark, sf_dir), [ITEM, ITEM_TYPE]))
     stack = ser.stacked({c: arrays.select(STUDENT, c) for c in (ITEM, ITEM_TYPE)})
     cell = lambda s: F.concat_ws("/", s[ITEM], s[ITEM_TYPE])
     return stack.select(STUDENT, F.array_join(F.transform("series", cell), ",").alias("series"))
@@ -539,14 +539,14 @@ def pair_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def weight_bins(spark, sf_dir):
     """Six classes of equal width, of each verb's share of labelled events."""
-    binned = enc.equal_width_bins(pair_rates(spark, sf_dir), "verb_weight")
+    binned = enc.equal_width_bins(settle(pair_rates(spark, sf_dir)), "verb_weight")
     return binned.select(ITEM, VERB, whole("verb_weight"))
 
 
 @query
 def weight_rows(spark, sf_dir):
     """Events with the weight class of their verb, 4 where the map lacks it."""
-    binned = enc.equal_width_bins(pair_rates(spark, sf_dir), "verb_weight")
+    binned = enc.equal_width_bins(settle(pair_rates(spark, sf_dir)), "verb_weight")
     known = settle(binned.where(F.col(ITEM) != "IT03"))
     rows = enc.weight_rows(event_log(spark, sf_dir), known, SECOND, GRID * SECOND)
     return rows.select(STUDENT, "position", whole("verb_weight"), "verb_duration")

@@ -38,7 +38,7 @@ CHOICE_ANSWERS = {item: (CHOICE, [["2"]]) for item in ITEMS}
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     kind = F.col("event_type")
-    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    k = F.translate("props", '{}"k: ', "").cast("int")
     item_no = (F.floor((F.dayofmonth("ts") - 1) / 3) % 4).cast("int")
     item = F.concat(F.lit("IT0"), item_no.cast("string"))
     code = (

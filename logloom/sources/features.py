@@ -16,7 +16,7 @@ from logloom.operators.encode import (
     weight_rows,
 )
 from logloom.operators.clean import clean_log
-from logloom.operators.series import MASKED, SECOND, second_series
+from logloom.operators.series import MASKED, SECOND, dense_rows, second_series
 from logloom.operators.timeline import in_blocks
 from logloom.operators.timing import VERB_DURATION
 from logloom.schema import GRID_SECONDS, STUDENT, subject
@@ -47,16 +47,17 @@ def save_all(
     `log` holds train and hidden logs of every batch; code books are shared by the tasks of
     one batch. `training_log` gives the verb weights; by default the longest train log.
     """
-    dense = settle(second_series(log, time_bin, limit))
-    write_table(encoding_dims(dense), f"{folder}/{DIMS}")
-    batches = [r[0] for r in dense.select("batch").distinct().orderBy("batch").collect()]
+    spans = settle(second_series(log, time_bin, limit))
+    write_table(encoding_dims(spans), f"{folder}/{DIMS}")
+    batches = [r[0] for r in spans.select("batch").distinct().orderBy("batch").collect()]
     if training_log is None:
         training_log = log.where((F.col("task") == "train") & (F.col("batch") == batches[-1]))
     weights = settle(verb_weight_map(clean_log(training_log), labels))
     parts = []
     for batch in batches:
-        coded, _ = encoded_series(dense.where(F.col("batch") == batch))
-        parts += [sequence_blocks(coded, c, SECOND) for c in MASKED]
+        coded, _ = encoded_series(spans.where(F.col("batch") == batch))
+        rows = dense_rows(coded)
+        parts += [sequence_blocks(rows, c, SECOND) for c in MASKED]
     rows = settle(weight_rows(log, weights, time_bin, limit))
     for column in (WEIGHT, VERB_DURATION):
         numbered = rows.withColumn(column, F.col(column).cast("double"))

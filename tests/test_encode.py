@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from logloom.operators import encode
 from logloom.operators.behaviour import padded
 from logloom.operators.clean import clean_log
-from logloom.operators.series import second_series
+from logloom.operators.series import dense_rows, second_series
 from logloom.schema import ITEM, STUDENT, VERB
 
 
@@ -21,12 +21,12 @@ def test_code_book_is_sorted_and_shared(spark):
 
 
 def test_mask_is_code_zero(make_log):
-    dense = second_series(make_log([(1, 0, "A", "x"), (2, 0, "B", "y"), (2, 3, "B", "y")]), limit=4)
-    coded, books = encode.encoded_series(dense)
-    after = coded.where((F.col(STUDENT) == 1) & (F.col("occur_second") > 0))
+    spans = second_series(make_log([(1, 0, "A", "x"), (2, 0, "B", "y"), (2, 3, "B", "y")]), limit=4)
+    coded, books = encode.encoded_series(spans)
+    after = dense_rows(coded).where((F.col(STUDENT) == 1) & (F.col("occur_second") > 0))
     assert rows(after.select(ITEM, VERB).distinct()) == [(0, 0)]
     assert rows(books[ITEM]) == [("0", 0), ("A", 1), ("B", 2)]
-    assert rows(encode.encoding_dims(dense)) == [("item_id", 3), ("item_type", 2), ("observable", 3), ("verb_weight", 6)]
+    assert rows(encode.encoding_dims(spans)) == [("item_id", 3), ("item_type", 2), ("observable", 3), ("verb_weight", 6)]
 
 
 def test_unseen_values_are_all_zeros(spark):

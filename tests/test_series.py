@@ -53,7 +53,7 @@ def test_last_value_per_second_and_column(make_log):
 
 def test_fill_and_mask(make_log):
     log = make_log([(1, 0, "A", "x"), (1, 3, "B", "y"), (2, 0, None, "z"), (2, 1, "C", "z")])
-    dense = series.second_series(log, limit=5)
+    dense = series.dense_rows(series.second_series(log, limit=5))
     assert dense.count() == 12
     one = rows(dense.where(F.col(STUDENT) == 1), "occur_second", ITEM, VERB, "verb_duration")
     assert one == [
@@ -64,10 +64,10 @@ def test_fill_and_mask(make_log):
 
 
 def test_arrays_wide_and_stacked(make_log):
-    dense = series.second_series(make_log([(1, 0, "A", "x"), (1, 2, "B", "y")]), limit=3)
-    arrays = series.series_arrays(dense, [ITEM, VERB])
+    spans = series.second_series(make_log([(1, 0, "A", "x"), (1, 2, "B", "y")]), limit=3)
+    arrays = series.series_arrays(spans, [ITEM, VERB])
     assert arrays.first()[ITEM] == ["A", "A", "B", "0"]
-    wide = series.wide_series(dense, ITEM, 3).first()
+    wide = series.wide_series(spans, ITEM, 3).first()
     assert [wide[str(n)] for n in range(4)] == ["A", "A", "B", "0"]
     frames = {c: arrays.select(STUDENT, c) for c in (ITEM, VERB)}
     stack = series.stacked(frames).first()["series"]

@@ -105,7 +105,7 @@ OPERATORS = {
     "bins": lambda log: series.second_bins(clean_log(log), 1, 100).select(
         SEQ, "occur_second", "verb_duration"
     ),
-    "dense": lambda log: series.second_series(log, 1, 140),
+    "dense": lambda log: series.dense_rows(series.second_series(log, 1, 140)),
     "in_force": lambda log: answers.in_force(log).select(SEQ, ITEM),
     "visits": lambda log: answers.with_visits(answers.in_force(log)).select(SEQ, "visit"),
     "responses": lambda log: answers.responses(

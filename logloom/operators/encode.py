@@ -15,7 +15,15 @@ from logloom.operators.clean import clean_log
 from logloom.operators.series import MASKED, weight_series
 from logloom.operators.timeline import MAX_ROWS, cut, number_rows, settled
 from logloom.operators.timing import beside
-from logloom.schema import ITEM, LABEL, STUDENT, VERB, scope
+from logloom.schema import (
+    ITEM,
+    LABEL,
+    RESPONSE_FEATURE_ITEMS,
+    STUDENT,
+    VERB,
+    scope,
+    subject,
+)
 from logloom.session import settle
 
 WEIGHT = "verb_weight"
@@ -91,6 +99,14 @@ def one_hot(model: PipelineModel, df: DataFrame, output: str = "features") -> Da
     return model.transform(df).select(*df.columns, output)
 
 
+def response_features(
+    matrix: DataFrame, items: Sequence[str] = tuple(RESPONSE_FEATURE_ITEMS)
+) -> tuple[PipelineModel, DataFrame]:
+    """One-hot vectors of each student's answers to some items, and the fitted encoding."""
+    model = one_hot_model(matrix, items)
+    return model, one_hot(model, matrix.select(*subject(matrix), *items))
+
+
 def equal_width_bins(df: DataFrame, column: str, bins: int = WEIGHT_BINS) -> DataFrame:
     """Replace a number by its class 1..bins of equal width; one value alone is class 1."""
     limits = df.agg(F.min(column).alias("_min"), F.max(column).alias("_max"))

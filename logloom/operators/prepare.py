@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.columns import changed, micros_between, parse_time, verb_group, whole_units
-from logloom.operators.timeline import along, is_cut, settled
+from logloom.operators.timeline import along, settled
 from logloom.schema import (
     ATTEMPT,
     BATCH_LIMITS,
@@ -92,9 +92,10 @@ def with_attempts(log: DataFrame) -> DataFrame:
         counted, latest={"_base": F.when(F.col("_item_start"), F.col("_verb_starts"))}
     )
     numbered = along(
-        settled(based),
+        based,
         by=[*subject(log), ITEM],
         running={ATTEMPT: F.col("_item_start").cast("int")},
+        source=counted,
     )
     has_item = F.col(ITEM).isNotNull()
     return numbered.withColumns(

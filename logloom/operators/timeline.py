@@ -63,6 +63,7 @@ def along(
     latest: Mapping[str, Column] | None = None,
     overall: Mapping[str, tuple[Callable[[Column], Column], Column]] | None = None,
     order: Sequence[str] = ORDER,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add columns computed over each group's events in time order.
 
@@ -70,6 +71,9 @@ def along(
     running: the sum up to and including this event
     latest: the last non-null value up to and including this event
     overall: an aggregate such as (F.min, column) over the whole group
+
+    `source` has the same rows and the columns used here, if that is cheaper to read a
+    second time than `log`, as the slices' summaries are made from it.
     """
     by = list(by or subject(log))
     previous, following = dict(previous or {}), dict(following or {})
@@ -98,7 +102,7 @@ def along(
         | {n: agg(c).over(everything) for n, (agg, c) in overall.items()}
     )
     at = F.struct(*order)
-    summary = log.groupBy(*parts).agg(
+    summary = (source or log).groupBy(*parts).agg(
         F.count(F.lit(1)).alias("_events"),
         *[F.max_by(F.struct(c.alias("v")), at).alias(f"_{n}") for n, c in previous.items()],
         *[F.min_by(F.struct(c.alias("v")), at).alias(f"_{n}") for n, c in following.items()],
@@ -113,7 +117,7 @@ def along(
     earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
     all_slices = Window.partitionBy(*by)
     carried = summary.select(
-        *parts,
+        *[F.col(k).alias(f"_by_{k}") for k in parts],
         *[F.lag(f"_{n}").over(slices).alias(f"_{n}") for n in previous],
         *[F.lead(f"_{n}").over(slices).alias(f"_{n}") for n in following],
         *[F.sum(f"_{n}").over(earlier).alias(f"_{n}") for n in running],
@@ -121,8 +125,8 @@ def along(
         *[agg(F.col(f"_{n}")).over(all_slices).alias(f"_{n}") for n, (agg, _) in overall.items()],
     )
     # Null group keys must meet their own summary.
-    match = [local[k].eqNullSafe(carried[k]) for k in parts]
-    both = local.join(carried, match, "left").drop(*[carried[k] for k in parts])
+    match = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in parts]
+    both = local.join(carried, match, "left").drop(*[f"_by_{k}" for k in parts])
     merged = (
         {n: F.coalesce(n, f"_{n}")["v"] for n in [*previous, *following]}
         | {

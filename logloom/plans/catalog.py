@@ -527,6 +527,16 @@ def one_hot(spark, sf_dir):
     return encoded.select(STUDENT, F.array_join(bits, "").alias("features"))
 
 
+@query
+def response_features(spark, sf_dir):
+    """One-hot answers of all students to three items, fitted on the same answers."""
+    key = adapter.CHOICE_ANSWERS
+    matrix = settle(ans.response_matrix(responses(spark, sf_dir, key), key))
+    _, encoded = enc.response_features(matrix, adapter.ITEMS[1:])
+    bits = F.transform(mod.vector_to_array("features"), lambda x: x.cast("int").cast("string"))
+    return encoded.select(STUDENT, F.array_join(bits, "").alias("features"))
+
+
 def pair_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = clean_log(adapter.event_log(spark, sf_dir))
     return (

@@ -541,6 +541,11 @@ FROM choice_text r
 JOIN (SELECT DISTINCT item_id, answer FROM choice_text
       WHERE student_id % 4 <> 0 AND item_id IN ('IT00', 'IT01')) c USING (item_id)
 GROUP BY r.student_id""")
+add("response_features", """
+SELECT r.student_id, string_agg(CASE WHEN r.answer = c.answer THEN '1' ELSE '0' END, '' ORDER BY c.item_id, c.answer) AS features
+FROM choice_text r
+JOIN (SELECT DISTINCT item_id, answer FROM choice_text WHERE item_id <> 'IT00') c USING (item_id)
+GROUP BY r.student_id""")
 add("weight_bins", "SELECT item_id, observable, verb_weight FROM rate_bins")
 add("weight_rows", """
 SELECT b.student_id, row_number() OVER (PARTITION BY b.student_id ORDER BY b.event_time, b.seq) - 1 AS position,

@@ -19,6 +19,7 @@ from logloom.schema import ORDER, subject
 from logloom.session import settle
 
 SLICE = "slice"
+GROUP = "_group"
 
 #: Rows one task may hold of one student's log, and about the size of one slice.
 MAX_ROWS = 2_000_000
@@ -78,7 +79,7 @@ def along(
     by = list(by or subject(log))
     previous, following = dict(previous or {}), dict(following or {})
     running, latest, overall = dict(running or {}), dict(latest or {}), dict(overall or {})
-    parts = [*by, SLICE] if is_cut(log) else by
+    parts = [GROUP, SLICE] if is_cut(log) else by
     here = Window.partitionBy(*parts).orderBy(*order)
     so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Ordered like the others, so that one sort serves all columns.
@@ -94,7 +95,9 @@ def along(
         )
 
     # A struct tells "no neighbour in this slice" (null) from "its value is null".
-    local = log.withColumns(
+    # A struct of the group's columns is equal to itself even where they are null.
+    group = F.struct(*by).alias(GROUP)
+    local = log.select("*", group).withColumns(
         {n: F.lag(F.struct(c.alias("v"))).over(here) for n, c in previous.items()}
         | {n: F.lead(F.struct(c.alias("v"))).over(here) for n, c in following.items()}
         | {n: F.sum(c).over(so_far) for n, c in running.items()}
@@ -102,7 +105,7 @@ def along(
         | {n: agg(c).over(everything) for n, (agg, c) in overall.items()}
     )
     at = F.struct(*order)
-    summary = (source or log).groupBy(*parts).agg(
+    summary = (source or log).groupBy(group, SLICE).agg(
         F.count(F.lit(1)).alias("_events"),
         *[F.max_by(F.struct(c.alias("v")), at).alias(f"_{n}") for n, c in previous.items()],
         *[F.min_by(F.struct(c.alias("v")), at).alias(f"_{n}") for n, c in following.items()],
@@ -113,20 +116,18 @@ def along(
         ],
         *[agg(c).alias(f"_{n}") for n, (agg, c) in overall.items()],
     )
-    slices = Window.partitionBy(*by).orderBy(SLICE)
+    slices = Window.partitionBy(GROUP).orderBy(SLICE)
     earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
-    all_slices = Window.partitionBy(*by)
+    all_slices = Window.partitionBy(GROUP)
     carried = summary.select(
-        *[F.col(k).alias(f"_by_{k}") for k in parts],
+        *parts,
         *[F.lag(f"_{n}").over(slices).alias(f"_{n}") for n in previous],
         *[F.lead(f"_{n}").over(slices).alias(f"_{n}") for n in following],
         *[F.sum(f"_{n}").over(earlier).alias(f"_{n}") for n in running],
         *[F.last(f"_{n}", ignorenulls=True).over(earlier).alias(f"_{n}") for n in latest],
         *[agg(F.col(f"_{n}")).over(all_slices).alias(f"_{n}") for n, (agg, _) in overall.items()],
     )
-    # Null group keys must meet their own summary.
-    match = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in parts]
-    both = local.join(carried, match, "left").drop(*[f"_by_{k}" for k in parts])
+    both = local.join(carried, parts, "left").drop(GROUP)
     merged = (
         {n: F.coalesce(n, f"_{n}")["v"] for n in [*previous, *following]}
         | {

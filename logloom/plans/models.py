@@ -5,7 +5,9 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -27,6 +29,9 @@ BOOSTING_ROUNDS = [500, 1000, 1500, 2000, 2500]
 CROSS_VALIDATION = 3
 # --- End of fixed values. -------------------------------------------------------------
 
+#: Settings of a grid that are tried at the same time.
+PARALLELISM = 4
+
 
 def random_forest(
     trees: int = 3000, feature_fraction: float = 0.3, seed: int = 0, max_depth: int = 10
@@ -139,16 +144,22 @@ def grid_scores(
     classifiers: dict[tuple, Callable[[], Estimator]],
     parameters: Sequence[str],
     folds: int = CROSS_VALIDATION,
+    parallelism: int = PARALLELISM,
 ) -> DataFrame:
     """Cross-validated scores of every setting, one row each.
 
     Every fit and every score reads its input several times, so both are written out.
+    `parallelism` settings are tried at a time, as one alone leaves most of a cluster idle.
     """
     rows = settle(stratified_folds(data, folds))
-    table = []
-    for setting, build in classifiers.items():
+
+    def tried(entry: tuple[tuple, Callable[[], Estimator]]) -> tuple:
+        setting, build = entry
         result = score(settle(cross_predictions(rows, names, build()))).first()
-        table.append((*setting, *(float(x or 0.0) for x in result)))
+        return (*setting, *(float(x or 0.0) for x in result))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        table = list(pool.map(inheritable_thread_target(data.sparkSession)(tried), classifiers.items()))
     columns = [*parameters, "adj_auc", "adj_kappa", "adj_score"]
     return data.sparkSession.createDataFrame(table, columns)
 

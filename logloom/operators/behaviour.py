@@ -169,9 +169,10 @@ def minute_summary(events: DataFrame) -> DataFrame:
 def minute_series(summary: DataFrame) -> DataFrame:
     """Every student in every minute up to the log's last, zeros where nothing happened.
 
-    `unique_verb_chain` is the text form of the verb list, "0" in empty minutes.
+    Train and hidden logs of one batch share the last minute. `unique_verb_chain` is the text form of the verb list, "0" in empty minutes.
     """
-    keys, sets = subject(summary), scope(summary)
+    keys = subject(summary)
+    sets = [c for c in scope(summary) if c != "task"]
     last = summary.groupBy(*sets).agg(F.max("minute").alias("_last"))
     students = summary.select(*keys).distinct()
     grid = positions_between(

@@ -32,19 +32,23 @@ NEUTRAL_WEIGHT = 4
 WEIGHT_BINS = 6
 
 
-def code_book(values: DataFrame, column: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Distinct non-null values and their codes 0, 1, ... in sorted order."""
-    words = values.select(column).where(F.col(column).isNotNull()).distinct()
+def code_book(
+    values: DataFrame, column: str, max_rows: int = MAX_ROWS, by: Sequence[str] = ()
+) -> DataFrame:
+    """Distinct non-null values and their codes 0, 1, ... in sorted order, per `by` if given."""
+    words = values.select(*by, column).where(F.col(column).isNotNull()).distinct()
     words = settle(words.withColumn("_book", F.lit(column)))
     # A vocabulary too long for one task is numbered slice by slice.
-    words = cut(words, max_rows, by=["_book"], order=[column])
-    numbered = number_rows(words, by=["_book"], order=[column], name="code")
-    return numbered.select(column, "code")
+    book = [*by, "_book"]
+    words = cut(words, max_rows, by=book, order=[column])
+    numbered = number_rows(words, by=book, order=[column], name="code")
+    return numbered.select(*by, column, "code")
 
 
 def with_codes(df: DataFrame, column: str, book: DataFrame) -> DataFrame:
     """Replace a column's values by their codes; values outside the book become null."""
-    coded = df.join(book, column, "left")
+    keys = [c for c in book.columns if c != "code"]
+    coded = df.join(book, keys, "left")
     return coded.withColumn(column, F.col("code")).drop("code").select(*df.columns)
 
 
@@ -53,10 +57,11 @@ def encoded_series(
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The spans of dense series with item, type and verb as codes, and the code books.
 
-    Books are made on train and hidden rows together. "0", the mask, sorts first and so
+    Train and hidden rows of a batch share its books. "0", the mask, sorts first and so
     gets code 0.
     """
-    books = {c: code_book(spans, c) for c in columns}
+    sets = [c for c in scope(spans) if c != "task"]
+    books = {c: code_book(spans, c, by=sets) for c in columns}
     coded = spans
     for column, book in books.items():
         coded = with_codes(coded, column, book)

@@ -307,6 +307,14 @@ def minute_series(spark, sf_dir):
     return beh.minute_series(settle(beh.minute_summary(minutes(spark, sf_dir))))
 
 
+@query
+def minute_codes(spark, sf_dir):
+    """The minute series with verb lists as codes, all numbers."""
+    series = settle(beh.minute_series(settle(beh.minute_summary(minutes(spark, sf_dir)))))
+    book = enc.code_book(series, "unique_verb_chain")
+    return enc.with_codes(series, "unique_verb_chain", book)
+
+
 @query
 def minute_tensor(spark, sf_dir):
     series = beh.minute_series(settle(beh.minute_summary(minutes(spark, sf_dir))))

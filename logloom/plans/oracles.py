@@ -438,6 +438,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY event_time,
 GROUP BY 1, 2, 3""")
 add("minute_series", """
 SELECT student_id, minute, duration_level, verb_count, unique_verb_count, unique_verb_chain FROM minute_grid""")
+add("minute_codes", """
+SELECT student_id, minute, duration_level, verb_count, unique_verb_count,
+       dense_rank() OVER (ORDER BY unique_verb_chain) - 1 AS unique_verb_chain FROM minute_grid""")
 add("minute_tensor", """
 SELECT student_id, minute // 1000 AS block,
        string_agg(CAST(CAST(duration_level AS BIGINT) AS VARCHAR) || ':' || CAST(verb_count AS VARCHAR) || ':'

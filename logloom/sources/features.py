@@ -45,19 +45,17 @@ def save_all(
     """Save all sequences of all batches and tasks, and the dimensions of each batch.
 
     `log` holds train and hidden logs of every batch; code books are shared by the tasks of
-    one batch. `training_log` gives the verb weights; by default the longest train log.
+    one batch. `training_log` gives the verb weights; by default the last batch's train log.
     """
     spans = settle(second_series(log, time_bin, limit))
     write_table(encoding_dims(spans), f"{folder}/{DIMS}")
-    batches = [r[0] for r in spans.select("batch").distinct().orderBy("batch").collect()]
     if training_log is None:
-        training_log = log.where((F.col("task") == "train") & (F.col("batch") == batches[-1]))
+        longest = log.agg(F.max("batch")).first()[0]
+        training_log = log.where((F.col("task") == "train") & (F.col("batch") == longest))
     weights = settle(verb_weight_map(clean_log(training_log), labels))
-    parts = []
-    for batch in batches:
-        coded, _ = encoded_series(spans.where(F.col("batch") == batch))
-        rows = dense_rows(coded)
-        parts += [sequence_blocks(rows, c, SECOND) for c in MASKED]
+    coded, _ = encoded_series(spans)
+    seconds = dense_rows(coded)
+    parts = [sequence_blocks(seconds, c, SECOND) for c in MASKED]
     rows = settle(weight_rows(log, weights, time_bin, limit))
     for column in (WEIGHT, VERB_DURATION):
         numbered = rows.withColumn(column, F.col(column).cast("double"))

@@ -20,6 +20,13 @@ def test_code_book_is_sorted_and_shared(spark):
     assert rows(encode.with_codes(df, "w", book)) == [(0,), (1,), (2,), (2,), (None,)]
 
 
+def test_a_book_per_batch(spark):
+    df = spark.createDataFrame([("1", "b"), ("1", "a"), ("2", "c"), ("2", "b")], "batch string, w string")
+    book = encode.code_book(df, "w", by=["batch"])
+    assert rows(book) == [("1", "a", 0), ("1", "b", 1), ("2", "b", 0), ("2", "c", 1)]
+    assert rows(encode.with_codes(df, "w", book)) == [("1", 0), ("1", 1), ("2", 0), ("2", 1)]
+
+
 def test_mask_is_code_zero(make_log):
     spans = second_series(make_log([(1, 0, "A", "x"), (2, 0, "B", "y"), (2, 3, "B", "y")]), limit=4)
     coded, books = encode.encoded_series(spans)

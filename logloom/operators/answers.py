@@ -112,7 +112,7 @@ def typed_text(code: Column, key_text: Mapping[str, str] = KEY_TEXT) -> Column:
     return F.coalesce(F.create_map(*pairs)[code], F.when(named != "", named))
 
 
-# A blank's keystrokes are a list of edits: "+text" appends, "-" deletes the last character,
+# A blank's keystrokes are a list of edits: "+text" appends, "-n" deletes the last n characters,
 # "~" strips newlines at the end, as leaving a visit does. Any stretch of edits reduces to
 # the edits that reach the text before it plus the text it leaves, again as edits, so
 # stretches can be reduced apart, in order, and their results reduced together.
@@ -121,43 +121,40 @@ def typed_text(code: Column, key_text: Mapping[str, str] = KEY_TEXT) -> Column:
 def reduce_edits(edits: Column) -> Column:
     """The shortest list of edits with the same effect on any text before it."""
 
-    def step(state: Column, edit: Column) -> Column:
-        reach, text = state["reach"], state["text"]
-        kind = F.substring(edit, 1, 1)
+    def state(reach: Column, deletes: Column, text: Column) -> Column:
+        """Edits of the text before, deletions of it after those, and own text."""
+        return F.struct(reach.alias("reach"), deletes.alias("deletes"), text.alias("text"))
+
+    def apart(reach: Column, deletes: Column) -> Column:
+        deletion = F.concat(F.lit("-"), deletes.cast("string"))
+        return F.when(deletes > 0, F.concat(reach, F.array(deletion))).otherwise(reach)
+
+    def step(before: Column, edit: Column) -> Column:
+        reach, deletes, text = before["reach"], before["deletes"], before["text"]
+        kind, rest = F.left(edit, F.lit(1)), F.substring(edit, F.lit(2), F.length(edit))
+        kept = F.length(text) - rest.try_cast("long")
+        shorter = F.left(text, F.greatest(kept, F.lit(0)).cast("int"))
+        deleted = state(reach, deletes + F.greatest(-kept, F.lit(0)), shorter)
         stripped = F.regexp_replace(text, "\n+$", "")
-        through = F.when(reach.endswith("~"), reach).otherwise(F.concat(reach, F.lit("~")))
+        # Stripping twice in a row is stripping once.
+        again = (deletes == 0) & (F.size(reach) > 0)
+        through = F.when(again, reach).otherwise(
+            F.concat(apart(reach, deletes), F.array(F.lit("~")))
+        )
+        left = F.when(stripped != "", state(reach, deletes, stripped)).otherwise(
+            state(through, F.lit(0).cast("long"), F.lit(""))
+        )
         return (
-            F.when(
-                kind == "+",
-                F.struct(
-                    reach.alias("reach"),
-                    F.concat(text, F.substring(edit, F.lit(2), F.length(edit))).alias("text"),
-                ),
-            )
-            .when(
-                kind == "-",
-                F.when(
-                    text != "",
-                    F.struct(
-                        reach.alias("reach"),
-                        F.substring(text, F.lit(1), F.length(text) - 1).alias("text"),
-                    ),
-                ).otherwise(
-                    F.struct(F.concat(reach, F.lit("-")).alias("reach"), F.lit("").alias("text"))
-                ),
-            )
-            .otherwise(
-                F.when(
-                    stripped != "", F.struct(reach.alias("reach"), stripped.alias("text"))
-                ).otherwise(F.struct(through.alias("reach"), F.lit("").alias("text")))
-            )
+            F.when(kind == "+", state(reach, deletes, F.concat(text, rest)))
+            .when(kind == "-", deleted)
+            .otherwise(left)
         )
 
-    start = F.struct(F.lit("").alias("reach"), F.lit("").alias("text"))
+    start = state(F.array().cast("array<string>"), F.lit(0).cast("long"), F.lit(""))
 
-    def finish(state: Column) -> Column:
-        reaching = F.filter(F.split(state["reach"], ""), lambda c: c != "")
-        return F.concat(reaching, F.array(F.concat(F.lit("+"), state["text"])))
+    def finish(end: Column) -> Column:
+        text = F.array(F.concat(F.lit("+"), end["text"]))
+        return F.concat(apart(end["reach"], end["deletes"]), text)
 
     return F.aggregate(edits, start, step, finish)
 
@@ -206,7 +203,7 @@ def keystroke_edits(
         .withColumn(
             "_edit",
             F.when(F.col(VERB) == ENTER, F.lit("~"))
-            .when(F.col("_press.code").isin(*DELETE_KEYS), F.lit("-"))
+            .when(F.col("_press.code").isin(*DELETE_KEYS), F.lit("-1"))
             .otherwise(F.concat(F.lit("+"), typed)),
         )
         .where(F.col("_edit").isNotNull())

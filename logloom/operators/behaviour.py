@@ -41,13 +41,15 @@ def chain_counts(chains: DataFrame) -> DataFrame:
 def top_chains(chains: DataFrame, top: int = 10, support: int = 20) -> DataFrame:
     """Each item's most frequent chains that occur in more than `support` attempts.
 
-    Equal counts are ordered by name. The window ranks counted chains, not attempts.
+    Equal counts are ordered by name. The window ranks counted chains, not attempts, and
+    rare ones, which come after all others, are dropped before it.
     """
     ranked = Window.partitionBy(*scope(chains), ITEM).orderBy(F.desc("attempts"), CHAIN)
     return (
         chain_counts(chains)
+        .where(F.col("attempts") > support)
         .withColumn("rank", F.row_number().over(ranked))
-        .where((F.col("rank") <= top) & (F.col("attempts") > support))
+        .where(F.col("rank") <= top)
     )
 
 

@@ -20,10 +20,10 @@ from logloom.operators import series as ser
 from logloom.operators import timing as tim
 from logloom.operators.clean import clean_log
 from logloom.operators.timeline import cut, in_blocks, number_rows
+from logloom.plans import folds
 from logloom.plans import metrics as met
 from logloom.plans import models as mod
 from logloom.plans import routine as rou
-from logloom.plans.folds import hash_split, stratified_folds
 from logloom.schema import (
     ATTEMPT,
     DURATION,
@@ -643,14 +643,14 @@ def submission(spark, sf_dir):
 
 
 @query
-def stratified_fold_assignment(spark, sf_dir):
-    return stratified_folds(adapter.labels(spark, sf_dir), 3).select(STUDENT, LABEL, whole("fold"))
+def stratified_folds(spark, sf_dir):
+    return folds.stratified_folds(adapter.labels(spark, sf_dir), 3).select(STUDENT, LABEL, whole("fold"))
 
 
 @query
-def hash_split_assignment(spark, sf_dir):
+def hash_split(spark, sf_dir):
     students = adapter.roster(spark, sf_dir)
-    return students.select(STUDENT, hash_split(F.col(STUDENT), 0.2, seed=8).alias("validation"))
+    return students.select(STUDENT, folds.hash_split(F.col(STUDENT), 0.2, seed=8).alias("validation"))
 
 
 @query
@@ -702,28 +702,28 @@ def training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, li
 
 
 @query
-def forest_predictions(spark, sf_dir):
+def rf_predict(spark, sf_dir):
     train, hidden, names = training(spark, sf_dir)
     _, found = mod.fit_predict(train, hidden, names, mod.random_forest(20))
     return found
 
 
 @query
-def forest_grid_scores(spark, sf_dir):
+def rf_grid(spark, sf_dir):
     train, _, names = training(spark, sf_dir)
     return mod.forest_grid(train, names, trees=[5, 10], fractions=[0.3, 0.6])
 
 
 @query
-def boosted_predictions(spark, sf_dir):
+def boosted_lr(spark, sf_dir):
     train, hidden, names = training(spark, sf_dir)
     return mod.BoostedRegression(3).fit(train, names).predict(hidden)
 
 
 @query
-def forest_fold_metrics(spark, sf_dir):
+def fold_metrics(spark, sf_dir):
     train, _, names = training(spark, sf_dir)
-    folded = settle(stratified_folds(train, 2, seed=8))
+    folded = settle(folds.stratified_folds(train, 2, seed=8))
     found = mod.cross_predictions(folded, names, mod.random_forest(10))
     return mod.fold_metrics(settle(found))
 

@@ -586,10 +586,10 @@ add("submission", """
 SELECT s.student_id AS ord, CAST(coalesce(CASE WHEN s.student_id % 4 <> 1 THEN CAST(g.p AS DOUBLE) END, 0.0)
        AS VARCHAR) || ',' AS value
 FROM students s LEFT JOIN guesses g USING (student_id)""")
-add("stratified_fold_assignment", """
+add("stratified_folds", """
 SELECT student_id, student_id % 2 = 1 AS label,
        (row_number() OVER (PARTITION BY student_id % 2 ORDER BY student_id) - 1) % 3 AS fold FROM students""")
-add("hash_split_assignment", """
+add("hash_split", """
 SELECT student_id, CAST('0x' || substr(md5('8:' || CAST(student_id AS VARCHAR)), 1, 8) AS BIGINT) < 858993459 AS validation
 FROM students""")
 add("metrics_auc", "SELECT fold, round(auc, 6) AS auc FROM fold_auc")

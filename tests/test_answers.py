@@ -147,6 +147,21 @@ def test_typing_in_pieces_equals_typing_at_once(make_log, size):
     assert {r[0]: r[1] for r in reduced.select(STUDENT, text).collect()} == expected
 
 
+@pytest.mark.parametrize(
+    ("edits", "expected"),
+    [
+        (["+ab", "-1", "+c"], ["+ac"]),
+        (["-1", "-1", "+a", "-2"], ["-3", "+"]),
+        (["+a", "~", "~"], ["+a"]),
+        (["+\n", "~", "~", "-2", "~", "+x\n"], ["~", "-2", "~", "+x\n"]),
+        ([], ["+"]),
+    ],
+)
+def test_shortest_edits(spark, edits, expected):
+    df = spark.createDataFrame([(edits,)], "e array<string>")
+    assert df.select(answers.reduce_edits(F.col("e"))).first()[0] == expected
+
+
 def scores(make_log, *visits, key=KEY):
     log = log_of(make_log, *visits)
     return scoring.scored(answers.responses(log, log.select(STUDENT).distinct(), key), key)

@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry_module
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"forest_grid_scores", "routine_submission", "boosted_predictions"}
+SLOW = {"rf_grid", "routine_submission", "boosted_lr"}
 
 pytestmark = pytest.mark.skipif(not Path(DATA).is_dir(), reason="no test data here")
 

@@ -25,7 +25,6 @@ from logloom.schema import (
     NOT_DONE,
     ORDER,
     VERB,
-    scope,
     subject,
 )
 

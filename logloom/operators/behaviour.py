@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.operators.prepare import base_clean, group_verbs, preprocess, with_occurrence
-from logloom.operators.timeline import SLICE, along, is_cut, number_rows, settled
+from logloom.operators.timeline import SLICE, is_cut, number_rows, settled
 from logloom.operators.timing import LEVEL, beside, with_duration_level, with_verb_duration
 from logloom.schema import (
     ATTEMPT,

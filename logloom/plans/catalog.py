@@ -34,7 +34,6 @@ from logloom.schema import (
     STUDENT,
     VERB,
     VERB_RUN,
-    subject,
 )
 from logloom.session import settle, tune
 from logloom.sources import adapter
@@ -436,27 +435,24 @@ def answer_choice(spark, sf_dir):
     return slots_text(ans.choice_answers(visits(spark, sf_dir)))
 
 
-def blanks_of(kind: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = {i: v for i, v in adapter.ANSWERS.items() if v[0] == kind}
-        return slots_text(ans.blank_answers(visits(spark, sf_dir), key))
-
-    return run
+def blanks_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    key = {i: v for i, v in adapter.ANSWERS.items() if v[0] == kind}
+    return slots_text(ans.blank_answers(visits(spark, sf_dir), key))
 
 
 @query
 def answer_blank(spark, sf_dir):
-    return blanks_of("blank")(spark, sf_dir)
+    return blanks_of(spark, sf_dir, "blank")
 
 
 @query
 def answer_multi_blank(spark, sf_dir):
-    return blanks_of("blanks")(spark, sf_dir)
+    return blanks_of(spark, sf_dir, "blanks")
 
 
 @query
 def answer_composite(spark, sf_dir):
-    return blanks_of("composite")(spark, sf_dir)
+    return blanks_of(spark, sf_dir, "composite")
 
 
 @query

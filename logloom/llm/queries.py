@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import line_dedup
+from logloom.llm import line_dedup, sharding
 from logloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +32,17 @@ def op2_line_dedup(spark, sf_dir):
     """Lines that a document of smaller id has as well are dropped."""
     kept = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op9_feistel_shards(spark, sf_dir):
+    """All documents in 16 shards, by a permutation of their row numbers."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    sizes = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    sharded = sharding.shuffle_into_shards(sizes, 16)
+    return sharded.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "row_number",
+    )

@@ -22,3 +22,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY r, doc_id
 """
+
+SITE_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+ORACLES["op4_url_rules"] = f"""
+WITH split AS (
+    SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url,
+        {ASCII_LOWER.format("regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')")} AS host,
+        regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+    FROM pages),
+rules(rule, verdict) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, v in SITE_RULES.items())}),
+parts AS (SELECT rule, verdict, split_part(rule, '/', 1) AS rule_host, rule[strpos(rule, '/'):] AS rule_path FROM rules),
+best AS (
+    SELECT r, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+    FROM split JOIN parts ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    GROUP BY r)
+SELECT page_id, host, path, rule,
+    CASE WHEN rule IS NOT NULL THEN verdict
+         WHEN contains({ASCII_LOWER.format("url")}, '?utm_source=') THEN 'block'
+         WHEN regexp_matches({ASCII_LOWER.format("url")}, '[?]page=.*&ref=', 's') THEN 'block'
+         ELSE 'allow' END AS verdict
+FROM split LEFT JOIN best USING (r)
+"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import line_dedup, sharding
+from logloom.llm import line_dedup, sharding, url_filter
+from logloom.llm.url_filter import ALLOW, BLOCK, pattern_rule, site_rule
 from logloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,33 @@ def op2_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: The rules of the URL query: sites, and marks of copies that a feed or a page list makes.
+URL_RULES = [
+    site_rule("org", "/", ALLOW),
+    site_rule("example.org", "/es/", BLOCK),
+    site_rule("example.org", "/en/1", BLOCK),
+    site_rule("com", "/fr/", ALLOW),
+    site_rule("com", "/de/", BLOCK),
+]
+URL_PATTERNS = [pattern_rule("?utm_source=*", BLOCK), pattern_rule("?page=*&ref=", BLOCK)]
+
+
+@query
+def op4_url_rules(spark, sf_dir):
+    """Every page judged by site rules; pages that none fits, by patterns on the whole URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    by_site = url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES))
+    judged = url_filter.judge(
+        by_site.select("page_id", "url", "host", "path", F.struct("rule", "verdict").alias("site")),
+        url_filter.rule_table(spark, URL_PATTERNS),
+    )
+    ruled = F.col("site")["rule"].isNotNull()
+    return judged.select(
+        "page_id", "host", "path", F.col("site")["rule"].alias("rule"),
+        F.when(ruled, F.col("site")["verdict"]).otherwise(F.col("verdict")).alias("verdict"),
+    )
+
+
 @query
 def op9_feistel_shards(spark, sf_dir):
     """All documents in 16 shards, by a permutation of their row numbers."""

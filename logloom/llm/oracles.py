@@ -44,3 +44,37 @@ SELECT page_id, host, path, rule,
          ELSE 'allow' END AS verdict
 FROM split LEFT JOIN best USING (r)
 """
+
+ORACLES["op5_domain_quality"] = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM docs),
+windows AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM words)),
+twice AS (SELECT r, i FROM windows JOIN (SELECT r, win FROM windows GROUP BY ALL HAVING count(*) > 1) USING (r, win)),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(8) AS t(k) GROUP BY r),
+lines AS (
+    SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+    FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)
+    WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+counts AS (
+    SELECT r, doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+    FROM docs JOIN words USING (r) LEFT JOIN lines USING (r) LEFT JOIN repeated USING (r)),
+failures AS (
+    SELECT *, base_failed OR 100 * n_symbols > 10 * n_words AS hard,
+        100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 10 * n_words AS soft
+    FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)),
+domains AS (SELECT source, count(*)::DOUBLE AS documents, (count(*) FILTER (hard))::DOUBLE AS failed FROM failures GROUP BY source),
+sums AS (
+    SELECT sum(documents) AS n, sum(failed) / sum(documents) AS mean, sum(failed * failed / documents) AS ff,
+        sum(documents * documents) AS nn, count(*) AS k FROM domains),
+spread AS (
+    SELECT n, mean, CASE WHEN n > nn / n THEN greatest(0, (ff - n * mean * mean - (k - 1) * mean * (1 - mean)) / (n - nn / n)) ELSE 0 END AS between_domains FROM sums),
+prior AS (
+    SELECT mean, CASE WHEN between_domains > 0 AND mean > 0 AND mean < 1
+        THEN greatest(1, mean * (1 - mean) / between_domains - 1) ELSE greatest(1, n) END AS strength FROM spread),
+verdicts AS (SELECT source, (failed + mean * strength) / (documents + strength) > 0.5 AS strict FROM domains, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT hard AND NOT (strict AND soft) AS kept, strict AS domain_strict
+FROM failures JOIN verdicts ON failures.source IS NOT DISTINCT FROM verdicts.source
+"""

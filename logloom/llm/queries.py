@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import line_dedup, sharding, url_filter
+from logloom.llm import line_dedup, quality, sharding, url_filter
 from logloom.llm.url_filter import ALLOW, BLOCK, pattern_rule, site_rule
-from logloom.session import tune
+from logloom.session import settle, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,6 +62,16 @@ def op4_url_rules(spark, sf_dir):
     )
 
 
+@query
+def op5_domain_quality(spark, sf_dir):
+    """Every document judged by rules, which are stricter on domains that often fail."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    judged = quality.judge(settle(quality.with_counts(docs).drop("text")))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "domain_strict"
+    )
+
+
 @query
 def op9_feistel_shards(spark, sf_dir):
     """All documents in 16 shards, by a permutation of their row numbers."""

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import line_dedup, quality, sharding, url_filter
+from logloom.llm import id_files, line_dedup, packing, quality, sharding, url_filter
 from logloom.llm.url_filter import ALLOW, BLOCK, pattern_rule, site_rule
 from logloom.session import settle, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+#: The vocabulary, and the id that ends each document.
+VOCABULARY, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
+
 
 def query(function: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +76,15 @@ def op5_domain_quality(spark, sf_dir):
     )
 
 
+@query
+def op8_sum_of_squares_packing(spark, sf_dir):
+    """All documents in sequences of at most 4096 tokens."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, END_ID)
+    return packing.numbered(packing.with_crc(pieces)).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @query
 def op9_feistel_shards(spark, sf_dir):
     """All documents in 16 shards, by a permutation of their row numbers."""
@@ -84,3 +97,10 @@ def op9_feistel_shards(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "row_number",
     )
+
+
+@query
+def op10_simple8b_files(spark, sf_dir):
+    """The ids of all documents, written to files in the order of doc_id and read back."""
+    files = id_files.write(table(spark, sf_dir, "documents"), VOCABULARY, END_ID)
+    return id_files.read(files).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))

@@ -1,0 +1,157 @@
+"""Token ids: the encoder, packing, files, and the queries on them."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from logloom.llm import id_files, packing
+from logloom.llm.queries import END_ID, QUERIES, VOCABULARY
+from logloom.llm.tokens import Encoder, encoded
+
+DATA = "/root/testdata/sf0.001"
+ODD = ["", "  a  b\n", "Éá naïve ΣΑΣ İx <|startoftext|> 12 it's don't A.B. c,,  x y", "ÿ×÷ß", "ﬁ Ⅷ", None, "\x00 a​b", "don't. we've,", "é É", "a\x1cb\x85c　d", "'s 'S", "x" * 5000]
+
+
+def plain(texts) -> list[list[int]]:
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.encode_special_tokens = True
+    return [e.ids + [2] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_encoder_gives_the_librarys_ids(spark):
+    texts = ODD + [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    found = [i[b[k] : b[k + 1]].tolist() for a, z, i, b in encoded(pa.array(texts), Encoder(VOCABULARY, END_ID)) for k in range(z - a)]
+    assert found == plain(texts)
+
+
+def test_encoder_forgets_and_still_agrees(monkeypatch):
+    monkeypatch.setattr("logloom.llm.tokens.MAX_KNOWN", 3)
+    encoder = Encoder(VOCABULARY, END_ID)
+    for _ in range(3):
+        for text in ODD:
+            ids, _ = encoder.encode(pa.array([text or ""]))
+            assert ids.tolist() == plain([text])[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 2**16), st.integers(0, 2**64 - 1)), max_size=3000))
+def test_words_hold_all_numbers(values):
+    values = np.array(values, np.uint64)
+    assert np.array_equal(id_files.decompress(*id_files.compress(values), len(values)), values)
+
+
+@pytest.mark.parametrize("n", [1, 239, 1023, 1024, 1025, 5000])
+def test_words_of_zeros_and_escapes(n):
+    for value in (0, 1, 2**60 - 1, 2**64 - 1):
+        values = np.full(n, value, np.uint64)
+        assert np.array_equal(id_files.decompress(*id_files.compress(values), n), values)
+    assert len(id_files.compress(np.zeros(240, np.uint64))[0]) == 1
+
+
+def pieces_of(sizes, size):
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 9, n).astype(np.uint32) for n in sizes]
+    return docs, list(packing.packed(iter(enumerate(docs)), size))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=200), st.sampled_from([1, 7, 16]))
+def test_every_id_is_in_one_piece(sizes, size):
+    docs, sequences = pieces_of(sizes, size)
+    parts = sorted((row, start, ids.tolist()) for s in sequences for row, start, ids in s)
+    for row, doc in enumerate(docs):
+        own = [p for p in parts if p[0] == row]
+        assert [i for p in own for i in p[2]] == doc.tolist()
+        assert [p[1] for p in own] == np.cumsum([0] + [len(p[2]) for p in own])[:-1].tolist()
+    fills = [sum(len(p[2]) for p in s) for s in sequences]
+    assert all(f == size or f < size and f & (f - 1) == 0 for f in fills)
+
+
+def test_the_rule_takes_the_level_with_the_smallest_sum():
+    rng = np.random.default_rng(2)
+    packer = packing.SumOfSquares(12)
+    for n in rng.integers(1, 12, 500).tolist():
+        best = min(
+            ((sum(c * c for c in after), -level) for level, after in moves(packer, n)),
+        )
+        assert packer.level_for(n) == -best[1]
+        packer.place((0, 0, np.zeros(n, np.uint32)))
+
+
+def moves(packer, n):
+    for level in range(packer.size - n + 1):
+        if level and not packer.counts[level]:
+            continue
+        after = packer.counts[1 : packer.size].tolist()
+        if level:
+            after[level - 1] -= 1
+        if level + n < packer.size:
+            after[level + n - 1] += 1
+        yield level, after
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, offset string")
+
+
+ROWS = [(3, "one two", "x"), (1, None, "y"), (None, "three", None), (1, "", "z"), (2, "word " * 9000, "w"), (3, "one two", "x"), (None, None, None)]
+
+
+def test_packing_odd_rows(spark):
+    pieces = packing.numbered(packing.pack(frame(spark, ROWS), VOCABULARY, END_ID)).collect()
+    assert sum(p.length for p in pieces) == sum(map(len, plain([r[1] for r in ROWS])))
+    sequences = {}
+    for p in pieces:
+        sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert sorted(sequences) == list(range(len(sequences)))
+    for spans in sequences.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(spans), sorted(spans)[1:], strict=False))
+    assert packing.numbered(packing.pack(frame(spark, []), VOCABULARY, END_ID)).count() == 0
+
+
+def test_files_of_odd_rows(spark):
+    back = id_files.read(id_files.write(frame(spark, ROWS), VOCABULARY, END_ID)).collect()
+    want = sorted(((r[0], bytes(np.array(i, "<u4"))) for r, i in zip(ROWS, plain([r[1] for r in ROWS]), strict=True)), key=str)
+    assert sorted(((r.doc_id, bytes(r.token_ids)) for r in back), key=str) == want
+    in_order = sorted(back, key=lambda r: r.start)
+    assert [r.doc_id or -1 for r in in_order] == sorted(r.doc_id or -1 for r in back)
+    assert [r.start for r in in_order] == np.cumsum([0] + [r.n_tokens for r in in_order])[:-1].tolist()
+    empty = id_files.write(frame(spark, []), VOCABULARY, END_ID)
+    assert empty.count() == 0 and id_files.read(empty).count() == 0
+
+
+def test_damage_is_noticed(spark, tmp_path):
+    files = id_files.write(frame(spark, ROWS), VOCABULARY, END_ID, folder=str(tmp_path))
+    path = files.first().path.removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    data[-1] ^= 1
+    open(path, "wb").write(data)
+    with pytest.raises(Exception, match="damaged record"):
+        id_files.read(files).count()
+
+
+def test_packing_query(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    ids = dict(zip(docs, plain(docs.values()), strict=True))
+    found = {}
+    for p in QUERIES["op8_sum_of_squares_packing"](spark, DATA).collect():
+        assert p.ids_crc32 == zlib.crc32(bytes(np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4")))
+        assert p.doc_tokens == len(ids[p.doc_id])
+        found.setdefault(p.doc_id, []).append((p.start, p.length))
+    assert {d: sum(n for _, n in spans) for d, spans in found.items()} == {d: len(i) for d, i in ids.items()}
+
+
+def test_file_query(spark):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
+    ids = plain([t for _, t in docs])
+    starts = np.cumsum([0] + [len(i) for i in ids])
+    want = {d: (int(s), len(i), zlib.crc32(bytes(np.array(i, "<u4")))) for (d, _), i, s in zip(docs, ids, starts, strict=False)}
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op10_simple8b_files"](spark, DATA).collect()} == want

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import id_files, line_dedup, packing, quality, sharding, url_filter
+from logloom.llm import id_files, line_dedup, near_dups, packing, quality, sharding, url_filter
 from logloom.llm.url_filter import ALLOW, BLOCK, pattern_rule, site_rule
 from logloom.session import settle, tune
 
@@ -76,6 +76,12 @@ def op5_domain_quality(spark, sf_dir):
     )
 
 
+@query
+def op6_prob_minhash(spark, sf_dir):
+    """The class of each document, over links of a shingle similarity of 0.8 or more."""
+    return near_dups.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op8_sum_of_squares_packing(spark, sf_dir):
     """All documents in sequences of at most 4096 tokens."""

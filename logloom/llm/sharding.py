@@ -21,21 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logloom.llm.common import OWN
+from logloom.llm.common import OWN, mixed
 from logloom.session import settle
 
 ROUNDS = 6
 IN_PARTITION = 33  # bits that monotonically_increasing_id() leaves for the place in a partition
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A well-mixed 64-bit function of 64-bit numbers."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def round_keys(seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         steps = np.arange(1, ROUNDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)

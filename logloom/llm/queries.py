@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import id_files, line_dedup, near_dups, packing, quality, sharding, url_filter
+from logloom.llm import decontaminate, id_files, line_dedup, near_dups, packing, quality, sharding, url_filter
 from logloom.llm.url_filter import ALLOW, BLOCK, pattern_rule, site_rule
 from logloom.session import settle, tune
 
@@ -50,6 +50,13 @@ URL_RULES = [
 URL_PATTERNS = [pattern_rule("?utm_source=*", BLOCK), pattern_rule("?page=*&ref=", BLOCK)]
 
 
+@query
+def op3_template_leaks(spark, sf_dir):
+    """Documents that hold benchmark items, as they are or with other parameters."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("covered", 6).alias("covered"), F.round("consistent", 6).alias("consistent"))
+
+
 @query
 def op4_url_rules(spark, sf_dir):
     """Every page judged by site rules; pages that none fits, by patterns on the whole URL."""

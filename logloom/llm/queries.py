@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontaminate, id_files, line_dedup, near_dups, packing, quality, sharding, url_filter
+from logloom.llm import decontaminate, id_files, line_dedup, near_dups, packing, personal, quality, sharding, url_filter
 from logloom.llm.url_filter import ALLOW, BLOCK, pattern_rule, site_rule
 from logloom.session import settle, tune
 
@@ -89,6 +89,21 @@ def op6_prob_minhash(spark, sf_dir):
     return near_dups.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op7_bilstm_crf_pii(spark, sf_dir):
+    """Personal data and secrets in every document."""
+    found = personal.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(kind) for kind in ("email", "ip", "card", "phone")],
+        F.sha2(personal.listed(base).cast("binary"), 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op8_sum_of_squares_packing(spark, sf_dir):
     """All documents in sequences of at most 4096 tokens."""

@@ -78,3 +78,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     NOT hard AND NOT (strict AND soft) AS kept, strict AS domain_strict
 FROM failures JOIN verdicts ON failures.source IS NOT DISTINCT FROM verdicts.source
 """
+
+ORACLES["op1_preference_pairs"] = """
+WITH turns AS (
+    SELECT conv_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL),
+replies AS (SELECT conv_id, max(turn) AS turn, max(text) FILTER (late) AS text FROM (
+    SELECT *, turn = max(turn) OVER (PARTITION BY conv_id) AS late FROM turns WHERE role = 'assistant') GROUP BY conv_id),
+rejected AS (
+    SELECT t.* FROM turns t LEFT JOIN replies r USING (conv_id) WHERE r.turn IS NULL OR t.turn < r.turn
+    UNION ALL
+    SELECT own.conv_id, own.turn, 'assistant', other.text FROM replies own JOIN replies other ON other.conv_id = xor(own.conv_id, 1)),
+sides AS (SELECT 'c' AS side, * FROM turns UNION ALL SELECT 'r', * FROM rejected),
+by_turn AS (
+    SELECT conv_id, turn, coalesce(list([role, text] ORDER BY role, text) FILTER (side = 'c'), []) AS c,
+        coalesce(list([role, text] ORDER BY role, text) FILTER (side = 'r'), []) AS r
+    FROM sides GROUP BY conv_id, turn),
+ends AS (SELECT conv_id, min(turn) FILTER (c <> r) AS differs FROM by_turn GROUP BY conv_id),
+parts AS (
+    SELECT conv_id, CASE WHEN differs IS NULL OR turn < differs THEN 'p' ELSE side END AS part, turn, role, text
+    FROM sides JOIN ends USING (conv_id) WHERE side = 'c' OR NOT (differs IS NULL OR turn < differs)),
+rendered AS (
+    SELECT conv_id, part, count(DISTINCT turn) AS n,
+        string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS whole,
+        string_agg(text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) FILTER (role = 'assistant') AS trained
+    FROM parts GROUP BY conv_id, part)
+SELECT conv_id, coalesce(max(n) FILTER (part = 'p'), 0) AS prompt_turns,
+    md5(coalesce(max(whole) FILTER (part = 'p'), '')) AS prompt_md5,
+    md5(coalesce(max(whole) FILTER (part = 'c'), '')) AS chosen_md5, md5(coalesce(max(whole) FILTER (part = 'r'), '')) AS rejected_md5,
+    length(coalesce(max(trained) FILTER (part = 'c'), '')) AS chosen_trained, length(coalesce(max(trained) FILTER (part = 'r'), '')) AS rejected_trained,
+    md5(coalesce(max(trained) FILTER (part = 'c'), '')) AS chosen_trained_md5, md5(coalesce(max(trained) FILTER (part = 'r'), '')) AS rejected_trained_md5
+FROM rendered GROUP BY conv_id
+"""

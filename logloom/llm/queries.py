@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontaminate, id_files, line_dedup, near_dups, packing, personal, quality, sharding, url_filter
+from logloom.llm import decontaminate, id_files, line_dedup, near_dups, packing, personal, preference, quality, sharding, url_filter
 from logloom.llm.url_filter import ALLOW, BLOCK, pattern_rule, site_rule
 from logloom.session import settle, tune
 
@@ -32,6 +32,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_preference_pairs(spark, sf_dir):
+    """Every conversation as chosen, against one that ends in another's reply."""
+    chosen = preference.turns_of(table(spark, sf_dir, "conversations"), "conv_id")
+    pairs = preference.format_pairs(chosen, preference.with_foreign_reply(chosen))
+
+    def trained(side: str) -> Column:
+        return preference.joined_text(F.filter(side, lambda s: s["trained"]))
+
+    return pairs.select(
+        F.col("pair_id").alias("conv_id"), "prompt_turns", F.md5("prompt").alias("prompt_md5"),
+        *[F.md5(preference.joined_text(F.col(side))).alias(f"{side}_md5") for side in ("chosen", "rejected")],
+        *[F.char_length(trained(side)).cast("long").alias(f"{side}_trained") for side in ("chosen", "rejected")],
+        *[F.md5(trained(side)).alias(f"{side}_trained_md5") for side in ("chosen", "rejected")],
+    )
+
+
 @query
 def op2_line_dedup(spark, sf_dir):
     """Lines that a document of smaller id has as well are dropped."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.operators.prepare import base_clean, group_verbs, preprocess, with_occurrence
-from logloom.operators.timeline import SLICE, is_cut, number_rows, settled
+from logloom.operators.timeline import SLICE, along, cut, is_cut, number_rows, settled
 from logloom.operators.timing import LEVEL, beside, with_duration_level, with_verb_duration
 from logloom.schema import (
     ATTEMPT,
@@ -118,19 +120,35 @@ def verb_time_tokens(numbered: DataFrame) -> DataFrame:
     return placed.select(*kept, "position", "token")
 
 
-def padded(tokens: DataFrame, value: str = "token", fill: str | float = "") -> DataFrame:
-    """Rows up to the longest sequence for every student, filled with `fill`.
+def padded_spans(tokens: DataFrame, fills: Mapping[str, str | float]) -> DataFrame:
+    """Sequences up to the longest one, as spans (start, end) of positions with equal values.
 
-    Train and hidden logs of one batch share the longest length.
+    A student's own positions are spans of one, and one more span of `fills` reaches to the
+    longest sequence's end, so there is one row more per student at most. Train and hidden
+    logs of one batch share the longest length.
     """
     keys = subject(tokens)
     sets = [c for c in scope(tokens) if c != "task"]
     lengths = tokens.groupBy(*keys).agg(F.max("position").alias("_last"))
     longest = lengths.groupBy(*sets).agg(F.max("_last").alias("_longest"))
-    missing = beside(lengths, longest, sets).where("_last < _longest")
-    rest = positions_between(missing, F.col("_last") + 1, F.col("_longest"), "position")
-    filler = rest.select(*keys, "position", F.lit(fill).alias(value))
-    return tokens.select(*keys, "position", value).unionByName(filler)
+    filler = beside(lengths, longest, sets).where("_last < _longest").select(
+        *keys,
+        (F.col("_last") + 1).alias("start"),
+        F.col("_longest").alias("end"),
+        *[F.lit(fill).cast(tokens.schema[name].dataType).alias(name) for name, fill in fills.items()],
+    )
+    own = tokens.select(*keys, F.col("position").alias("start"), F.col("position").alias("end"), *fills)
+    return own.unionByName(filler)
+
+
+def expanded(spans: DataFrame, name: str) -> DataFrame:
+    """One row per position of each span."""
+    return positions_between(spans, F.col("start"), F.col("end"), name).drop("start", "end")
+
+
+def padded(tokens: DataFrame, value: str = "token", fill: str | float = "") -> DataFrame:
+    """`padded_spans` of one column as rows: students x longest sequence of them."""
+    return expanded(padded_spans(tokens, {value: fill}), "position")
 
 
 def positions_between(
@@ -168,35 +186,53 @@ def minute_summary(events: DataFrame) -> DataFrame:
     return summary.withColumn("unique_verb_count", F.size("unique_verbs").cast("long"))
 
 
-def minute_series(summary: DataFrame) -> DataFrame:
-    """Every student in every minute up to the log's last, zeros where nothing happened.
+def minute_spans(summary: DataFrame) -> DataFrame:
+    """Every student's minutes up to the log's last as spans (start, end), zeros where nothing happened.
 
-    Train and hidden logs of one batch share the last minute. `unique_verb_chain` is the text form of the verb list, "0" in empty minutes.
+    Minutes with events are spans of one, stretches without any one span each. Train and
+    hidden logs of one batch share the last minute. `unique_verb_chain` is the text form of
+    the verb list, "0" in empty minutes.
     """
     keys = subject(summary)
     sets = [c for c in scope(summary) if c != "task"]
-    last = summary.groupBy(*sets).agg(F.max("minute").alias("_last"))
-    students = summary.select(*keys).distinct()
-    grid = positions_between(
-        beside(students, last, sets), F.lit(0), F.col("_last"), "minute"
-    ).drop("_last")
-    filled = grid.join(summary, [*keys, "minute"], "left")
-    return filled.select(
-        *keys,
-        "minute",
-        F.coalesce("duration_level", F.lit(0.0)).alias("duration_level"),
-        F.coalesce("verb_count", F.lit(0)).alias("verb_count"),
-        F.coalesce("unique_verb_count", F.lit(0)).alias("unique_verb_count"),
-        F.coalesce(F.to_json("unique_verbs"), F.lit("0")).alias("unique_verb_chain"),
+    last = summary.groupBy(*sets).agg(F.max("minute").alias("_end"))
+    valued = summary.withColumn("unique_verb_chain", F.to_json("unique_verbs")).drop("unique_verbs")
+    minute = F.col("minute")
+    placed = along(
+        cut(valued, by=keys, order=["minute"]),
+        by=keys,
+        previous={"_before": minute},
+        following={"_next": minute},
+        order=["minute"],
     )
 
+    def span(start: Column, end: Column, values: Mapping[str, Column]) -> Column:
+        return F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), *[v.alias(n) for n, v in values.items()])
+
+    empty = {
+        "duration_level": F.lit(0.0),
+        "verb_count": F.lit(0).cast("long"),
+        "unique_verb_count": F.lit(0).cast("long"),
+        "unique_verb_chain": F.lit("0"),
+    }
+    own = span(minute, minute, {n: F.coalesce(F.col(n), zero) for n, zero in empty.items()})
+    first = F.when(F.col("_before").isNull() & (minute > 0), span(F.lit(0), minute - 1, empty))
+    until = F.coalesce(F.col("_next") - 1, F.col("_end"))
+    gap = F.when(until > minute, span(minute + 1, until, empty))
+    return beside(placed, last, sets).select(*keys, F.inline(F.array_compact(F.array(first, own, gap))))
+
+
+def minute_series(summary: DataFrame) -> DataFrame:
+    """`minute_spans` as rows: every student in every minute."""
+    return expanded(minute_spans(summary), "minute")
+
 
-def minute_tensor(series: DataFrame, block: int = 1000) -> DataFrame:
-    """Per student the ordered minutes as structs, in blocks of at most `block` minutes."""
-    keys = subject(series)
-    cells = F.struct("minute", "duration_level", "verb_count", "unique_verb_count", "unique_verb_chain")
+def minute_tensor(spans: DataFrame, block: int = 1000) -> DataFrame:
+    """Per student the spans of minutes in order as structs, in blocks by the minute they start at."""
+    keys = subject(spans)
+    cells = F.struct("start", "end", "duration_level", "verb_count", "unique_verb_count", "unique_verb_chain")
     return (
-        series.withColumn("block", F.floor(F.col("minute") / block).cast("long"))
+        spans.withColumn("block", F.floor(F.col("start") / block).cast("long"))
         .groupBy(*keys, "block")
         .agg(F.array_sort(F.collect_list(cells)).alias("minutes"))
     )

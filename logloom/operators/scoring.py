@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.key import AnswerKey, accepted_of, kind_of
+from logloom.functions.key import AnswerKey, accepted_of, kind_of, slots_of
 from logloom.operators.answers import ANSWERED, SLOTS, STATUS, matrix
 from logloom.schema import ANSWER_KEY, BLANK, ITEM, scope, subject
 
 SCORE = "score"
+#: Whether all slots are right.
+RIGHT = "is_right"
 
 
 def scored(answers: DataFrame, key: AnswerKey = ANSWER_KEY) -> DataFrame:
@@ -25,7 +27,10 @@ def scored(answers: DataFrame, key: AnswerKey = ANSWER_KEY) -> DataFrame:
         lambda slot, accepted: F.coalesce(F.array_contains(accepted, slot).cast("int"), F.lit(0)),
     )
     total = F.aggregate(right, F.lit(0), lambda a, b: a + b)
-    return answers.withColumn(SCORE, F.when(F.col(STATUS) == ANSWERED, total))
+    full = slots_of(F.col(ITEM), key)
+    return answers.withColumns(
+        {SCORE: F.when(F.col(STATUS) == ANSWERED, total), RIGHT: F.when(F.col(STATUS) == ANSWERED, total == full)}
+    )
 
 
 def score_matrix(scores: DataFrame, key: AnswerKey = ANSWER_KEY) -> DataFrame:
@@ -35,13 +40,13 @@ def score_matrix(scores: DataFrame, key: AnswerKey = ANSWER_KEY) -> DataFrame:
 
 
 def item_right_share(scores: DataFrame) -> DataFrame:
-    """Per item: students who answered, and the share with a full score of 1."""
+    """Per item: students who answered, and the share who got every slot right."""
     return (
         scores.where(F.col(STATUS) == ANSWERED)
         .groupBy(*scope(scores), ITEM)
         .agg(
             F.count(F.lit(1)).alias("answered"),
-            F.avg((F.col(SCORE) == 1).cast("double")).alias("right_share"),
+            F.avg(F.col(RIGHT).cast("double")).alias("right_share"),
         )
     )
 
@@ -49,7 +54,8 @@ def item_right_share(scores: DataFrame) -> DataFrame:
 def conditional_option_share(scores: DataFrame, easiest: int) -> DataFrame:
     """Options of each item among students who got the `easiest` items all right.
 
-    Items are ranked by their share of right answers, equal shares by name.
+    Items are ranked by their share of right answers, equal shares by name. An option is the
+    text of all slots, "-" for an empty one, with bars between.
     """
     sets, keys = scope(scores), subject(scores)
     ranked = Window.partitionBy(*sets).orderBy(F.desc("right_share"), ITEM)
@@ -63,8 +69,8 @@ def conditional_option_share(scores: DataFrame, easiest: int) -> DataFrame:
         .select(*sets, ITEM)
     )
     passed = (
-        scores.where(F.col(SCORE) == 1)
-        .join(F.broadcast(easy), [*sets, ITEM])
+        scores.where(F.col(RIGHT))
+        .join(easy, [*sets, ITEM])
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_right"))
         .where(F.col("_right") == easiest)
@@ -73,8 +79,8 @@ def conditional_option_share(scores: DataFrame, easiest: int) -> DataFrame:
     options = (
         scores.where(F.col(STATUS) == ANSWERED)
         .join(passed, keys, "left_semi")
-        .groupBy(*sets, ITEM, F.col(SLOTS)[0].alias("option"))
-        .agg(F.count(F.lit(1)).alias("students"), F.max(SCORE).alias("is_right"))
+        .groupBy(*sets, ITEM, F.array_join(SLOTS, "|", "-").alias("option"))
+        .agg(F.count(F.lit(1)).alias("students"), F.max(F.col(RIGHT).cast("int")).alias("is_right"))
     )
     of_item = Window.partitionBy(*sets, ITEM)
     total = F.sum("students").over(of_item)

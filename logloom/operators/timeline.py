@@ -163,6 +163,23 @@ def in_blocks(
     return gathered.select(*keys, "block", F.col("_rows.v").alias(name))
 
 
+def blocks_of_spans(
+    spans: DataFrame, keys: Sequence[str], value: Column, name: str = "values", size: int = 1000
+) -> DataFrame:
+    """Lists as of `in_blocks`, from spans (start, end) of equal values: no row per position."""
+    first, last = (F.floor(F.col(c) / size).cast("long") for c in ("start", "end"))
+    pieces = spans.select(
+        *keys, "start", "end", value.alias("_value"), F.explode(F.sequence(first, last)).alias("block")
+    )
+    start = F.greatest(F.col("start"), F.col("block") * size)
+    length = F.least(F.col("end"), F.col("block") * size + size - 1) - start + 1
+    gathered = pieces.groupBy(*keys, "block").agg(
+        F.array_sort(F.collect_list(F.struct(start.alias("_at"), length.cast("int").alias("_n"), "_value"))).alias("_spans")
+    )
+    repeated = F.transform("_spans", lambda s: F.array_repeat(s["_value"], s["_n"]))
+    return gathered.select(*keys, "block", F.flatten(repeated).alias(name))
+
+
 def number_rows(
     log: DataFrame,
     by: Sequence[str] | None = None,

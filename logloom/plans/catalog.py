@@ -270,15 +270,17 @@ def verb_time_tokens(spark, sf_dir):
 
 @query
 def verb_time_padded(spark, sf_dir):
-    return beh.padded(settle(tokens(spark, sf_dir)))
+    """Token sequences of one length: a student's tokens, and a span of fillers."""
+    return beh.padded_spans(settle(tokens(spark, sf_dir)), {"token": ""})
 
 
 @query
 def verb_time_codes(spark, sf_dir):
-    """Each student's padded token sequence as codes, in blocks of a row each."""
-    rows = settle(beh.padded(settle(tokens(spark, sf_dir))))
-    coded = enc.with_codes(rows, "token", enc.code_book(rows, "token"))
-    blocks = in_blocks(coded, [STUDENT], F.col("token").cast("string"), name="codes")
+    """Each student's padded token sequence as codes, in blocks; a span is code x length."""
+    spans_ = settle(beh.padded_spans(settle(tokens(spark, sf_dir)), {"token": ""}))
+    coded = enc.with_codes(spans_, "token", enc.code_book(spans_, "token"))
+    cell = F.concat_ws("x", F.col("token"), F.col("end") - F.col("start") + 1)
+    blocks = in_blocks(coded, [STUDENT], cell, name="codes", position="start")
     return blocks.select(STUDENT, "block", F.array_join("codes", " ").alias("codes"))
 
 
@@ -303,22 +305,23 @@ def minute_lists(spark, sf_dir):
 
 @query
 def minute_series(spark, sf_dir):
-    return beh.minute_series(settle(beh.minute_summary(minutes(spark, sf_dir))))
+    """Every student's minutes, stretches without events as one span each."""
+    return beh.minute_spans(settle(beh.minute_summary(minutes(spark, sf_dir))))
 
 
 @query
 def minute_codes(spark, sf_dir):
     """The minute series with verb lists as codes, all numbers."""
-    series = settle(beh.minute_series(settle(beh.minute_summary(minutes(spark, sf_dir)))))
+    series = settle(beh.minute_spans(settle(beh.minute_summary(minutes(spark, sf_dir)))))
     book = enc.code_book(series, "unique_verb_chain")
     return enc.with_codes(series, "unique_verb_chain", book)
 
 
 @query
 def minute_tensor(spark, sf_dir):
-    series = beh.minute_series(settle(beh.minute_summary(minutes(spark, sf_dir))))
+    series = beh.minute_spans(settle(beh.minute_summary(minutes(spark, sf_dir))))
     cell = lambda m: F.concat_ws(
-        ":", m["duration_level"].cast("long"), m["verb_count"], m["unique_verb_count"], m["unique_verb_chain"]
+        ":", m["start"], m["end"], m["duration_level"].cast("long"), m["verb_count"], m["unique_verb_count"], m["unique_verb_chain"]
     )
     text = F.array_join(F.transform("minutes", cell), ";")
     return beh.minute_tensor(series).select(STUDENT, "block", text.alias("minutes"))
@@ -506,6 +509,21 @@ def conditional_option_share(spark, sf_dir):
     return shares.select(ITEM, "option", "students", whole("is_right"), "answered", rounded("share"))
 
 
+@query
+def item_right_share_mixed(spark, sf_dir):
+    """Right means all slots right, with items of one to five slots."""
+    scores = sco.scored(responses(spark, sf_dir), adapter.ANSWERS)
+    return sco.item_right_share(scores).select(ITEM, "answered", rounded("right_share"))
+
+
+@query
+def conditional_option_share_mixed(spark, sf_dir):
+    """Answers of the students who got the two easiest items all right."""
+    scores = settle(sco.scored(responses(spark, sf_dir), adapter.ANSWERS))
+    shares = sco.conditional_option_share(scores, easiest=2)
+    return shares.select(ITEM, "option", "students", whole("is_right"), "answered", rounded("share"))
+
+
 # --- Encoders -------------------------------------------------------------------------
 
 
@@ -580,10 +598,7 @@ def weight_sequences(spark, sf_dir):
     train = clean_log(log.where(adapter.is_train()))
     weights = settle(enc.verb_weight_map(train, adapter.labels(spark, sf_dir)))
     rows = settle(enc.weight_rows(cut(log), weights, SECOND, GRID * SECOND))
-    both = beh.padded(rows, "verb_weight", 0).join(
-        beh.padded(rows, "verb_duration", 0.0), [STUDENT, "position"]
-    )
-    return both.select(STUDENT, "position", "verb_weight", "verb_duration")
+    return beh.padded_spans(rows, {"verb_weight": 0, "verb_duration": 0.0})
 
 
 # --- Training and metrics -------------------------------------------------------------
@@ -673,7 +688,7 @@ def metrics_accuracy(spark, sf_dir):
 
 @query
 def metrics_by_fold(spark, sf_dir):
-    scores = mod.fold_metrics(guesses(spark, sf_dir).where(F.col(met.PROBABILITY).between(0.01, 0.99)))
+    scores = mod.fold_metrics(guesses(spark, sf_dir))
     return scores.select("fold", *[rounded(c) for c in ("loss", "accuracy", "auc", "kappa")])
 
 

@@ -423,10 +423,15 @@ add("common_verb_chains", "SELECT student_id, item_id, attempt, verb_chain FROM
 add("chain_features", "SELECT student_id, feature, value FROM chain_featured")
 add("first_of_verb_run", "SELECT student_id, item_id, attempt, verb_run, seq, observable FROM firsts")
 add("verb_time_tokens", "SELECT student_id, position, token FROM tokens")
-add("verb_time_padded", "SELECT student_id, position, token FROM padded")
-add("verb_time_codes", """
-SELECT student_id, position // 1000 AS block, string_agg(CAST(code AS VARCHAR), ' ' ORDER BY position) AS codes
-FROM (SELECT *, dense_rank() OVER (ORDER BY token) - 1 AS code FROM padded) c GROUP BY 1, 2""")
+#: Fillers, which have no token of their own, as one span per student.
+PADDED_SPANS = """(SELECT student_id, min(position) AS start, max(position) AS "end", token
+     FROM (SELECT *, CASE WHEN token = '' THEN -1 ELSE position END AS island FROM padded) p
+     GROUP BY student_id, island, token)"""
+add("verb_time_padded", f'SELECT student_id, start, "end", token FROM {PADDED_SPANS} s')
+add("verb_time_codes", f"""
+SELECT student_id, start // 1000 AS block,
+       string_agg(CAST(code AS VARCHAR) || 'x' || CAST("end" - start + 1 AS VARCHAR), ' ' ORDER BY start) AS codes
+FROM (SELECT *, dense_rank() OVER (ORDER BY token) - 1 AS code FROM {PADDED_SPANS} s) c GROUP BY 1, 2""")
 add("minute_summary", """
 SELECT student_id, minute, duration_level, verb_count, unique_verb_count,
        array_to_string(unique_verbs, ',') AS unique_verbs FROM minute_counted""")
@@ -436,16 +441,21 @@ SELECT student_id, minute, place // 1000 AS block,
 FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY event_time, seq) - 1 AS place
       FROM minute_kept) p
 GROUP BY 1, 2, 3""")
-add("minute_series", """
-SELECT student_id, minute, duration_level, verb_count, unique_verb_count, unique_verb_chain FROM minute_grid""")
-add("minute_codes", """
-SELECT student_id, minute, duration_level, verb_count, unique_verb_count,
-       dense_rank() OVER (ORDER BY unique_verb_chain) - 1 AS unique_verb_chain FROM minute_grid""")
-add("minute_tensor", """
-SELECT student_id, minute // 1000 AS block,
-       string_agg(CAST(CAST(duration_level AS BIGINT) AS VARCHAR) || ':' || CAST(verb_count AS VARCHAR) || ':'
-                  || CAST(unique_verb_count AS VARCHAR) || ':' || unique_verb_chain, ';' ORDER BY minute) AS minutes
-FROM minute_grid GROUP BY 1, 2""")
+#: Minutes without events next to each other as one span.
+MINUTE_SPANS = """(SELECT student_id, min(minute) AS start, max(minute) AS "end", duration_level, verb_count, unique_verb_count, unique_verb_chain
+     FROM (SELECT *, CASE WHEN verb_count > 0 THEN -1 - minute ELSE minute - row_number() OVER (
+               PARTITION BY student_id, verb_count > 0 ORDER BY minute) END AS island FROM minute_grid) g
+     GROUP BY student_id, island, duration_level, verb_count, unique_verb_count, unique_verb_chain)"""
+add("minute_series", f"SELECT * FROM {MINUTE_SPANS} s")
+add("minute_codes", f"""
+SELECT student_id, start, "end", duration_level, verb_count, unique_verb_count,
+       dense_rank() OVER (ORDER BY unique_verb_chain) - 1 AS unique_verb_chain FROM {MINUTE_SPANS} s""")
+add("minute_tensor", f"""
+SELECT student_id, start // 1000 AS block,
+       string_agg(CAST(start AS VARCHAR) || ':' || CAST("end" AS VARCHAR) || ':' || CAST(CAST(duration_level AS BIGINT) AS VARCHAR)
+                  || ':' || CAST(verb_count AS VARCHAR) || ':'
+                  || CAST(unique_verb_count AS VARCHAR) || ':' || unique_verb_chain, ';' ORDER BY start) AS minutes
+FROM {MINUTE_SPANS} s GROUP BY 1, 2""")
 
 # --- Series ---------------------------------------------------------------------------
 add("clean_extended_info", "SELECT student_id, seq, item_id, item_type, observable FROM combined")
@@ -535,6 +545,22 @@ SELECT item_id, answer AS option, count(*) AS students, max(score) AS is_right,
 FROM choice_scored WHERE answer IS NOT NULL AND student_id IN (SELECT student_id FROM passed)
 GROUP BY item_id, answer""")
 
+#: Slots of an item of the mixed key, and its answer as one text.
+N_SLOTS = "(CASE item_id WHEN 'IT00' THEN 1 WHEN 'IT01' THEN 5 WHEN 'IT02' THEN 3 ELSE 4 END)"
+MIXED = f"""(SELECT *, CAST(score = {N_SLOTS} AS BIGINT) AS is_right,
+    array_to_string(list_transform(slots, lambda s: coalesce(s, '-')), '|') AS answer FROM scored WHERE slots IS NOT NULL)"""
+add("item_right_share_mixed", f"""
+SELECT item_id, count(*) AS answered, round(avg(is_right), 6) AS right_share FROM {MIXED} m GROUP BY item_id""")
+add("conditional_option_share_mixed", f"""
+SELECT item_id, answer AS option, count(*) AS students, max(is_right) AS is_right,
+       CAST(sum(count(*)) OVER (PARTITION BY item_id) AS BIGINT) AS answered,
+       round(count(*) / sum(count(*)) OVER (PARTITION BY item_id), 6) AS share
+FROM {MIXED} m WHERE student_id IN (
+    SELECT student_id FROM {MIXED} r WHERE is_right = 1 AND item_id IN (
+        SELECT item_id FROM {MIXED} e GROUP BY item_id ORDER BY avg(is_right) DESC, item_id LIMIT 2)
+    GROUP BY student_id HAVING count(*) = 2)
+GROUP BY item_id, answer""")
+
 # --- Encoders -------------------------------------------------------------------------
 for name in ("label_encode", "label_encode_cut"):
     add(name, "SELECT observable, row_number() OVER (ORDER BY observable) - 1 AS code FROM (SELECT DISTINCT observable FROM combined) v")
@@ -613,16 +639,15 @@ SELECT count(*) AS students, count(*) FILTER ((p > 0.5) = (truth = 1)) AS right,
 add("metrics_by_fold", f"""
 SELECT fold, round(loss, 6) AS loss, round((tn + tp) / n, 6) AS accuracy, round(auc, 6) AS auc,
        round({KAPPA}, 6) AS kappa
-FROM ({COUNTS.format(by="fold,", where="WHERE p BETWEEN 0.01 AND 0.99", group="GROUP BY fold")}) c
-JOIN (SELECT fold, avg(-CASE WHEN truth = 1 THEN ln(p) ELSE ln(1 - p) END) AS loss
-      FROM guesses WHERE p BETWEEN 0.01 AND 0.99 GROUP BY fold) l USING (fold)
+FROM ({COUNTS.format(by="fold,", where="", group="GROUP BY fold")}) c
+JOIN (SELECT fold, avg(-CASE WHEN truth = 1 THEN ln(clipped) ELSE ln(1 - clipped) END) AS loss
+      FROM (SELECT *, greatest(least(CAST(p AS DOUBLE), 1 - 1e-15), 1e-15) AS clipped FROM guesses) GROUP BY fold) l USING (fold)
 JOIN (SELECT a.fold, sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / count(*) AS auc
       FROM guesses a JOIN guesses b ON a.fold = b.fold AND a.truth = 1 AND b.truth = 0
-      WHERE a.p BETWEEN 0.01 AND 0.99 AND b.p BETWEEN 0.01 AND 0.99
       GROUP BY a.fold) r USING (fold)""")
 add("describe", """
 SELECT 'duration' AS "column", count(duration) AS count, round(avg(duration), 6) AS mean,
        round(stddev_samp(duration), 6) AS std, round(min(duration), 6) AS min,
-       round(quantile_disc(duration, 0.25), 6) AS q25, round(quantile_disc(duration, 0.5), 6) AS q50,
-       round(quantile_disc(duration, 0.75), 6) AS q75, round(max(duration), 6) AS max
+       round(quantile_cont(duration, 0.25), 6) AS q25, round(quantile_cont(duration, 0.5), 6) AS q50,
+       round(quantile_cont(duration, 0.75), 6) AS q75, round(max(duration), 6) AS max
 FROM durations""")

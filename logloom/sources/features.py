@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators.behaviour import padded
+from logloom.operators.behaviour import padded_spans
 from logloom.operators.encode import (
     WEIGHT,
     encoded_series,
@@ -16,8 +16,8 @@ from logloom.operators.encode import (
     weight_rows,
 )
 from logloom.operators.clean import clean_log
-from logloom.operators.series import MASKED, SECOND, dense_rows, second_series
-from logloom.operators.timeline import in_blocks
+from logloom.operators.series import MASKED, second_series
+from logloom.operators.timeline import blocks_of_spans
 from logloom.operators.timing import VERB_DURATION
 from logloom.schema import GRID_SECONDS, STUDENT, subject
 from logloom.session import settle
@@ -26,11 +26,9 @@ from logloom.sources.files import path_exists, write_table
 FEATURES, DIMS = "features", "dims"
 
 
-def sequence_blocks(rows: DataFrame, column: str, position: str, size: int = 1000) -> DataFrame:
+def sequence_blocks(spans: DataFrame, column: str, size: int = 1000) -> DataFrame:
     """A column's values per student in order, as blocks (feature, block, values)."""
-    blocks = in_blocks(
-        rows, subject(rows), F.col(column).cast("double"), position=position, size=size
-    )
+    blocks = blocks_of_spans(spans, subject(spans), F.col(column).cast("double"), size=size)
     return blocks.withColumn("feature", F.lit(column))
 
 
@@ -40,26 +38,23 @@ def save_all(
     folder: str,
     time_bin: int = 1,
     limit: int = GRID_SECONDS,
-    training_log: DataFrame | None = None,
+    *,
+    training_log: DataFrame,
 ) -> None:
     """Save all sequences of all batches and tasks, and the dimensions of each batch.
 
     `log` holds train and hidden logs of every batch; code books are shared by the tasks of
-    one batch. `training_log` gives the verb weights; by default the last batch's train log.
+    one batch. `training_log` gives the verb weights: the full log of the training students.
     """
     spans = settle(second_series(log, time_bin, limit))
     write_table(encoding_dims(spans), f"{folder}/{DIMS}")
-    if training_log is None:
-        longest = log.agg(F.max("batch")).first()[0]
-        training_log = log.where((F.col("task") == "train") & (F.col("batch") == longest))
     weights = settle(verb_weight_map(clean_log(training_log), labels))
     coded, _ = encoded_series(spans)
-    seconds = dense_rows(coded)
-    parts = [sequence_blocks(seconds, c, SECOND) for c in MASKED]
+    coded = settle(coded)
+    parts = [sequence_blocks(coded, c) for c in MASKED]
     rows = settle(weight_rows(log, weights, time_bin, limit))
-    for column in (WEIGHT, VERB_DURATION):
-        numbered = rows.withColumn(column, F.col(column).cast("double"))
-        parts.append(sequence_blocks(padded(numbered, column, 0.0), column, "position"))
+    filled = settle(padded_spans(rows, {WEIGHT: 0, VERB_DURATION: 0.0}))
+    parts += [sequence_blocks(filled, c) for c in (WEIGHT, VERB_DURATION)]
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part)

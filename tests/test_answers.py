@@ -207,6 +207,24 @@ def test_option_share_among_those_who_got_the_easy_item(make_log):
     assert rows(share.select("option", "students", "answered", F.round("share", 3))) == [("1", 1, 3, 0.333), ("2", 2, 3, 0.667)]
 
 
+def test_right_means_all_slots(make_log):
+    full, part = [("1", 2), ("2", 3), ("3", 1), ("4", 4)], [("1", 2), ("2", 2), ("3", 3), ("4", 1)]
+    key = {"D": ("match", [["2"], ["3"], ["1"], ["4"]]), "C": ("choice", [["3"]])}
+
+    def drops(student, pairs):
+        info = "[" + ",".join(f'{{"source":"{s}","target":{t}}}' for s, t in pairs) + "]"
+        return [(student, "D", "Enter Item", None), (student, "D", "DropChoice", info)]
+
+    def click(student, n):
+        return [(student, "C", "Enter Item", None), (student, "C", "Click Choice", f"C_{n}:checked")]
+
+    found = scores(make_log, drops(1, full), click(1, 3), drops(2, part), click(2, 3), drops(3, full), click(3, 1), key=key)
+    assert rows(found.where(F.col(ITEM) == "D"), "score", "is_right") == [(1, False), (4, True), (4, True)]
+    assert rows(scoring.item_right_share(found).select(ITEM, F.round("right_share", 3))) == [("C", 0.667), ("D", 0.667)]
+    both = scoring.conditional_option_share(found, easiest=2)
+    assert rows(both, ITEM, "option", "students") == [("C", "3", 1), ("D", "2|3|1|4", 1)]
+
+
 def test_published_key(spark):
     table = answer_key(spark)
     assert table.count() == len(ANSWER_KEY) == 19

@@ -49,6 +49,9 @@ def test_padding(make_log):
     log = make_log([(1, n, "A", f"v{n}") for n in range(4)] + [(2, 0, "A", "v0")])
     tokens = behaviour.verb_time_tokens(prepare.preprocess(log))
     assert rows(tokens.where(F.col(STUDENT) == 2), "position", "token") == [(0, "A_v0_(0)")]
+    spans = behaviour.padded_spans(tokens, {"token": ""})
+    assert rows(spans.where(F.col(STUDENT) == 2), "start", "end", "token") == [(0, 0, "A_v0_(0)"), (1, 3, "")]
+    assert spans.count() == 6
     found = behaviour.padded(tokens)
     assert found.count() == 8
     assert rows(found.where((F.col(STUDENT) == 2) & (F.col("position") > 0)), "token") == [("",)] * 3
@@ -72,8 +75,20 @@ def test_minutes(make_log):
     names = ("minute", "verb_count", "unique_verb_count", "unique_verb_chain")
     one = rows(series.where(F.col(STUDENT) == 1), *names)
     assert one == [(0, 3, 2, '["Scratchwork","Yes"]'), (1, 0, 0, "0"), (2, 0, 0, "0"), (3, 1, 1, '["Yes"]')]
-    tensor = behaviour.minute_tensor(series, block=3)
-    assert rows(tensor.select(STUDENT, "block", F.size("minutes"))) == [(1, 0, 3), (1, 1, 1), (2, 0, 3), (2, 1, 1)]
+    spans = behaviour.minute_spans(summary)
+    found = rows(spans, STUDENT, "start", "end", "verb_count")
+    assert found == [(1, 0, 0, 3), (1, 1, 2, 0), (1, 3, 3, 1), (2, 0, 0, 2), (2, 1, 3, 0)]
+    tensor = behaviour.minute_tensor(spans, block=3)
+    assert rows(tensor.select(STUDENT, "block", F.size("minutes"))) == [(1, 0, 2), (1, 1, 1), (2, 0, 2)]
+
+
+def test_one_long_student_pads_no_rows(spark):
+    rows_ = [(s, n) for s in range(2, 200) for n in range(5)] + [(1, n) for n in range(20_000)]
+    tokens = spark.createDataFrame([(s, n, "t") for s, n in rows_], "student_id long, position long, token string")
+    assert behaviour.padded_spans(tokens, {"token": ""}).count() == len(rows_) + 198
+    counts = [F.lit(x).alias(n) for n, x in (("duration_level", 1.0), ("verb_count", 1), ("unique_verb_count", 1))]
+    summary = tokens.select(STUDENT, (F.col("position") * 50).alias("minute"), *counts, F.array(F.lit("v")).alias("unique_verbs"))
+    assert behaviour.minute_spans(summary).count() <= 2 * len(rows_)
 
 
 def test_long_actions_are_dropped(make_log):

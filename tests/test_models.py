@@ -54,6 +54,18 @@ def test_describe(spark):
     assert (row["count"], row["mean"], row["min"], row["q50"], row["max"]) == (5, 4.0, 1.0, 3.0, 10.0)
 
 
+@pytest.mark.parametrize("max_rows", [7, 10**6])
+def test_quartiles_are_exact(spark, max_rows):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=501).round(2), rng.integers(0, 4, 501).astype(float)
+    data = [(float(a), None if i % 7 == 0 else float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame([(*r, None) for r in data], "x double, y double, z double")
+    found = {r["column"]: r for r in metrics.describe(df, ["x", "y", "z"], max_rows).collect()}
+    for name, values in (("x", x), ("y", [b for _, b in data if b is not None])):
+        assert [found[name][q] for q in ("q25", "q50", "q75")] == pytest.approx(np.quantile(values, [0.25, 0.5, 0.75]).tolist())
+    assert (found["z"]["count"], found["z"]["q50"]) == (0, None)
+
+
 @pytest.mark.parametrize("seed", [None, 8])
 def test_folds_are_stratified(spark, seed):
     people = spark.range(100).select(F.col("id").alias(STUDENT), (F.col("id") % 4 == 0).alias("label"))

@@ -89,7 +89,7 @@ def test_features_are_saved_and_read(spark, make_log, tmp_path):
         features.read_sequences(spark, folder, "10")
     with pytest.raises(FileNotFoundError, match="run save_all first"):
         features.read_dims(spark, folder, "10")
-    features.save_all(log, labels, folder, limit=40)
+    features.save_all(log, labels, folder, limit=40, training_log=one.where("task = 'train'"))
     dims = dict(rows(features.read_dims(spark, folder, "10")))
     assert dims == {"item_id": 3, "item_type": 2, "observable": 4, "verb_weight": 6}
     weights = features.read_sequences(spark, folder, "20")

@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logloom.operators.clean import clean_log
 from logloom.operators.series import MASKED, weight_series
@@ -30,6 +28,7 @@ WEIGHT = "verb_weight"
 #: Weight of verbs the training log does not have, and number of weight classes.
 NEUTRAL_WEIGHT = 4
 WEIGHT_BINS = 6
+NEWTON_STEPS = 60
 
 
 def code_book(
@@ -122,72 +121,83 @@ def equal_width_bins(df: DataFrame, column: str, bins: int = WEIGHT_BINS) -> Dat
     return bounded.withColumn(column, binned).drop("_min", "_max")
 
 
-def verb_weights(clean: DataFrame, labels: DataFrame) -> DataFrame:
-    """How strongly each (item, verb) speaks for the label: a regression coefficient.
+def pair_counts(clean: DataFrame, labels: DataFrame) -> DataFrame:
+    """`positive` and `negative`: balanced weights of the events of each (item, verb) by label.
 
-    Balanced logistic regression on one-hot (item, verb), penalised with C = 1 including
-    the intercept. Events with equal verb and label are equal rows of the regression, so it
-    is fitted on their counts: at most two rows per distinct (item, verb).
+    Each label that occurs weighs as much as any other in total, and all events as many as they are.
     """
-    pair = F.concat(ITEM, F.lit("&&"), VERB)
-    counts = (
+    events = (
         clean.where(F.col(ITEM).isNotNull() & F.col(VERB).isNotNull())
         .groupBy(STUDENT, ITEM, VERB)
         .count()
         .join(labels.select(STUDENT, LABEL), STUDENT, "left")
         .where(F.col(LABEL).isNotNull())
-        .groupBy(pair.alias("pair"), F.col(LABEL).cast("double").alias(LABEL))
-        .agg(F.sum("count").alias("events"))
-        .cache()
-    )
-    totals = {r[LABEL]: r["events"] for r in counts.groupBy(LABEL).agg(F.sum("events").alias("events")).collect()}
-    total = sum(totals.values())
-    share = F.create_map(
-        *[F.lit(float(x)) for k, v in totals.items() for x in (k, total / (len(totals) * v))]
     )
-    weighted = counts.select(
-        "pair", LABEL, (F.col("events") * share[F.col(LABEL)]).alias("weight"), F.lit(1.0).alias("one")
+    count = F.col("count")
+    counts = settle(
+        events.groupBy(ITEM, VERB).agg(
+            F.coalesce(F.sum(F.when(F.col(LABEL), count)), F.lit(0)).alias("yes"),
+            F.coalesce(F.sum(F.when(~F.col(LABEL), count)), F.lit(0)).alias("no"),
+        )
     )
-    # The intercept is the coefficient of the column `one`, so that it is penalised too. Spark
-    # fits no coefficient to a constant column; a row of zeros makes it vary, and has the same
-    # loss whatever the coefficients.
-    spark = clean.sparkSession
-    zeros = spark.createDataFrame([(None, 0.0, float(total), 0.0)], weighted.schema)
-    pipeline = Pipeline(
-        stages=[
-            StringIndexer(
-                inputCol="pair",
-                outputCol="index",
-                stringOrderType="alphabetAsc",
-                handleInvalid="keep",
-            ),
-            OneHotEncoder(inputCol="index", outputCol="onehot", dropLast=True),
-            VectorAssembler(inputCols=["onehot", "one"], outputCol="features"),
-            LogisticRegression(
-                labelCol=LABEL,
-                weightCol="weight",
-                regParam=1.0 / (2 * total),
-                elasticNetParam=0.0,
-                standardization=False,
-                fitIntercept=False,
-                maxIter=200,
-                tol=1e-8,
-            ),
-        ]
+    totals = counts.agg(F.sum("yes").alias("_yes"), F.sum("no").alias("_no"))
+    both = beside(counts, totals, [])
+    labels_seen = (F.col("_yes") > 0).cast("int") + (F.col("_no") > 0).cast("int")
+    share = {n: F.try_divide(F.col("_yes") + F.col("_no"), labels_seen * F.col(f"_{n}")) for n in ("yes", "no")}
+    return both.select(
+        ITEM,
+        VERB,
+        F.coalesce(F.col("yes") * share["yes"], F.lit(0.0)).alias("positive"),
+        F.coalesce(F.col("no") * share["no"], F.lit(0.0)).alias("negative"),
     )
-    model = pipeline.fit(weighted.unionByName(zeros))
-    counts.unpersist()
-    names = model.stages[0].labelsArray[0]
-    coefficients = model.stages[-1].coefficients.toArray()
-    rows = [(*name.split("&&", 1), float(c)) for name, c in zip(names, coefficients)]
-    schema = T.StructType(
-        [
-            T.StructField(ITEM, T.StringType()),
-            T.StructField(VERB, T.StringType()),
-            T.StructField(WEIGHT, T.DoubleType()),
-        ]
-    )
-    return spark.createDataFrame(rows, schema)
+
+
+def pair_weight(intercept: Column, steps: int = NEWTON_STEPS) -> Column:
+    """The best coefficient of a pair for a given intercept.
+
+    Newton's method, from where the slope is steepest: it comes nearer with each step, from
+    one side, and needs as many steps as the logarithm of the counts at most.
+    """
+    events = F.col("positive") + F.col("negative")
+
+    def step(w: Column, _: Column) -> Column:
+        p = 1 / (1 + F.exp(-(w + intercept)))
+        return w - (events * p - F.col("positive") + w) / (events * p * (1 - p) + 1)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), -intercept, step)
+
+
+def fitted_intercept(counts: DataFrame, tolerance: float = 1e-10, limit: int = 100) -> float:
+    """The intercept at which it equals the sum of the coefficients, where the gradient is 0.
+
+    One aggregate per step; nothing but two sums reaches the driver.
+    """
+    b, low, high = 0.0, float("-inf"), float("inf")
+    for _ in range(limit):
+        w = counts.select("positive", "negative", pair_weight(F.lit(b)).alias("w"))
+        p = 1 / (1 + F.exp(-(F.col("w") + F.lit(b))))
+        bend = (F.col("positive") + F.col("negative")) * p * (1 - p)
+        total, slope = w.agg(F.sum("w"), F.sum(bend / (1 + bend))).first()
+        gap = b - (total or 0.0)
+        if abs(gap) <= tolerance * (1 + abs(b)):
+            return b
+        low, high = (low, b) if gap > 0 else (b, high)
+        b = b - gap / (1 + slope)
+        if not low < b < high:
+            b = (low + high) / 2
+    raise RuntimeError("the intercept does not settle")
+
+
+def verb_weights(clean: DataFrame, labels: DataFrame) -> DataFrame:
+    """How strongly each (item, verb) speaks for the label: a regression coefficient.
+
+    Balanced logistic regression on one-hot (item, verb), penalised with C = 1 including the
+    intercept. No event has two pairs, so each pair's coefficient is a problem of its own
+    once the intercept is known, and pairs stay rows of a table.
+    """
+    counts = settle(pair_counts(clean, labels))
+    intercept = fitted_intercept(counts)
+    return counts.select(ITEM, VERB, pair_weight(F.lit(intercept)).alias(WEIGHT))
 
 
 def verb_weight_map(clean: DataFrame, labels: DataFrame) -> DataFrame:

@@ -518,8 +518,9 @@ def item_right_share_mixed(spark, sf_dir):
 
 @query
 def conditional_option_share_mixed(spark, sf_dir):
-    """Answers of the students who got the two easiest items all right."""
-    scores = settle(sco.scored(responses(spark, sf_dir), adapter.ANSWERS))
+    """Answers of the students who got the two easiest items all right; one item has four slots."""
+    key = {**adapter.CHOICE_ANSWERS, "IT03": adapter.ANSWERS["IT03"]}
+    scores = settle(sco.scored(responses(spark, sf_dir, key), key))
     shares = sco.conditional_option_share(scores, easiest=2)
     return shares.select(ITEM, "option", "students", whole("is_right"), "answered", rounded("share"))
 

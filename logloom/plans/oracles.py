@@ -311,10 +311,45 @@ VIEWS = {
 }
 
 
+def coefficient(intercept: str) -> str:
+    """Newton's method for one pair's coefficient: 60 steps from where the slope is steepest."""
+    p = f"(1 / (1 + exp(-(w + {intercept}))))"
+    step = f"w - ((positive + negative) * {p} - positive + w) / ((positive + negative) * {p} * (1 - {p}) + 1)"
+    return f"list_reduce([-{intercept}] || list_transform(range(60), lambda x: CAST(0 AS DOUBLE)), lambda w, x: {step})"
+
+
+VIEWS["pair_events"] = """
+        SELECT item_id, observable, count(*) FILTER (student_id % 2 = 1) AS yes, count(*) FILTER (student_id % 2 = 0) AS no
+        FROM combined WHERE student_id % 4 <> 0 AND item_id IS NOT NULL AND observable IS NOT NULL GROUP BY 1, 2"""
+VIEWS["pairs"] = """
+        SELECT item_id, observable, coalesce(yes * ((yes_all + no_all) / (seen * nullif(yes_all, 0))), 0.0) AS positive,
+               coalesce(no * ((yes_all + no_all) / (seen * nullif(no_all, 0))), 0.0) AS negative
+        FROM pair_events, (SELECT sum(yes) AS yes_all, sum(no) AS no_all,
+                                  CAST(sum(yes) > 0 AS INT) + CAST(sum(no) > 0 AS INT) AS seen FROM pair_events)"""
+#: The intercept equals the sum of the coefficients: halved down to it.
+VIEWS["fit"] = f"""
+        SELECT 0, CAST(-1000 AS DOUBLE), CAST(1000 AS DOUBLE) UNION ALL
+        SELECT step + 1, CASE WHEN gap > 0 THEN low ELSE mid END, CASE WHEN gap > 0 THEN mid ELSE high END
+        FROM (SELECT step, low, high, mid, mid - sum({coefficient("mid")}) AS gap
+              FROM (SELECT *, (low + high) / 2 AS mid FROM fit) f, pairs WHERE step < 70 GROUP BY step, low, high, mid)"""
+VIEWS["weighed"] = f"""
+        SELECT item_id, observable, {coefficient("b")} AS verb_weight
+        FROM pairs, (SELECT low AS b FROM fit WHERE step = 70) i"""
+VIEWS["weight_classes"] = """
+        SELECT item_id, observable, CAST(CASE WHEN high > low
+            THEN least(floor((verb_weight - low) / ((high - low) / 6)) + 1, 6) ELSE 1 END AS INT) AS verb_weight
+        FROM weighed, (SELECT min(verb_weight) AS low, max(verb_weight) AS high FROM weighed) m"""
+VIEWS["weight_places"] = """
+        SELECT b.student_id, row_number() OVER (PARTITION BY b.student_id ORDER BY b.event_time, b.seq) - 1 AS position,
+               coalesce(w.verb_weight, 4) AS verb_weight, b.verb_duration
+        FROM binned b LEFT JOIN weight_classes w USING (item_id, observable)"""
+
+
 def sql(query: str, *changes: tuple[str, str]) -> str:
     """The query with all views it may need in front."""
-    views = ",\n".join(f"{name} AS ({body})" for name, body in VIEWS.items() if _needed(name, query))
-    text = f"WITH {views}\n{query}"
+    columns = {"fit": "fit(step, low, high)"}
+    views = ",\n".join(f"{columns.get(name, name)} AS ({body})" for name, body in VIEWS.items() if _needed(name, query))
+    text = f"WITH {'RECURSIVE ' if 'fit(step, low, high) AS' in views else ''}{views}\n{query}"
     for old, new in changes:
         text = text.replace(old, new)
     return text
@@ -551,13 +586,17 @@ MIXED = f"""(SELECT *, CAST(score = {N_SLOTS} AS BIGINT) AS is_right,
     array_to_string(list_transform(slots, lambda s: coalesce(s, '-')), '|') AS answer FROM scored WHERE slots IS NOT NULL)"""
 add("item_right_share_mixed", f"""
 SELECT item_id, count(*) AS answered, round(avg(is_right), 6) AS right_share FROM {MIXED} m GROUP BY item_id""")
+#: Choices at three items, and the match item with its four slots.
+CHOICES_AND_MATCH = f"""(SELECT student_id, item_id, answer, score AS is_right FROM choice_scored
+    WHERE item_id <> 'IT03' AND answer IS NOT NULL
+    UNION ALL SELECT student_id, item_id, answer, is_right FROM {MIXED} x WHERE item_id = 'IT03')"""
 add("conditional_option_share_mixed", f"""
 SELECT item_id, answer AS option, count(*) AS students, max(is_right) AS is_right,
        CAST(sum(count(*)) OVER (PARTITION BY item_id) AS BIGINT) AS answered,
        round(count(*) / sum(count(*)) OVER (PARTITION BY item_id), 6) AS share
-FROM {MIXED} m WHERE student_id IN (
-    SELECT student_id FROM {MIXED} r WHERE is_right = 1 AND item_id IN (
-        SELECT item_id FROM {MIXED} e GROUP BY item_id ORDER BY avg(is_right) DESC, item_id LIMIT 2)
+FROM {CHOICES_AND_MATCH} m WHERE student_id IN (
+    SELECT student_id FROM {CHOICES_AND_MATCH} r WHERE is_right = 1 AND item_id IN (
+        SELECT item_id FROM {CHOICES_AND_MATCH} e GROUP BY item_id ORDER BY avg(is_right) DESC, item_id LIMIT 2)
     GROUP BY student_id HAVING count(*) = 2)
 GROUP BY item_id, answer""")
 
@@ -581,6 +620,13 @@ SELECT b.student_id, row_number() OVER (PARTITION BY b.student_id ORDER BY b.eve
        coalesce(w.verb_weight, 4) AS verb_weight, b.verb_duration
 FROM binned b LEFT JOIN (SELECT * FROM rate_bins WHERE item_id <> 'IT03') w USING (item_id, observable)""")
 
+add("verb_weight_map", "SELECT item_id, observable, verb_weight FROM weight_classes")
+add("weight_sequences", """
+SELECT student_id, position AS start, position AS "end", verb_weight, verb_duration FROM weight_places
+UNION ALL
+SELECT student_id, max(position) + 1, (SELECT max(position) FROM weight_places), 0, 0.0 FROM weight_places
+GROUP BY student_id HAVING max(position) < (SELECT max(position) FROM weight_places)""")
+
 # --- Training and metrics -------------------------------------------------------------
 add("labelled_events", """
 SELECT observable, CASE WHEN student_id % 4 <> 0 THEN student_id % 2 = 1 END AS label, count(*) AS events

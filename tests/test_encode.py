@@ -73,7 +73,7 @@ def test_verb_weights_solve_the_regression(spark, make_log):
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     expected = newton(x, y, weight)
     values = {r[VERB]: r["verb_weight"] for r in found.collect()}
-    assert [values[f"{v}_"] for v in verbs] == pytest.approx(list(expected[:4]), abs=2e-3)
+    assert [values[f"{v}_"] for v in verbs] == pytest.approx(list(expected[:4]), abs=1e-8)
 
 
 def test_unknown_verbs_get_the_neutral_weight(spark, make_log):

@@ -743,16 +743,10 @@ def fold_metrics(spark, sf_dir):
 @query
 def routine_submission(spark, sf_dir):
     """Train and predict per batch, each hidden student in one batch, then the submission."""
-    log = settle(prep.cut_to_batches(event_log(spark, sf_dir), adapter.BATCH_LIMITS))
-    labels = adapter.labels(spark, sf_dir)
-    parts = []
-    for number, batch in enumerate(adapter.BATCH_LIMITS):
-        one = log.where(F.col("batch") == batch).drop("batch")
-        own = ~adapter.is_train() & (F.floor(F.col(STUDENT) / 4) % 3 == number)
-        parts.append(
-            rou.batch_predictions(
-                one.where(adapter.is_train()), one.where(own), labels, small_forest(), adapter.ITEMS
-            )
-        )
+    log = adapter.with_task(prep.cut_to_batches(event_log(spark, sf_dir), adapter.BATCH_LIMITS))
+    batches = F.array(*[F.lit(b) for b in adapter.BATCH_LIMITS])
+    own = F.col("batch") == F.element_at(batches, (F.floor(F.col(STUDENT) / 4) % 3 + 1).cast("int"))
+    sets = settle(log.where(adapter.is_train() | own))
+    found = rou.batch_predictions(sets, adapter.labels(spark, sf_dir), small_forest(), adapter.ITEMS)
     hidden = adapter.roster(spark, sf_dir).where(~adapter.is_train())
-    return submission_lines(rou.on_roster(hidden, rou.stack_predictions(parts)))
+    return submission_lines(rou.on_roster(hidden, found))

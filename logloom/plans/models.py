@@ -6,7 +6,10 @@ import itertools
 import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -29,12 +32,14 @@ BOOSTING_ROUNDS = [500, 1000, 1500, 2000, 2500]
 CROSS_VALIDATION = 3
 # --- End of fixed values. -------------------------------------------------------------
 
+#: Trees grow until their leaves are pure, or to the deepest that Spark's trees go.
+FULL_DEPTH = 30
 #: Settings of a grid that are tried at the same time.
 PARALLELISM = 4
 
 
 def random_forest(
-    trees: int = 3000, feature_fraction: float = 0.3, seed: int = 0, max_depth: int = 10
+    trees: int = 3000, feature_fraction: float = 0.3, seed: int = 0, max_depth: int = FULL_DEPTH
 ) -> RandomForestClassifier:
     return RandomForestClassifier(
         featuresCol="features",
@@ -179,7 +184,7 @@ def forest_grid(
     trees: Sequence[int] = tuple(TREES),
     fractions: Sequence[float] = tuple(FEATURE_FRACTIONS),
     folds: int = CROSS_VALIDATION,
-    max_depth: int = 10,
+    max_depth: int = FULL_DEPTH,
 ) -> DataFrame:
     settings = {
         (n, f): (lambda n=n, f=f: random_forest(n, f, max_depth=max_depth))
@@ -189,7 +194,7 @@ def forest_grid(
 
 
 def best_forest(
-    data: DataFrame, names: Sequence[str], scores: DataFrame, max_depth: int = 10
+    data: DataFrame, names: Sequence[str], scores: DataFrame, max_depth: int = FULL_DEPTH
 ) -> PipelineModel:
     """Fit the best setting of the grid to all rows."""
     trees, fraction = best_setting(scores, FOREST_PARAMETERS)
@@ -198,13 +203,18 @@ def best_forest(
 
 
 class BoostedRegression:
-    """Boosted logistic regression: each round weighs the rows missed so far higher."""
+    """Boosted logistic regression: each round weighs the rows missed so far higher.
+
+    Its members are linear, so it is a strength, an intercept and coefficients per round: as
+    many numbers as rounds x features, and all rounds vote in one matrix product.
+    """
 
     def __init__(self, rounds: int, settle_every: int = 5, max_iter: int = 200):
         self.rounds = rounds
         self.settle_every = settle_every
         self.max_iter = max_iter
-        self.members: list[tuple[float, Model]] = []
+        self.names: list[str] = []
+        self.members: list[tuple[float, float, list[float]]] = []
 
     def fit(self, data: DataFrame, names: Sequence[str]) -> BoostedRegression:
         assembler = VectorAssembler(inputCols=list(names), outputCol="features")
@@ -215,9 +225,10 @@ class BoostedRegression:
         regression = LogisticRegression(
             labelCol=LABEL, weightCol="weight", regParam=1.0, maxIter=self.max_iter
         )
-        self.assembler, self.members = assembler, []
+        self.names, self.members = list(names), []
         for turn in range(1, self.rounds + 1):
             model = regression.fit(rows)
+            member = (float(model.intercept), [float(x) for x in model.coefficients])
             missed = (F.col("prediction") != F.col(LABEL)).cast("double")
             tried = model.transform(rows).withColumn("_missed", missed)
             total, wrong = tried.agg(
@@ -225,37 +236,59 @@ class BoostedRegression:
             ).first()
             error = wrong / total
             if error <= 0:
-                self.members.append((1.0, model))
+                self.members.append((1.0, *member))
                 break
             if error >= 0.5:
                 break
             strength = math.log((1 - error) / error)
-            self.members.append((strength, model))
+            self.members.append((strength, *member))
             raised = F.col("weight") * F.exp(strength * F.col("_missed")) / F.lit(total)
             rows = tried.withColumn("weight", raised).select(STUDENT, LABEL, "features", "weight")
             if turn % self.settle_every == 0:
                 rows = settle(rows)
         if not self.members:
             # Not even the first round beat chance: keep it as the only voice.
-            self.members.append((1.0, model))
+            self.members.append((1.0, *member))
         return self
 
+    def staged(self, rows: DataFrame, sizes: Sequence[int], *keep: str) -> DataFrame:
+        """Probabilities by the first n rounds, an array with one for each of `sizes`."""
+        strengths = np.array([m[0] for m in self.members])
+        intercepts = np.array([m[1] for m in self.members])
+        coefficients = np.array([m[2] for m in self.members]).reshape(len(self.members), -1).T
+        last = np.minimum(np.array(sizes), len(self.members)) - 1
+        whole = np.cumsum(strengths)
+
+        @F.pandas_udf("array<double>")
+        def vote(features: pd.Series) -> pd.Series:
+            values = np.stack(features.to_numpy()) if len(features) else np.zeros((0, len(coefficients)))
+            sides = np.where(values @ coefficients + intercepts > 0, strengths, -strengths)
+            decisions = np.cumsum(sides, axis=1)[:, last] / whole[last]
+            return pd.Series(list(1 / (1 + np.exp(-decisions))))
+
+        features = F.array(*[F.col(f"`{n}`").cast("double") for n in self.names])
+        return rows.select(STUDENT, *keep, vote(features).alias("staged"))
+
     def predict(self, rows: DataFrame, *keep: str) -> DataFrame:
         """Probability from the weighted vote of all rounds."""
-        voted = self.assembler.transform(rows).withColumn("_vote", F.lit(0.0))
-        for strength, model in self.members:
-            side = 2 * F.col("prediction") - 1
-            voted = (
-                model.transform(voted)
-                .withColumn("_vote", F.col("_vote") + strength * side)
-                .drop("rawPrediction", "probability", "prediction")
-            )
-        decision = F.col("_vote") / sum(strength for strength, _ in self.members)
-        true = 1 / (1 + F.exp(-decision))
-        return voted.select(
+        true = F.col("staged")[0]
+        return self.staged(rows, [len(self.members)], *keep).select(
             STUDENT, *keep, (1 - true).alias("probability_false"), true.alias(PROBABILITY)
         )
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        table = [(i, *member) for i, member in enumerate(self.members)]
+        members = spark.createDataFrame(table, "round int, strength double, intercept double, coefficients array<double>")
+        members.withColumn("names", F.array(*[F.lit(n) for n in self.names])).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BoostedRegression:
+        saved = spark.read.parquet(path).orderBy("round").collect()  # one row per round
+        model = cls(len(saved))
+        model.names = list(saved[0]["names"])
+        model.members = [(r["strength"], r["intercept"], list(r["coefficients"])) for r in saved]
+        return model
+
 
 def boosted_grid(
     data: DataFrame,
@@ -263,24 +296,42 @@ def boosted_grid(
     rounds: Sequence[int] = tuple(BOOSTING_ROUNDS),
     folds: int = CROSS_VALIDATION,
 ) -> DataFrame:
-    """Cross-validated scores by number of boosting rounds."""
+    """Cross-validated scores by number of boosting rounds.
+
+    The first n rounds of a long run are the run of n rounds, so each fold is fitted once.
+    """
     rows = settle(stratified_folds(data, folds))
+    sizes = sorted(rounds)
+    parts = []
+    for fold in range(folds):
+        model = BoostedRegression(sizes[-1]).fit(rows.where(F.col("fold") != fold), names)
+        test = rows.where(F.col("fold") == fold).withColumn(TRUTH, F.col(LABEL).cast("int"))
+        parts.append(model.staged(test, sizes, TRUTH, "fold"))
+    predictions = settle(reduce(DataFrame.unionByName, parts))
     table = []
-    for n in rounds:
-        parts = []
-        for fold in range(folds):
-            model = BoostedRegression(n).fit(rows.where(F.col("fold") != fold), names)
-            test = rows.where(F.col("fold") == fold)
-            truth = test.withColumn(TRUTH, F.col(LABEL).cast("int"))
-            parts.append(model.predict(truth, TRUTH, "fold"))
-        predictions = parts[0]
-        for part in parts[1:]:
-            predictions = predictions.unionByName(part)
-        table.append((n, *(float(x or 0.0) for x in score(settle(predictions)).first())))
+    for place, n in enumerate(sizes):
+        found = predictions.withColumn(PROBABILITY, F.col("staged")[place])
+        table.append((n, *(float(x or 0.0) for x in score(found).first())))
     columns = ["rounds", "adj_auc", "adj_kappa", "adj_score"]
     return data.sparkSession.createDataFrame(table, columns)
 
 
+def best_boosted(data: DataFrame, names: Sequence[str], scores: DataFrame) -> BoostedRegression:
+    """Fit the best number of rounds of the grid to all rows."""
+    (rounds,) = best_setting(scores, ["rounds"])
+    return BoostedRegression(rounds).fit(data, names)
+
+
+def load_or_train_boosted(path: str, train: Callable[[], BoostedRegression]) -> BoostedRegression:
+    """The boosted model saved at `path`, or a newly trained one, which is saved there."""
+    spark = SparkSession.active()
+    if path_exists(spark, path):
+        return BoostedRegression.load(spark, path)
+    model = train()
+    model.save(spark, path)
+    return model
+
+
 def load_or_train(path: str, train: Callable[[], PipelineModel]) -> PipelineModel:
     """The model saved at `path`, or a newly trained one, which is saved there."""
     if path_exists(SparkSession.active(), f"{path}/metadata"):

@@ -139,7 +139,31 @@ def test_boosting(training):
     probabilities_are_fine(found, 150)
     right = found.agg(F.avg(((F.col(P) > 0.5) == F.col("label")).cast("int"))).first()[0]
     assert right > 0.8
-    assert models.boosted_grid(training, NAMES, rounds=[1, 2], folds=2).count() == 2
+    table = models.boosted_grid(training, NAMES, rounds=[1, 2], folds=2)
+    assert table.count() == 2
+    best = models.best_boosted(training, NAMES, table)
+    assert len(best.members) <= models.best_setting(table, ["rounds"])[0]
+
+
+def test_boosting_by_its_first_rounds_and_saved(spark, training, tmp_path):
+    long = models.BoostedRegression(4).fit(training, NAMES)
+    short = models.BoostedRegression(2).fit(training, NAMES)
+    for one, other in zip(long.members, short.members):
+        assert [one[0], one[1], *one[2]] == pytest.approx([other[0], other[1], *other[2]])
+    staged = {r[STUDENT]: r["staged"] for r in long.staged(training, [2, 4, 9]).collect()}
+    for place, model in ((0, short), (1, long), (2, long)):
+        found = {r[STUDENT]: r[P] for r in model.predict(training).collect()}
+        assert {s: v[place] for s, v in staged.items()} == pytest.approx(found)
+    # The vote written out.
+    data = training.select(STUDENT, *NAMES).collect()
+    for r in data[:20]:
+        sides = [s if sum(w * r[n] for w, n in zip(c, NAMES)) + b > 0 else -s for s, b, c in long.members]
+        share = sum(sides) / sum(s for s, _, _ in long.members)
+        assert staged[r[STUDENT]][1] == pytest.approx(1 / (1 + np.exp(-share)))
+    path = str(tmp_path / "boosted")
+    first = models.load_or_train_boosted(path, lambda: short)
+    again = models.load_or_train_boosted(path, lambda: long)
+    assert (first.members, again.members, again.names) == (short.members, short.members, list(NAMES))
 
 
 def test_common_features(spark):

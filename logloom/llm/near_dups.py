@@ -6,15 +6,15 @@ the weight, visit the registers in an order of the shingle's own without repetit
 first arrival. A shingle ends as soon as its next arrival is later than all that its text's registers hold.
 Equal registers of two texts are as frequent as their probability Jaccard similarity.
 
-Equal texts are one node from the start. Bands of registers make buckets; instead of all pairs of
-a bucket, its members are compared with a leader, the smallest node of the bucket. A pair counts
-if at least MAYBE of all registers agree, and links if the exact Jaccard similarity of the shingle
-sets, worked out from the texts, is 0.8 or more. In the first round every node is verified
-against its best leader only. Later rounds take buckets whose members are not yet one
-component: ever more of their members become leaders, until all pairs of different components have been
-compared or the bucket is one component. So copies in thousands cost a few comparisons each, and
-no link between different texts that shares a bucket is left out. With 25 bands of five
-registers a pair of similarity 0.8 shares one with probability 0.9999.
+Equal texts are one node from the start. Bands of registers make buckets. First, every member of a
+bucket is compared with its leader, the member that has most company in all its buckets: of those leaders
+with which at least MAYBE of the registers agree, the best one's shingle set is compared, and a Jaccard similarity of
+0.8 or more is a link. That joins copies in thousands by one comparison each. A bucket whose members are one
+component by then is done. In all others every two members of different components are compared, in
+blocks of BLOCK members by a matrix product over their shingles; a block gives links that join
+components, no pairs. So no link between texts that share a bucket is left out, and nothing that is
+written grows with the square of a group. With 25 bands of five registers a pair of similarity 0.8 shares a
+bucket with probability 0.9999.
 
 Results: one row per row of the input. Null and empty texts are equal texts; other texts
 without words are like their equals only. Rows of equal id and different texts are different documents.
@@ -42,7 +42,8 @@ SIMILAR = 0.8
 REGISTERS = 127  # a prime, so that steps of any width visit all of them
 BANDS, ROWS = 25, 5
 MAYBE = 0.6  # over five standard deviations below SIMILAR
-GROWTH = 16  # leaders of a bucket in the next round for each one in this
+BLOCK = 1024  # members of a bucket that are compared with each other or another block at once
+COLUMNS = 4096  # shingles in a step of the matrix product
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,14 +111,15 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`shingles`, sorted 64-bit hashes, in place of `text`."""
+    """`shingles`, sorted 64-bit hashes, and `small`, their lower halves, in place of `text`."""
     for batch in batches:
         for start, stop in groups(batch.column("text")):
             part = batch.slice(start, stop - start)
             text, shingle, _ = shingles(part.column("text"))
             bounds = np.searchsorted(text, np.arange(len(part) + 1))
-            cut = [shingle[a:b].astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(cut, pa.binary())], ["node", "shingles"])
+            cut = [shingle[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            whole, small = ([x.astype(kind).tobytes() for x in cut] for kind in ("<u8", "<u4"))
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(whole, pa.binary()), pa.array(small, pa.binary())], ["node", "shingles", "small"])
 
 
 def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +153,55 @@ def both_sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # of values that two sets have
+    kept = times[code] > 1
+    owner, code = owner[kept], number[code[kept]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        a, b = np.searchsorted(code, [first, first + COLUMNS])
+        ones = np.zeros((len(sets), min(COLUMNS, int(code[-1]) + 1 - first)), np.float32)
+        ones[owner[a:b], code[a:b] - first] = 1
+        out += ones @ ones.T
+    return out
+
+
+def joining(table: pa.Table) -> pa.Table:
+    """Links (a, b) between members of a block, or of two, that join their components (roots)."""
+    node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
+    sets = [np.frombuffer(x, "<u4") for x in table.column("small").to_pylist()]
+    size = np.array([len(x) for x in sets], np.float32)
+    common = shared_counts(sets)
+    near = 5 * common >= 4 * (size[:, None] + size - common)
+    near &= root[:, None] != root
+    if (block != block[0]).any():
+        near &= block[:, None] != block  # the blocks' own pairs are compared elsewhere
+    a, b = np.nonzero(np.triu(near, 1))
+    names, code = np.unique(root, return_inverse=True)
+    low, high = np.minimum(code[a], code[b]), np.maximum(code[a], code[b])
+    _, first = np.unique(low.astype(np.int64) * len(names) + high, return_index=True)
+    parent = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    links = []
+    for i in first.tolist():
+        x, y = top(int(low[i])), top(int(high[i]))
+        if x != y:
+            parent[y] = x
+            links.append((node[a[i]], node[b[i]]))
+    left, right = zip(*links, strict=True) if links else ((), ())
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
 class NearDuplicates:
     """The tables of one run, each written to the shared folder once."""
 
@@ -177,58 +228,53 @@ class NearDuplicates:
         ]
         known = self.nodes.where("registers IS NOT NULL")
         all_members = known.select("node", F.explode(F.array(*keys)).alias("at")).select("at.band", "at.key", "node")
-        shared = settle(
-            all_members.groupBy("band", "key")
-            .agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader"))
-            .where("size > 1")
+        sizes = settle(all_members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        shared = settle(all_members.join(sizes, ["band", "key"]))
+        company = shared.groupBy("node").agg(F.sum("size").alias("company"))
+        leaders = settle(
+            shared.join(company, "node")
+            .groupBy("band", "key")
+            .agg(F.max(F.struct("company", (-F.col("node")).alias("node"))).alias("top"))
+            .select("band", "key", (-F.col("top.node")).alias("leader"))
         )
-        return settle(all_members.join(shared, ["band", "key"]))
+        return settle(shared.join(leaders, ["band", "key"]))
+
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """`node`, `shingles` and `small`; texts go through one shuffle, equal ones once per task."""
+        where = self.nodes.select("h1", "h2", "node").join(nodes, "node")
+        texts = self.keyed.select("h1", "h2", "text").dropDuplicates(["h1", "h2"]).join(where, ["h1", "h2"])
+        return settle(texts.select("node", "text").mapInArrow(shingle_sets, "node long, shingles binary, small binary"))
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """`a`, `b` and `share` of the pairs that may be similar."""
         sides = both_sides(pairs, self.nodes, "registers")
         return sides.select("a", "b", "registers_a", "registers_b").mapInArrow(agreeing, "a long, b long, share double")
 
-    def similar(self, pairs: DataFrame) -> DataFrame:
+    def similar(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that are links."""
-        pairs = settle(pairs.select("a", "b"))
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        where = self.nodes.select("h1", "h2", "node").join(needed, "node")
-        texts = self.keyed.select("h1", "h2", "text").dropDuplicates(["h1", "h2"]).join(where, ["h1", "h2"])
-        sets = settle(texts.select("node", "text").mapInArrow(shingle_sets, "node long, shingles binary"))
         sides = both_sides(pairs, sets, "shingles")
         return sides.select("a", "b", "shingles_a", "shingles_b").mapInArrow(verified, "a long, b long")
 
     def roots(self) -> DataFrame:
         """`node` and `root` of the nodes that have links and aren't the root themselves."""
         members = self.members()
-        first = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        best = self.near(first).groupBy("b").agg(F.max(F.struct("share", (-F.col("a")).alias("a"))).alias("best"))
-        links = settle(self.similar(best.select((-F.col("best.a")).alias("a"), "b")))
-        roots = components(links)
-        leaders = 1
-        while True:
-            rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            open_buckets = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-            rest = settle(rooted.join(open_buckets.select("band", "key"), ["band", "key"]))
-            largest = rest.agg(F.max("size")).first()[0]
-            if largest is None:
-                return roots
-            # Leaders of this round: a share of the bucket that makes `leaders` to GROWTH * `leaders` of them.
-            draw = F.pmod(F.xxhash64("band", "key", "node"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("size")
-            leading = (draw < GROWTH * leaders) & ((draw >= leaders) | F.lit(leaders == 1))
-            heads = rest.where(leading).select("band", "key", F.col("node").alias("head"), F.col("root").alias("head_root"))
-            pairs = (
-                rest.join(heads, ["band", "key"])
-                .where("root != head_root")
-                .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-                .distinct()
-            )
-            links = settle(links.unionByName(self.similar(self.near(pairs))))
-            roots = components(links)
-            leaders *= GROWTH
-            if leaders >= largest:
-                return roots
+        sets = self.sets_of(members.select("node").distinct())
+        led = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        best = self.near(led).groupBy("b").agg(F.max(F.struct("share", (-F.col("a")).alias("a"))).alias("best"))
+        links = settle(self.similar(best.select((-F.col("best.a")).alias("a"), "b"), sets))
+        rooted = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        ends = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        rest = rooted.join(ends.where("low < high").select("band", "key"), ["band", "key"])
+        # A member goes to its block's comparison with itself and with each other block of its bucket.
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        other = F.explode(F.sequence(F.lit(0), blocks - 1))
+        units = rest.select("band", "key", "node", "root", block.alias("block"), other.alias("other"))
+        work = units.select(
+            "band", "key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "root", "block"
+        ).join(sets.select("node", "small"), "node")
+        found = work.groupBy("band", "key", "one", "two").applyInArrow(joining, "a long, b long").distinct()
+        return components(links.unionByName(self.similar(found, sets)))
 
     def rows(self) -> DataFrame:
         """The keyed rows with `root`, of rows' ids and keys only."""

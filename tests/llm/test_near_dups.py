@@ -97,6 +97,14 @@ def test_registers_estimate_the_probability_jaccard():
         assert np.mean(shares) == pytest.approx(exact, abs=0.03)
 
 
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr("logloom.llm.near_dups.COLUMNS", 5)
+    rng = random.Random(8)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randrange(30))), np.uint32) for _ in range(20)]
+    assert near_dups.shared_counts(sets).tolist() == [[len({*a.tolist()} & {*b.tolist()}) for b in sets] for a in sets]
+    assert near_dups.shared_counts([np.zeros(0, np.uint32)] * 2).tolist() == [[0, 0], [0, 0]]
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 5000 + i) for i in range(1, 200)]
@@ -128,8 +136,10 @@ def test_odd_rows(spark):
     assert near_dups.keep_one(clash.limit(0)).count() == 0
 
 
-def test_chains_and_groups(spark):
+@pytest.mark.parametrize("block", [8, 1024])
+def test_chains_and_groups(spark, monkeypatch, block):
     """Groups around a base, a chain of neighbours, and texts that only share half."""
+    monkeypatch.setattr("logloom.llm.near_dups.BLOCK", block)
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(4000)]
     rows = []

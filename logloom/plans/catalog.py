@@ -27,20 +27,23 @@ from logloom.plans import routine as rou
 from logloom.schema import (
     ATTEMPT,
     DURATION,
+    INFO,
     ITEM,
     ITEM_TYPE,
     LABEL,
     SEQ,
     STUDENT,
+    TIME,
     VERB,
     VERB_RUN,
 )
-from logloom.session import settle, tune
+from logloom.session import scratch_path, settle, tune
 from logloom.sources import adapter
 from logloom.sources.adapter import SECOND
-from logloom.sources.files import roster_in_batches
-from logloom.sources.nested import events_of, student_logs
-from logloom.sources.submission import submission_lines
+from logloom.sources.features import read_dims, read_sequences, save_all
+from logloom.sources.files import SOURCE_COLUMNS, read_log_csv, roster_in_batches
+from logloom.sources.nested import events_of, read_student_logs, student_logs, write_student_logs
+from logloom.sources.submission import read_submission, submission_lines, write_submission
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -391,6 +394,57 @@ def stacked_series(spark, sf_dir):
     return stack.select(STUDENT, F.array_join(F.transform("series", cell), ",").alias("series"))
 
 
+# --- Sources and back -----------------------------------------------------------------
+
+
+@query
+def log_csv(spark, sf_dir):
+    """The log written as the source's CSV and read again."""
+    path = scratch_path(spark)
+    named = [F.col(c).cast("string").alias(name) for c, name in SOURCE_COLUMNS.items()]
+    adapter.event_log(spark, sf_dir).select(*named).write.option("header", True).option("escape", '"').csv(path)
+    return read_log_csv(spark, path).select(STUDENT, ITEM, ITEM_TYPE, VERB, INFO, TIME)
+
+
+@query
+def nested_json(spark, sf_dir):
+    """The nested documents written as JSON, read and unfolded again."""
+    path = scratch_path(spark)
+    write_student_logs(student_logs(placed(spark, sf_dir)), path)
+    rows = events_of(read_student_logs(spark, path))
+    return rows.select(STUDENT, ITEM, "block", whole("place"), "action", "info", "time")
+
+
+@query
+def submission_file(spark, sf_dir):
+    """A submission written and read again: how often each probability occurs."""
+    path = scratch_path(spark)
+    write_submission(rou.on_roster(adapter.roster(spark, sf_dir), guesses(spark, sf_dir)), path)
+    return read_submission(spark, path).groupBy(met.PROBABILITY).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def saved(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark)
+    log = adapter.event_log(spark, sf_dir)
+    one_batch = adapter.with_task(log).withColumn("batch", F.lit("30"))
+    train = log.where(adapter.is_train())
+    save_all(one_batch, adapter.labels(spark, sf_dir), path, SECOND, GRID * SECOND, training_log=train)
+    return path
+
+
+@query
+def saved_series(spark, sf_dir):
+    """Item codes and verb weights of one batch, saved and read again."""
+    found = read_sequences(spark, saved(spark, sf_dir), "30", [ITEM, "verb_weight"])
+    text = F.array_join(F.transform("values", lambda v: v.cast("long").cast("string")), " ")
+    return found.select("task", STUDENT, "feature", "block", text.alias("series"))
+
+
+@query
+def saved_dims(spark, sf_dir):
+    return read_dims(spark, saved(spark, sf_dir), "30").select("feature_type", whole("dim"))
+
+
 # --- Answers and scores ---------------------------------------------------------------
 
 

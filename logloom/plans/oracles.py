@@ -520,6 +520,29 @@ add("stacked_series", """
 SELECT student_id, string_agg(item_id || '/' || item_type, ',' ORDER BY occur_second) AS series
 FROM dense GROUP BY student_id""")
 
+# --- Sources and back -----------------------------------------------------------------
+add("log_csv", "SELECT student_id, item_id, item_type, observable, ext_info, event_time FROM log")
+add("nested_json", """
+SELECT student_id, item_id, n // 1000 AS block,
+       row_number() OVER (PARTITION BY student_id, item_id, n // 1000 ORDER BY n) - 1 AS place,
+       observable AS action, ext_info AS info, event_time AS "time"
+FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY event_time, seq) - 1 AS n FROM forced) f""")
+add("submission_file", "SELECT CAST(p AS DOUBLE) AS probability_true, count(*) AS lines FROM guesses GROUP BY 1")
+add("saved_series", """
+SELECT CASE WHEN student_id % 4 <> 0 THEN 'train' ELSE 'hidden' END AS task, student_id, feature, place // 1000 AS block,
+       string_agg(CAST(v AS VARCHAR), ' ' ORDER BY place) AS series
+FROM (SELECT student_id, 'item_id' AS feature, occur_second AS place, item_id AS v FROM coded
+      UNION ALL
+      SELECT s.student_id, 'verb_weight', p.position, coalesce(w.verb_weight, 0)
+      FROM (SELECT DISTINCT student_id FROM weight_places) s CROSS JOIN (SELECT DISTINCT position FROM weight_places) p
+      LEFT JOIN weight_places w ON w.student_id = s.student_id AND w.position = p.position) x
+GROUP BY 1, 2, 3, 4""")
+add("saved_dims", """
+SELECT 'item_id' AS feature_type, count(DISTINCT item_id) AS dim FROM dense UNION ALL
+SELECT 'item_type', count(DISTINCT item_type) FROM dense UNION ALL
+SELECT 'observable', count(DISTINCT observable) FROM dense UNION ALL
+SELECT 'verb_weight', 6""")
+
 # --- Answers and scores ---------------------------------------------------------------
 add("item_in_force", "SELECT student_id, seq, item_id FROM forced")
 add("attempt_split", "SELECT student_id, seq, item_id, CAST(visit AS BIGINT) AS visit FROM inside")

@@ -31,12 +31,6 @@ EVENT_SCHEMA = T.StructType(
         T.StructField(TIME, T.TimestampType()),
     ]
 )
-LABEL_SCHEMA = T.StructType(
-    [T.StructField(STUDENT, T.LongType()), T.StructField(LABEL, T.BooleanType())]
-)
-ROSTER_SCHEMA = T.StructType(
-    [T.StructField(STUDENT, T.LongType()), T.StructField("ord", T.LongType())]
-)
 KEY_SCHEMA = T.StructType(
     [
         T.StructField(ITEM, T.StringType()),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only on a local master."""
+    """The cluster's checkpoint folder; a temporary one only on a local master that has none."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
@@ -38,6 +40,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/logloom-{spark.sparkContext.applicationId}"
+
+
+#: Tables of the scopes that are open, innermost last.
+_scopes: list[list[str]] = []
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path for a table; it goes with the innermost open `scratch`, or with `discard`."""
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there.
 
@@ -45,6 +64,28 @@ def settle(df: DataFrame) -> DataFrame:
     no more than re-reading files.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/logloom-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that were settled inside; results must be written or collected by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all tables that this application has settled."""
+    delete(spark, own_folder(spark))

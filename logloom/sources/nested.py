@@ -11,6 +11,9 @@ from logloom.schema import INFO, ITEM, LABEL, STUDENT, TIME, VERB, subject
 
 EVENTS = "events"
 BLOCK = 1000
+#: Event times keep their microseconds; they are in the session's time zone, which `tune` sets.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+FORMATS = {"timestampFormat": TIME_FORMAT, "timestampNTZFormat": TIME_FORMAT}
 
 DOCUMENT = T.StructType(
     [
@@ -53,11 +56,11 @@ def student_logs(
 
 
 def write_student_logs(documents: DataFrame, path: str) -> None:
-    documents.write.mode("overwrite").json(path)
+    documents.write.mode("overwrite").options(**FORMATS).json(path)
 
 
 def read_student_logs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DOCUMENT).json(path)
+    return spark.read.schema(DOCUMENT).options(**FORMATS).json(path)
 
 
 def events_of(documents: DataFrame) -> DataFrame:

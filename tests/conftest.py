@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from logloom.schema import EVENT_SCHEMA  # noqa: E402
-from logloom.session import tune  # noqa: E402
+from logloom.session import discard, tune  # noqa: E402
 
 START = datetime(2024, 1, 1)
 
@@ -27,6 +27,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield tune(session)
+    discard(session)
     session.stop()
 
 

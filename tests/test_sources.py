@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from logloom.operators import answers
+from logloom.session import scratch, settle
 from logloom.schema import INFO, ITEM, STUDENT, TIME, VERB
 from logloom.sources import features, files, nested, submission
 
@@ -25,6 +26,31 @@ def test_csv_log(spark, tmp_path):
     assert second[TIME] is None and second[INFO] is None
 
 
+def test_ids_that_are_no_numbers_raise(spark, tmp_path):
+    path = tmp_path / "log.csv"
+    path.write_text(f"{HEADER}\nseven,VH1,MCSS,Draw,,2017-04-04 10:00:00\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        files.read_log_csv(spark, str(path)).count()
+
+
+def test_full_log_and_label_files(spark, tmp_path):
+    (tmp_path / files.FULL_TRAIN_FILE).write_text(f"{HEADER}\n7,VH1,MCSS,Draw,,2017-04-04 10:00:00\n")
+    for n, name in enumerate(files.LABEL_FILES.values()):
+        (tmp_path / name).write_text(f"STUDENTID,EfficientlyCompletedBlockB\n{n},True\n")
+    assert rows(files.read_training_log(spark, str(tmp_path)), STUDENT) == [(7,)]
+    assert [rows(files.read_task_labels(spark, str(tmp_path), t)) for t in files.LABEL_FILES] == [[(0, True)], [(1, True)]]
+
+
+def test_scratch_deletes_its_tables(spark):
+    outer = settle(spark.range(3))
+    with scratch(spark):
+        inner = settle(spark.range(5))
+        assert inner.count() == 5
+    assert outer.count() == 3
+    with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(inner.inputFiles()[0]).count()
+
+
 def test_registered_files(spark, tmp_path):
     for (task, batch), name in files.BATCH_FILES.items():
         (tmp_path / name).write_text(f"{HEADER}\n{batch},VH1,MCSS,{task},,2017-04-04 10:00:00\n")

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.columns import micros_between
 from logloom.functions.key import AnswerKey, kind_of, slots_of
 from logloom.operators.timeline import along, number_rows, settled
 from logloom.schema import (
@@ -24,9 +25,11 @@ from logloom.schema import (
     NO_ANSWER,
     NOT_DONE,
     ORDER,
+    TIME,
     VERB,
     subject,
 )
+from logloom.session import settle
 
 # --- Fixed values: verbs, fields and part names of the log. ---------------------------
 ENTER, EXIT = "Enter Item", "Exit Item"
@@ -37,6 +40,7 @@ DROP_FIELDS = "array<struct<source: string, target: string>>"
 # --- End of fixed values. -------------------------------------------------------------
 
 VISIT = "visit"
+POSITION, DROPS = "position", "drops"
 STATUS, SLOTS = "status", "slots"
 ANSWERED = "answered"
 
@@ -62,6 +66,48 @@ def with_visits(placed: DataFrame) -> DataFrame:
     ).withColumn(VISIT, F.col(VISIT).cast("int"))
 
 
+def answer_events(log: DataFrame, limits: Mapping[str, int | None] | None = None) -> DataFrame:
+    """The few events that answers are made of, with visit and position, written once.
+
+    Those are entering an item, clicks, key presses and drops, and a student's first event at
+    each item, which shows that the item was seen. The log is sorted once for all of it. A time
+    limit keeps a prefix of a student's log, and no visit depends on what follows it, so the
+    batches of `limits` are cut from the same table: each event once per `batch` whose limit it keeps.
+    """
+    keys = [*subject(log), ITEM]
+    entered = F.when(F.col(VERB) == ENTER, F.col(ITEM))
+    placed = along(
+        log,
+        latest={"_entered": entered},
+        running={POSITION: F.lit(1)},
+        overall={"_first": (F.min, F.struct(*ORDER, ITEM)), "_start": (F.min, F.col(TIME))},
+    ).withColumn(ITEM, F.coalesce("_entered", F.col("_first")[ITEM]))
+    enters = F.coalesce((F.col(VERB) == ENTER).cast("int"), F.lit(0))
+    numbered = along(settled(placed), by=keys, running={VISIT: enters, "_nth": F.lit(1)})
+    needed = (F.col("_nth") == 1) | F.coalesce(F.col(VERB).isin(ENTER, CLICK, PRESS, DROP), F.lit(False))
+    drops = F.when(F.col(VERB) == DROP, F.from_json(INFO, DROP_FIELDS))
+    kept = settle(
+        numbered.where(needed).select(
+            *subject(log),
+            *ORDER,
+            ITEM,
+            VERB,
+            INFO,
+            F.col(VISIT).cast("int").alias(VISIT),
+            F.col(POSITION).cast("long").alias(POSITION),
+            drops.alias(DROPS),
+            micros_between(F.col("_start"), F.col(TIME)).alias("_elapsed"),
+        )
+    )
+    if limits is None:
+        return kept.drop("_elapsed")
+    within = [
+        F.lit(batch) if limit is None else F.when(F.col("_elapsed") <= limit * 1_000_000, F.lit(batch))
+        for batch, limit in limits.items()
+    ]
+    return kept.withColumn("batch", F.explode(F.array_compact(F.array(*within)))).drop("_elapsed")
+
+
 def visit_events(visits: DataFrame) -> DataFrame:
     """What happened inside visits: no Enter, no Exit, nothing before the first Enter."""
     inside = ~F.coalesce(F.col(VERB).isin(ENTER, EXIT), F.lit(False))
@@ -76,9 +122,13 @@ def last_option() -> Column:
     return F.when(last.isNotNull(), F.array(last.cast("string")))
 
 
-def last_targets(slots: int) -> Column:
-    """Aggregate: the target dropped last for each source inside visits; null where none."""
-    drops = F.when((F.col(VISIT) > 0) & (F.col(VERB) == DROP), F.from_json(INFO, DROP_FIELDS))
+def last_targets(slots: int, parsed: Column | None = None) -> Column:
+    """Aggregate: the target dropped last for each source inside visits; null where none.
+
+    `parsed` is the list of drops of an event, if there is a column of it.
+    """
+    inside = (F.col(VISIT) > 0) & (F.col(VERB) == DROP)
+    drops = F.when(inside, F.from_json(INFO, DROP_FIELDS) if parsed is None else parsed)
 
     def target(slot: int) -> Column:
         source = str(slot + 1)
@@ -194,8 +244,9 @@ def keystroke_edits(
     typed = typed_text(F.col("_press.code"), key_text)
     if legacy:
         typed = F.when(F.col("_press.code") != "KeyK", typed)
+    placed = visits if POSITION in visits.columns else number_rows(settled(visits), name=POSITION)
     typing = (
-        number_rows(settled(visits))
+        placed
         .where((F.col(VISIT) > 0) & F.col(VERB).isin(ENTER, PRESS))
         .where(kind.isin(BLANK, BLANKS, COMPOSITE))
         .withColumns({"_kind": kind, "_blanks": blanks, "_press": press})
@@ -228,7 +279,7 @@ def keystroke_edits(
     own = F.when(F.col("_blank").between(0, F.col("_blanks") - 1), F.array("_blank"))
     return typing.withColumn(
         "blank", F.explode(F.when(F.col(VERB) == ENTER, every).otherwise(own))
-    ).select(*keys, "blank", "round", F.col("position").alias("place"), F.array("_edit").alias("edits"))
+    ).select(*keys, "blank", "round", F.col(POSITION).alias("place"), F.array("_edit").alias("edits"))
 
 
 def blank_answers(
@@ -255,14 +306,19 @@ def blank_answers(
 
 
 def responses(
-    log: DataFrame, roster: DataFrame, key: AnswerKey = ANSWER_KEY, legacy: bool = False
+    log: DataFrame,
+    roster: DataFrame,
+    key: AnswerKey = ANSWER_KEY,
+    legacy: bool = False,
+    limits: Mapping[str, int | None] | None = None,
 ) -> DataFrame:
     """One row per student on the roster and item of the key.
 
-    The roster has the log's task and batch columns, if it has any. status is "answered", "N_A" (seen without an answer) or "N_D" (never seen); slots holds
+    The roster has the log's task and batch columns, if it has any. With `limits`, the log is
+    whole and the answers are those of each batch's time limit in seconds. status is "answered", "N_A" (seen without an answer) or "N_D" (never seen); slots holds
     the answer's parts.
     """
-    visits = settled(with_visits(in_force(log)))
+    visits = answer_events(log, limits)
     keys = [*subject(visits), ITEM]
     kind = kind_of(F.col(ITEM), key)
     matches = [len(accepted) for k, accepted in key.values() if k == MATCH]
@@ -270,7 +326,7 @@ def responses(
     seen = (
         visits.where(kind.isNotNull())
         .groupBy(*keys)
-        .agg(last_option().alias("_option"), last_targets(max(matches, default=1)).alias("_targets"))
+        .agg(last_option().alias("_option"), last_targets(max(matches, default=1), F.col(DROPS)).alias("_targets"))
     )
     typed = blank_answers(visits, key, legacy).withColumnRenamed(SLOTS, "_texts")
     # A single blank without text is no answer; several blanks always are one.

@@ -56,9 +56,14 @@ def top_chains(chains: DataFrame, top: int = 10, support: int = 20) -> DataFrame
 
 
 def with_common_chains(chains: DataFrame, top: int = 10, support: int = 20) -> DataFrame:
-    """Chains outside the item's top list become "OtherActions"."""
+    """Chains outside the item's top list become "OtherActions".
+
+    Attempts are read twice, so they are written once. So is the list, at most `top` rows per
+    item: its size is known when the join is planned.
+    """
+    chains = settle(chains)
     keys = [*scope(chains), ITEM, CHAIN]
-    common = top_chains(chains, top, support).select(*keys, F.lit(True).alias("_common"))
+    common = settle(top_chains(chains, top, support).select(*keys, F.lit(True).alias("_common")))
     marked = chains.join(common, keys, "left")
     return marked.withColumn(
         CHAIN, F.when(F.col("_common"), F.col(CHAIN)).otherwise(F.lit(OTHER))
@@ -87,9 +92,7 @@ def behaviour_features(
     log: DataFrame, top: int = 10, support: int = 20, least: int = 10
 ) -> DataFrame:
     """All behaviour features in long form (student, feature, value)."""
-    # Four uses follow: sort the log once and keep the much shorter table of attempts.
-    chains = settle(verb_chains(preprocess(log)))
-    return chain_features(chains, top, support, least)
+    return chain_features(verb_chains(preprocess(log)), top, support, least)
 
 
 def first_of_runs(numbered: DataFrame) -> DataFrame:

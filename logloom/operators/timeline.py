@@ -1,10 +1,11 @@
 """Computations along each student's time line that survive a student with most of the rows.
 
-A plain window over one student runs in one task. That is the best plan while every
-student's log fits a task, which `cut` checks with one counting job. If one does not, `cut`
-range-partitions the log by (student, time, seq) into slices of about equal size, wherever
-students begin and end, and `along` then works slice by slice: windows inside a slice, one
-summary row per (student, slice), and the summaries of earlier slices joined back.
+A plain window over one student runs in one task. That is the best plan while the student's
+log fits a task, which `cut` checks with one counting job. Students whose logs do not are hot:
+`cut` range-partitions their rows alone by (student, time, seq) into slices of about equal size, and
+leaves all others as they are. `along` then works slice by slice, with everyone else's log as one slice:
+windows inside a slice, one summary row per slice of the hot students, and the summaries of
+earlier slices joined back.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from logloom.schema import ORDER, subject
 from logloom.session import settle
 
-SLICE = "slice"
+SLICE = "__slice"
 GROUP = "_group"
 
 #: Rows one task may hold of one student's log, and about the size of one slice.
@@ -31,19 +32,25 @@ def cut(
     by: Sequence[str] | None = None,
     order: Sequence[str] = ORDER,
 ) -> DataFrame:
-    """Add a `slice` column if some student (or other group) has more than `max_rows` rows.
+    """Put students (or other groups) with more than `max_rows` rows into slices, if there are any.
 
+    Slices have a hidden column: 1, 2, ... for the rows of hot students, 0 for all others.
     `order` must be total within a group.
     """
     by = list(by or subject(log))
-    load = log.groupBy(*by).count()
-    most, total = load.agg(F.max("count"), F.sum("count")).first()
-    if (most or 0) <= max_rows:
+    group = F.struct(*by)
+    load = log.groupBy(group.alias(GROUP)).count().where(F.col("count") > max_rows)
+    hot = settle(load)
+    total = hot.agg(F.sum("count")).first()[0]
+    if total is None:
         return log
-    slices = math.ceil(total / max_rows)
+    # At most one row per `max_rows` rows of the log, with a known size when the joins are planned.
+    marked = log.withColumn(GROUP, group)
+    hot_rows = marked.join(hot, GROUP, "left_semi").drop(GROUP)
+    others = marked.join(hot, GROUP, "left_anti").drop(GROUP).withColumn(SLICE, F.lit(0))
     # Slices follow the sort order, so a higher number is never earlier for the same student.
-    ranged = log.repartitionByRange(slices, *by, *order)
-    return settle(ranged.withColumn(SLICE, F.spark_partition_id()))
+    ranged = hot_rows.repartitionByRange(math.ceil(total / max_rows), *by, *order)
+    return settle(ranged.withColumn(SLICE, F.spark_partition_id() + 1).unionByName(others))
 
 
 def is_cut(log: DataFrame) -> bool:
@@ -105,7 +112,7 @@ def along(
         | {n: agg(c).over(everything) for n, (agg, c) in overall.items()}
     )
     at = F.struct(*order)
-    summary = (source or log).groupBy(group, SLICE).agg(
+    summary = (source or log).where(F.col(SLICE) > 0).groupBy(group, SLICE).agg(
         F.count(F.lit(1)).alias("_events"),
         *[F.max_by(F.struct(c.alias("v")), at).alias(f"_{n}") for n, c in previous.items()],
         *[F.min_by(F.struct(c.alias("v")), at).alias(f"_{n}") for n, c in following.items()],
@@ -137,7 +144,7 @@ def along(
             for n in running
         }
         | {n: F.coalesce(n, f"_{n}") for n in latest}
-        | {n: F.col(f"_{n}") for n in overall}
+        | {n: F.when(F.col(SLICE) > 0, F.col(f"_{n}")).otherwise(F.col(n)) for n in overall}
     )
     names = [*previous, *following, *running, *latest, *overall]
     return both.withColumns(merged).drop(*[f"_{n}" for n in names])

@@ -64,10 +64,11 @@ def with_zscore(
     """Attempt time against all attempts at the item; null where they do not vary.
 
     The statistics have one row per listed item, so they are broadcast: a window by item
-    would put a popular item's attempts into one task.
+    would put a popular item's attempts into one task. Attempts are read twice, so they are
+    written once, much shorter than the log they come from.
     """
-    kept = real_items(durations, items)
-    stats = item_duration_stats(durations, items) if fitted is None else real_items(fitted, items)
+    kept = settle(real_items(durations, items))
+    stats = item_duration_stats(kept, items) if fitted is None else real_items(fitted, items)
     keys = [c for c in (*scope(kept), ITEM) if c in stats.columns]
     centred = F.col(DURATION) - F.col("item_mean")
     return (
@@ -186,7 +187,9 @@ def with_duration_level(
     spread = F.stddev_samp(target)
     if by:
         keys = [*scope(log), *(c for c in by if c not in scope(log))]
-        units = log.groupBy(*keys).agg((spread / F.lit(parts or 10)).alias("_unit"))
+        # Written first, the units have a known size when the join is planned: while they are
+        # small the events stay where they are.
+        units = settle(log.groupBy(*keys).agg((spread / F.lit(parts or 10)).alias("_unit")))
         measured = log.join(units, keys, "left")
     else:
         keys = scope(log)

@@ -115,8 +115,8 @@ def attempt_index(spark, sf_dir):
 
 @query
 def attempt_index_cut(spark, sf_dir):
-    """The same with every student's log cut into slices, as for a log too long for a task."""
-    log = cut(adapter.event_log(spark, sf_dir), max_rows=50)
+    """The same with the logs of students of more than 100,000 events cut into slices."""
+    log = cut(adapter.event_log(spark, sf_dir), max_rows=100_000)
     return prep.preprocess(log).select(STUDENT, SEQ, ITEM, whole(ATTEMPT), whole(VERB_RUN))
 
 
@@ -541,10 +541,10 @@ def score_matrix(spark, sf_dir):
 @query
 def score_all_batches(spark, sf_dir):
     """Scores of the three batches of train and hidden students in one job."""
-    log = prep.cut_to_batches(event_log(spark, sf_dir), adapter.BATCH_LIMITS)
+    log = adapter.with_task(event_log(spark, sf_dir))
     roster = adapter.with_task(adapter.labels(spark, sf_dir))
     rosters = roster_in_batches(roster, list(adapter.BATCH_LIMITS))
-    found = ans.responses(settle(adapter.with_task(log)), rosters, adapter.ANSWERS)
+    found = ans.responses(log, rosters, adapter.ANSWERS, limits=adapter.BATCH_LIMITS)
     return sco.score_matrix(sco.scored(found, adapter.ANSWERS), adapter.ANSWERS)
 
 
@@ -589,8 +589,8 @@ def label_encode(spark, sf_dir):
 
 @query
 def label_encode_cut(spark, sf_dir):
-    """The same with a vocabulary numbered slice by slice, as for one too long for a task."""
-    return enc.code_book(clean_log(adapter.event_log(spark, sf_dir)), VERB, max_rows=20)
+    """The same with a vocabulary of more than 100,000 words numbered slice by slice."""
+    return enc.code_book(clean_log(adapter.event_log(spark, sf_dir)), VERB, max_rows=100_000)
 
 
 @query
@@ -754,7 +754,8 @@ def rounded_columns(df: DataFrame) -> DataFrame:
 @query
 def describe(spark, sf_dir):
     stats = met.describe(durations(spark, sf_dir), [DURATION])
-    return stats.select("column", "count", *[rounded(c) for c in stats.columns[2:]])
+    # Quartiles lie between two values of six digits: rounding to six would meet halves.
+    return stats.select("column", "count", *[F.round(c, 4).alias(c) for c in stats.columns[2:]])
 
 
 def small_forest(trees: int = 20):

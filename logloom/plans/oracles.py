@@ -715,8 +715,8 @@ JOIN (SELECT a.fold, sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 EL
       FROM guesses a JOIN guesses b ON a.fold = b.fold AND a.truth = 1 AND b.truth = 0
       GROUP BY a.fold) r USING (fold)""")
 add("describe", """
-SELECT 'duration' AS "column", count(duration) AS count, round(avg(duration), 6) AS mean,
-       round(stddev_samp(duration), 6) AS std, round(min(duration), 6) AS min,
-       round(quantile_cont(duration, 0.25), 6) AS q25, round(quantile_cont(duration, 0.5), 6) AS q50,
-       round(quantile_cont(duration, 0.75), 6) AS q75, round(max(duration), 6) AS max
+SELECT 'duration' AS "column", count(duration) AS count, round(avg(duration), 4) AS mean,
+       round(stddev_samp(duration), 4) AS std, round(min(duration), 4) AS min,
+       round(quantile_cont(duration, 0.25), 4) AS q25, round(quantile_cont(duration, 0.5), 4) AS q50,
+       round(quantile_cont(duration, 0.75), 4) AS q75, round(max(duration), 4) AS max
 FROM durations""")

@@ -1,11 +1,11 @@
 """Preference pairs of conversations: a shared prompt, rendered once, and two masked completions.
 
-The turns of a pair's chosen and rejected conversation meet by pair and turn number. The first
-turn at which they differ (in role or text, or because one side has none) ends the prompt; a
-pair without such a turn is all prompt and has empty completions. Completions are lists of
-segments, whose texts in a row are the completion; `trained` marks what a model learns from,
-which is the text and end mark of the assistant's turns. Comparing needs no order of turns, so a conversation
-with very many turns is spread over tasks until its row is put together.
+Each conversation is gathered into one list of its turns, in one shuffle, as it will be one row of the
+result in any case. The first turn at which the chosen and the rejected list of a pair differ
+(in role or text, or because one side has none) ends the prompt; a pair without such a turn is
+all prompt and has empty completions. Completions are lists of segments, whose texts in a row
+are the completion; `trained` marks what a model learns from, which is the text and end mark of
+the assistant's turns. All steps on lists take time in proportion to their length.
 
 Turns with a null pair or conversation id belong to no pair. A null turn number comes after all others, a null
 role is `unknown`, a null text is empty. Rows of equal turn number are one turn, ordered by
@@ -21,16 +21,48 @@ from pyspark.sql import functions as F
 ASSISTANT = "assistant"
 HEAD, TAIL = "<|{}|>\n", "<|end|>\n"
 LATEST = 2**63 - 1
+TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
 
-def turns_of(table: DataFrame, id_column: str, turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
-    """`pair_id`, `turn`, `role` and `text` of a conversation table, without nulls."""
-    return table.select(
-        F.col(f"`{id_column}`").alias("pair_id"),
+def conversations_of(table: DataFrame, id_column: str, turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
+    """`pair_id` and `turns`, in order, of a table with one row per turn."""
+    turn = F.struct(
         F.coalesce(F.col(f"`{turn_column}`").cast("long"), F.lit(LATEST)).alias("turn"),
         F.coalesce(F.col(f"`{role_column}`"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"),
-    ).where("pair_id IS NOT NULL")
+    )
+    rows = table.select(F.col(f"`{id_column}`").alias("pair_id"), turn.alias("turn")).where("pair_id IS NOT NULL")
+    return rows.groupBy("pair_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+
+
+def side_by_side(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """`pair_id`, `chosen` and `rejected` of two tables as of `conversations_of`."""
+    left = chosen.withColumnRenamed("turns", "chosen")
+    right = rejected.withColumnRenamed("turns", "rejected")
+    nothing = F.array().cast(TURNS)
+    return left.join(right, "pair_id", "full").select(
+        "pair_id", *[F.coalesce(side, nothing).alias(side) for side in ("chosen", "rejected")]
+    )
+
+
+def with_foreign_reply(conversations: DataFrame) -> DataFrame:
+    """Pairs of conversations as of `conversations_of` and themselves up to their last assistant turn, whose
+    place the last assistant turn of another takes, the one whose id differs in the last bit.
+
+    Without such a turn of its own, a conversation is its own rejected side; without one of the other, the reply is missing.
+    """
+    replies = F.filter("turns", lambda t: t["role"] == ASSISTANT)
+    found = conversations.withColumn("reply", F.try_element_at(replies, F.lit(-1)))
+    foreign = found.where("reply IS NOT NULL").select(
+        F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("reply.text").alias("foreign")
+    )
+    joined = found.join(foreign, "pair_id", "left")
+    kept = F.filter("turns", lambda t: t["turn"] < F.col("reply")["turn"])
+    reply = F.struct(F.col("reply")["turn"].alias("turn"), F.lit(ASSISTANT).alias("role"), F.col("foreign").alias("text"))
+    replaced = F.when(F.col("foreign").isNull(), kept).otherwise(F.concat(kept, F.array(reply)))
+    return joined.select(
+        "pair_id", F.col("turns").alias("chosen"), F.when(F.col("reply").isNull(), F.col("turns")).otherwise(replaced).cast(TURNS).alias("rejected")
+    )
 
 
 def segments(turn: Column) -> Column:
@@ -45,54 +77,24 @@ def joined_text(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda s: s["text"]), "")
 
 
-def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """One row per pair of two tables as of `turns_of`: `pair_id`, `prompt_turns`, `prompt`, `chosen` and `rejected`."""
-    both = chosen.withColumn("side", F.lit("c")).unionByName(rejected.withColumn("side", F.lit("r")))
+def format_pairs(pairs: DataFrame) -> DataFrame:
+    """One row per pair (`pair_id`, `chosen`, `rejected`): `pair_id`, `prompt_turns`, `prompt`, and both completions."""
+    same = F.zip_with("chosen", "rejected", lambda c, r: c.eqNullSafe(r))
+    at = F.array_position(same, F.lit(False)).cast("int")
+    # At the first difference of the ordered lists, the earlier turn is the one that differs.
+    differs = F.least(F.get("chosen", F.col("at") - 1)["turn"], F.get("rejected", F.col("at") - 1)["turn"])
+    marked = pairs.withColumn("at", at).withColumn("differs", F.when(F.col("at") > 0, differs))
 
-    def of(side: str) -> Column:
-        return F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("role", "text"))))
+    def shared(t: Column) -> Column:
+        return F.col("differs").isNull() | (t["turn"] < F.col("differs"))
 
-    by_turn = both.groupBy("pair_id", "turn").agg(of("c").alias("c"), of("r").alias("r"))
-    ends = by_turn.where("c != r").groupBy("pair_id").agg(F.min("turn").alias("differs"))
-    shared = F.col("differs").isNull() | (F.col("turn") < F.col("differs"))
-
-    def in_order(where: Column, side: str) -> Column:
-        return F.sort_array(F.collect_list(F.when(where & (F.size(side) > 0), F.struct("turn", F.col(side).alias("rows")))))
-
-    pairs = (
-        by_turn.join(ends, "pair_id", "left")
-        .groupBy("pair_id")
-        .agg(in_order(shared, "c").alias("prompt"), in_order(~shared, "c").alias("chosen"), in_order(~shared, "r").alias("rejected"))
-    )
-
-    def rendered(name: str) -> Column:
-        turns = F.flatten(F.transform(name, lambda t: t["rows"]))
+    def rendered(turns: Column) -> Column:
         return F.flatten(F.transform(turns, segments))
 
-    return pairs.select(
+    prompt = F.filter("chosen", shared)
+    return marked.select(
         "pair_id",
-        F.size("prompt").cast("long").alias("prompt_turns"),
-        joined_text(rendered("prompt")).alias("prompt"),
-        rendered("chosen").alias("chosen"),
-        rendered("rejected").alias("rejected"),
-    )
-
-
-def with_foreign_reply(conversations: DataFrame) -> DataFrame:
-    """Rejected sides for conversations as of `turns_of`: up to their last assistant turn, whose place the
-    last assistant turn of another conversation takes, the one whose id differs in the last bit.
-
-    Without such a turn of its own, a conversation is its own rejected side; without one of the other, the reply is missing.
-    """
-    replies = (
-        conversations.where(F.col("role") == ASSISTANT)
-        .groupBy("pair_id")
-        .agg(F.max(F.struct("turn", "text")).alias("reply"))
-        .select("pair_id", F.col("reply.turn").alias("reply_turn"), F.col("reply.text").alias("reply_text"))
-    )
-    kept = conversations.join(replies.select("pair_id", "reply_turn"), "pair_id", "left").where(
-        F.col("reply_turn").isNull() | (F.col("turn") < F.col("reply_turn"))
+        F.size(F.array_distinct(F.transform(prompt, lambda t: t["turn"]))).cast("long").alias("prompt_turns"),
+        joined_text(rendered(prompt)).alias("prompt"),
+        *[rendered(F.filter(side, lambda t: ~shared(t))).alias(side) for side in ("chosen", "rejected")],
     )
-    foreign = replies.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("reply_text").alias("text"))
-    replaced = replies.select("pair_id", F.col("reply_turn").alias("turn")).join(foreign, "pair_id")
-    return kept.select("pair_id", "turn", "role", "text").unionByName(replaced.select("pair_id", "turn", F.lit(ASSISTANT).alias("role"), "text"))

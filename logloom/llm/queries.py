@@ -35,8 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_preference_pairs(spark, sf_dir):
     """Every conversation as chosen, against one that ends in another's reply."""
-    chosen = preference.turns_of(table(spark, sf_dir, "conversations"), "conv_id")
-    pairs = preference.format_pairs(chosen, preference.with_foreign_reply(chosen))
+    conversations = preference.conversations_of(table(spark, sf_dir, "conversations"), "conv_id")
+    pairs = preference.format_pairs(preference.with_foreign_reply(conversations))
 
     def trained(side: str) -> Column:
         return preference.joined_text(F.filter(side, lambda s: s["trained"]))

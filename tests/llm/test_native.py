@@ -189,15 +189,21 @@ def test_conversations_of_odd_rows(spark, tmp_path):
     ]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS pair_id", "'c' AS side")
     by_oracle(spark, tmp_path, "op1_preference_pairs", "conversations", frame)
-    empty = preference.turns_of(frame.limit(0), "conv_id")
-    assert preference.format_pairs(empty, empty).count() == 0
+    empty = preference.conversations_of(frame.limit(0), "conv_id")
+    assert preference.format_pairs(preference.side_by_side(empty, empty)).count() == 0
+    some = preference.conversations_of(frame, "conv_id")
+    alone = preference.format_pairs(preference.side_by_side(some.where("pair_id < 3"), some.where("pair_id > 0"))).collect()
+    assert {r.pair_id: (bool(r.prompt), bool(r.chosen), bool(r.rejected)) for r in alone if r.pair_id in (0, 1, 4)} == {
+        0: (False, True, False), 1: (True, False, False), 4: (False, False, True),
+    }
 
 
 def test_a_pair(spark):
     schema = "pair_id long, turn long, role string, text string"
     chosen = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (1, 3, "assistant", "good")], schema)
     rejected = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (1, 3, "assistant", "bad")], schema)
-    (row,) = preference.format_pairs(chosen, rejected).collect()
+    sides = [preference.conversations_of(t, "pair_id") for t in (chosen, rejected)]
+    (row,) = preference.format_pairs(preference.side_by_side(*sides)).collect()
     assert row.prompt == "<|user|>\nq<|end|>\n<|assistant|>\na<|end|>\n<|user|>\nmore<|end|>\n" and row.prompt_turns == 3
     assert [tuple(s) for s in row.chosen] == [("<|assistant|>\n", False), ("good<|end|>\n", True)]
     assert [tuple(s) for s in row.rejected] == [("<|assistant|>\n", False), ("bad<|end|>\n", True)]

@@ -251,7 +251,8 @@ def leaks(
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", **settings) -> DataFrame:
     """The rows of `docs` that hold no item, with its columns only. Rows of null id stay."""
-    bad = leaks(docs, items, id_column, **settings).select(F.col(id_column).alias("bad_id")).distinct()
+    # Written first, so that its size is known when the join is planned: while leaks are few, texts stay where they are.
+    bad = settle(leaks(docs, items, id_column, **settings).select(F.col(id_column).alias("bad_id")).distinct())
     whole = carried(docs, id=F.col(f"`{id_column}`"))
     kept = whole.join(bad, whole["id"] == bad["bad_id"], "left_anti")
     return kept.select(*[kept["row"].getField(c).alias(c) for c in docs.columns])

@@ -129,7 +129,9 @@ def strict_domains(counted: DataFrame, domain_column: str = "source", strict_rat
 
 def judge(counted: DataFrame, domain_column: str = "source", strict_rate: float = STRICT_RATE) -> DataFrame:
     """`counted`, from `with_counts` and settled, with `domain_strict` and `kept`."""
-    domains = strict_domains(counted, domain_column, strict_rate).select("domain", F.col("strict").alias("own_strict"))
+    # Written first, the domains have a known size when the join is planned: while they are few,
+    # the documents stay where they are.
+    domains = settle(strict_domains(counted, domain_column, strict_rate).select("domain", F.col("strict").alias("own_strict")))
     whole = carried(counted, domain=F.col(f"`{domain_column}`"), hard=F.col("hard_failed"), soft=F.col("soft_failed"))
     found = whole.join(domains, whole["domain"].eqNullSafe(domains["domain"]), "left")
     strict = F.coalesce("own_strict", F.lit(False))

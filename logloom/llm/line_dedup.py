@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import SPACES, ascii_lower, carried, double_hash, restored
+from logloom.session import settle
 
 
 def drop_shared_lines(
@@ -41,7 +42,9 @@ def drop_shared_lines(
         .where(F.char_length("key") >= min_chars)
         .select("id", "text1", "text2", "pos", *[h.alias(n) for n, h in zip(("key1", "key2"), double_hash(F.col("key")), strict=True)])
     )
-    shared = (
+    # Written first: few shared lines are sent to where the lines are; many are shuffled like the
+    # lines, and a join of two shuffles splits the partition of a line that very many documents have.
+    shared = settle(
         lines.groupBy("key1", "key2", "id")
         .agg(F.lit(1).alias("one"))
         .groupBy("key1", "key2")

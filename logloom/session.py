@@ -17,6 +17,8 @@ SETTINGS = {
     # Split a hot join key even where that costs one more shuffle downstream.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows may hold long texts: what goes to a Python worker at once stays small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

@@ -106,16 +106,21 @@ class Encoder:
 
 
 def groups(texts: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about `limit` bytes of text, one row at least."""
+    """Ranges of rows with about `limit` bytes of text, one row at least.
+
+    What Arrow held for a range is given back before the next: a worker that lives long stays small.
+    """
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > limit:
             yield start, i
+            pa.default_memory_pool().release_unused()
             start, held = i, 0
         held += n
     if start < len(sizes):
         yield start, len(sizes)
+    pa.default_memory_pool().release_unused()
 
 
 def encoded(texts: pa.Array, encoder: Encoder) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

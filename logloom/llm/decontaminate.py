@@ -7,7 +7,10 @@ item of fewer words is a window of its own length. A window counts if at least h
 literal, so no placeholder pattern matches by itself. For each document and item, values of the
 matched windows' slots are compared: a question whose parameters were changed maps each value to
 one other value wherever it occurs. Pairs with at least MIN_COVERED of the item's windows
-and MIN_CONSISTENT of its slot values mapped one to one, both ways, are leaks.
+and MIN_CONSISTENT of its slot values mapped one to one, both ways, are leaks. Where the matches of a whole
+document fail that, each occurrence in it is judged alone, so a copy is found beside variants of itself with
+other values. An occurrence is what matches at one distance between the document's place and the item's, or
+at up to SLACK neighbouring ones, as a longer name or a word put in shifts what follows.
 
 The benchmark's window hashes are sent to the tasks, as a filter, while there are no more than
 `max_filter` of them (8 bytes each); beyond that, all windows go to the join, with the same
@@ -37,6 +40,7 @@ from logloom.session import settle
 WINDOW = 8
 MIN_COVERED = 0.5
 MIN_CONSISTENT = 0.8
+SLACK = 4
 MAX_FILTER = 4_000_000
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 #: Unit words, by the hash of their lower-case form.
@@ -134,17 +138,24 @@ class Template:
         return kind[mine].tolist(), self.value[at + mine].astype(np.int64).tolist()
 
 
-def window_rows(template: Template, ids: pa.Array, found: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
-    rows = [(template.text[i], int(i), int(h), *template.slots(i, size)) for at, hashed, size in found for i, h in zip(at, hashed.astype(np.int64), strict=True)]
+def window_rows(template: Template, part: pa.RecordBatch, found: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
+    """The windows with their places in their own texts."""
+    first = template.firsts
+    rows = [
+        (t := template.text[i], int(i - first[t]), int(h), *template.slots(i, size))
+        for at, hashed, size in found
+        for i, h in zip(at, hashed.astype(np.int64), strict=True)
+    ]
     text, place, hashed, kinds, values = zip(*rows, strict=True) if rows else ([],) * 5
+    text = pa.array(text, pa.int64())
     return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(text, pa.int64())), pa.array(place, pa.int64()), pa.array(hashed, pa.int64()), pa.array(values, pa.list_(pa.int64()))],
-        ["id", "place", "hash", "values"],
+        [part.column("id").take(text), part.column("part").take(text), pa.array(place, pa.int64()), pa.array(hashed, pa.int64()), pa.array(values, pa.list_(pa.int64()))],
+        ["id", "part", "place", "hash", "values"],
     )
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
-    """`item`, `hash`, `length`, `values` and number of windows of the items (id, text)."""
+    """`item`, `item_part`, `item_place`, `hash`, `length` and `item_values` of the windows of the items (id, part, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,17 +168,17 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
                     at, hashed = template.windows(length)
                     mine = np.minimum(counts[template.text[at]], size) == length
                     found.append((at[mine], hashed[mine], length))
-                rows = window_rows(template, part.column("id"), found)
+                rows = window_rows(template, part, found)
                 lengths = [length for at, _, length in found for _ in at]
                 yield rows.append_column("length", pa.array(lengths, pa.int64()))
 
     kind = dict(items.dtypes)["id"]
-    rows = items.mapInArrow(run, f"id {kind}, place long, hash long, values array<long>, length long")
-    return rows.withColumnRenamed("id", "item").withColumnRenamed("values", "item_values")
+    rows = items.mapInArrow(run, f"id {kind}, part long, place long, hash long, values array<long>, length long")
+    return rows.withColumnsRenamed({"id": "item", "part": "item_part", "place": "item_place", "values": "item_values"})
 
 
 def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """`doc`, `hash` and `values` of the windows of the documents (id, text), only of the hashes in `wanted` if given."""
+    """`doc`, `part`, `place`, `hash` and `values` of the windows of the documents (id, part, text), only of the hashes in `wanted` if given."""
     if wanted is not None:
         bits = np.zeros(1 << 22, bool)  # most windows end here, before the search
         bits[(wanted & np.uint64(len(bits) - 1)).astype(np.int64)] = True
@@ -191,10 +202,38 @@ def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | N
                         near = known[np.minimum(exact, len(known) - 1)] == hashed
                         at, hashed = at[near], hashed[near]
                     found.append((at, hashed, length))
-                yield window_rows(template, part.column("id"), found)
+                yield window_rows(template, part, found)
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, place long, hash long, values array<long>").withColumnRenamed("id", "doc")
+    return docs.mapInArrow(run, f"id {kind}, part long, place long, hash long, values array<long>").withColumnRenamed("id", "doc")
+
+
+def judged(matches: DataFrame, totals: DataFrame, keys: list[str], min_covered: float) -> DataFrame:
+    """`keys`, `covered` and `consistent` of the groups of matches that cover enough of their item."""
+    covered = (
+        matches.select(*keys, "hash").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("hit"))
+        .join(totals, "item").select(*keys, (F.col("hit") / F.col("windows")).alias("covered")).where(F.col("covered") >= min_covered)
+    )
+    # Pairs of an item's value and a document's value, and on how many partners each has.
+    slots = (
+        matches.select(*keys, F.explode(F.arrays_zip(F.col("item_values").alias("theirs"), F.col("values").alias("own"))).alias("slot"))
+        .select(*keys, "slot.theirs", "slot.own").distinct()
+    )
+    by_theirs = slots.groupBy(*keys, "theirs").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("own"))
+    by_own = slots.groupBy(*keys, "own").agg(F.count(F.lit(1)).alias("m"))
+    consistent = (
+        by_theirs.join(by_own, [*keys, "own"])
+        .groupBy(*keys)
+        .agg(F.avg(((F.col("n") == 1) & (F.col("m") == 1)).cast("int")).alias("consistent"))
+    )
+    return covered.join(consistent, keys, "left").withColumn("consistent", F.coalesce("consistent", F.lit(1.0)))
+
+
+def occurrences(matches: DataFrame) -> DataFrame:
+    """The matches with `start` and `slack` of each occurrence they may belong to."""
+    shift = F.col("place") - F.col("item_place")
+    at = [F.struct((shift - back).alias("start"), F.lit(slack).alias("slack")) for slack in (0, SLACK) for back in range(slack + 1)]
+    return matches.withColumn("at", F.explode(F.array(*at))).select("*", "at.start", "at.slack").drop("at")
 
 
 def leaks(
@@ -212,7 +251,8 @@ def leaks(
     """One row per document and item that it holds: the ids, `covered` and `consistent`."""
 
     def narrow(df: DataFrame, key: str, text: str) -> DataFrame:
-        return df.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("id IS NOT NULL")
+        rows = df.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("id IS NOT NULL")
+        return rows.withColumn("part", F.xxhash64("text"))  # which of the texts of one id a place is in
 
     known = settle(item_windows(narrow(items, item_column, item_text_column), window))
     totals = known.groupBy("item").agg(F.countDistinct("hash").alias("windows"))
@@ -224,27 +264,20 @@ def leaks(
         if not len(wanted):
             lengths = []
     found = document_windows(narrow(docs, id_column, text_column), lengths, wanted)
-    matches = settle(found.join(known.select("item", "hash", "item_values"), "hash"))
-    covered = (
-        matches.select("doc", "item", "hash").distinct().groupBy("doc", "item").agg(F.count(F.lit(1)).alias("hit"))
-        .join(totals, "item").select("doc", "item", (F.col("hit") / F.col("windows")).alias("covered")).where(F.col("covered") >= min_covered)
-    )
-    # Pairs of an item's value and a document's value, and on how many partners each has.
-    slots = (
-        matches.select("doc", "item", F.explode(F.arrays_zip(F.col("item_values").alias("theirs"), F.col("values").alias("own"))).alias("slot"))
-        .select("doc", "item", "slot.theirs", "slot.own").distinct()
-    )
-    by_theirs = slots.groupBy("doc", "item", "theirs").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("own"))
-    by_own = slots.groupBy("doc", "item", "own").agg(F.count(F.lit(1)).alias("m"))
-    consistent = (
-        by_theirs.join(by_own, ["doc", "item", "own"])
+    matches = settle(found.join(known.select("item", "item_part", "item_place", "hash", "item_values"), "hash"))
+    whole = settle(judged(matches, totals, ["doc", "item"], min_covered))
+    # An occurrence covers no more than its document, so only these can still hold one that passes.
+    mixed = whole.where(F.col("consistent") < min_consistent).select("doc", "item")
+    single = (
+        judged(occurrences(matches.join(mixed, ["doc", "item"])), totals, ["doc", "part", "item", "item_part", "start", "slack"], min_covered)
+        .where(F.col("consistent") >= min_consistent)
         .groupBy("doc", "item")
-        .agg(F.avg(((F.col("n") == 1) & (F.col("m") == 1)).cast("int")).alias("consistent"))
+        .agg(F.max(F.struct("covered", "consistent")).alias("best"))
+        .select("doc", "item", "best.covered", "best.consistent")
     )
     return (
-        covered.join(consistent, ["doc", "item"], "left")
-        .withColumn("consistent", F.coalesce("consistent", F.lit(1.0)))
-        .where(F.col("consistent") >= min_consistent)
+        whole.where(F.col("consistent") >= min_consistent)
+        .unionByName(single)
         .select(F.col("doc").alias(id_column), F.col("item").alias(item_column), "covered", "consistent")
     )
 

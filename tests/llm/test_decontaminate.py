@@ -151,3 +151,22 @@ def test_query(spark):
     result = found(QUERIES["op3_template_leaks"](spark, DATA))
     assert result == plain(docs, items)
     assert {(d, i) for d, t in docs for i, x in items if x in t} <= result
+
+
+def test_a_copy_beside_variants(spark):
+    other = QUESTION.replace("Boston", "Denver").replace("120", "310").replace("3 hours", "5 hours").replace("Alice", "Bob").replace(" 4 miles", " 8 miles")
+    third = other.replace("Denver", "New York").replace("310", "77").replace("Bob", "Eve").replace("at 9", "at 11")
+    worn = dict(d for d in DOCS if d[0] == 10)[10]  # its values are not one to one
+    docs = [
+        (1, f"{QUESTION}\n{other}"),
+        (2, f"{other}\nSome words.\n{'y ' * 3000}\n{third}"),
+        (3, QUESTION),
+        (3, other),
+        (4, f"{worn} {worn}\n{worn}"),
+        (5, f"{worn} " + ITEMS[6][1]),
+    ]
+    items = [(1, QUESTION), (6, ITEMS[6][1])]
+    for limit in (0, 4_000_000):
+        result = decontaminate.leaks(*tables(spark, docs, items), max_filter=limit)
+        assert found(result) == {(1, 1), (2, 1), (3, 1), (5, 6)}
+        assert {(r.covered, r.consistent) for r in result.collect() if r.doc_id in (1, 5)} == {(1.0, 1.0)}

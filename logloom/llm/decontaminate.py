@@ -12,12 +12,17 @@ document fail that, each occurrence in it is judged alone, so a copy is found be
 other values. An occurrence is what matches at one distance between the document's place and the item's, or
 at up to SLACK neighbouring ones, as a longer name or a word put in shifts what follows.
 
+With `verbatim`, as the queries and the pipeline set it, windows of the lower-case words themselves are joined
+as well, whatever their kinds: a place in a document with MIN_COVERED of an item's windows, or with a run
+of RUN words of it, however long the item, is a leak too. So items of numbers, names or capitals
+are found as they are, and long passages of long items.
+
 The benchmark's window hashes are sent to the tasks, as a filter, while there are no more than
 `max_filter` of them (8 bytes each); beyond that, all windows go to the join, with the same
 result. Nothing is gathered per document but its matches, which are counted in partial aggregations,
 so a question in a third of all documents is no hot group.
 
-Null and empty texts match nothing, as do items without a literal majority. Rows of equal id are one
+Null and empty texts match nothing, as do items without a literal majority unless `verbatim` is set. Rows of equal id are one
 document; a null id is none and never leaks. Repeated items count once per item id, and items of null id
 never match. Columns other than ids and texts don't matter. Without documents or items, the result is
 empty.
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.common import carried
@@ -41,6 +46,8 @@ WINDOW = 8
 MIN_COVERED = 0.5
 MIN_CONSISTENT = 0.8
 SLACK = 4
+RUN = 13
+AS_IS = np.uint64(0xA0761D6478BD642F)  # sets windows of words apart from templates
 MAX_FILTER = 4_000_000
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 #: Unit words, by the hash of their lower-case form.
@@ -131,6 +138,16 @@ class Template:
         at = at[2 * (literal[at + size] - literal[at]) >= size]
         return at, windows(self.form, size)[at] ^ np.uint64(size)
 
+    def verbatim_windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words, and hashes of the words, of all windows."""
+        at = np.arange(len(self.form))
+        at = at[at + size <= self.last]
+        return at, windows(self.value, size)[at] ^ np.uint64(size) ^ AS_IS
+
+    def all_windows(self, size: int, verbatim: bool) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """Those of the template, and if wanted those of the words, which are marked."""
+        return [(*self.windows(size), False)] + ([(*self.verbatim_windows(size), True)] if verbatim else [])
+
     def slots(self, at: int, size: int) -> tuple[list[int], list[int]]:
         """Kinds and values of a window's slots, as signed numbers; literals have none."""
         kind = self.kind[at : at + size]
@@ -138,24 +155,25 @@ class Template:
         return kind[mine].tolist(), self.value[at + mine].astype(np.int64).tolist()
 
 
-def window_rows(template: Template, part: pa.RecordBatch, found: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
+def window_rows(template: Template, part: pa.RecordBatch, found: list[tuple[np.ndarray, np.ndarray, int, bool]]) -> pa.RecordBatch:
     """The windows with their places in their own texts."""
     first = template.firsts
     rows = [
-        (t := template.text[i], int(i - first[t]), int(h), *template.slots(i, size))
-        for at, hashed, size in found
+        (t := template.text[i], int(i - first[t]), int(h), exact, [] if exact else template.slots(i, size)[1])
+        for at, hashed, size, exact in found
         for i, h in zip(at, hashed.astype(np.int64), strict=True)
     ]
-    text, place, hashed, kinds, values = zip(*rows, strict=True) if rows else ([],) * 5
+    text, place, hashed, exact, values = zip(*rows, strict=True) if rows else ([],) * 5
     text = pa.array(text, pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [part.column("id").take(text), part.column("part").take(text), pa.array(place, pa.int64()), pa.array(hashed, pa.int64()), pa.array(values, pa.list_(pa.int64()))],
-        ["id", "part", "place", "hash", "values"],
-    )
+    columns = [
+        part.column("id").take(text), part.column("part").take(text),
+        pa.array(place, pa.int64()), pa.array(hashed, pa.int64()), pa.array(exact, pa.bool_()), pa.array(values, pa.list_(pa.int64())),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["id", "part", "place", "hash", "exact", "values"])
 
 
-def item_windows(items: DataFrame, size: int) -> DataFrame:
-    """`item`, `item_part`, `item_place`, `hash`, `length` and `item_values` of the windows of the items (id, part, text)."""
+def item_windows(items: DataFrame, size: int, verbatim: bool) -> DataFrame:
+    """`item`, `item_part`, `item_place`, `hash`, `exact`, `length` and `item_values` of the windows of the items (id, part, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,20 +183,20 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
                 counts = np.diff(template.firsts)
                 found = []
                 for length in np.unique(np.minimum(counts[counts > 0], size)).tolist():
-                    at, hashed = template.windows(length)
-                    mine = np.minimum(counts[template.text[at]], size) == length
-                    found.append((at[mine], hashed[mine], length))
+                    for at, hashed, exact in template.all_windows(length, verbatim):
+                        mine = np.minimum(counts[template.text[at]], size) == length
+                        found.append((at[mine], hashed[mine], length, exact))
                 rows = window_rows(template, part, found)
-                lengths = [length for at, _, length in found for _ in at]
+                lengths = [length for at, _, length, _ in found for _ in at]
                 yield rows.append_column("length", pa.array(lengths, pa.int64()))
 
     kind = dict(items.dtypes)["id"]
-    rows = items.mapInArrow(run, f"id {kind}, part long, place long, hash long, values array<long>, length long")
+    rows = items.mapInArrow(run, f"id {kind}, part long, place long, hash long, exact boolean, values array<long>, length long")
     return rows.withColumnsRenamed({"id": "item", "part": "item_part", "place": "item_place", "values": "item_values"})
 
 
-def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """`doc`, `part`, `place`, `hash` and `values` of the windows of the documents (id, part, text), only of the hashes in `wanted` if given."""
+def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | None, verbatim: bool) -> DataFrame:
+    """`doc`, `part`, `place`, `hash`, `exact` and `values` of the windows of the documents (id, part, text), only of the hashes in `wanted` if given."""
     if wanted is not None:
         bits = np.zeros(1 << 22, bool)  # most windows end here, before the search
         bits[(wanted & np.uint64(len(bits) - 1)).astype(np.int64)] = True
@@ -194,18 +212,18 @@ def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | N
                 template = Template(part.column("text"))
                 found = []
                 for length in lengths:
-                    at, hashed = template.windows(length)
-                    if wanted is not None:
-                        near = may_be[(hashed & np.uint64(len(may_be) - 1)).astype(np.int64)]
-                        at, hashed = at[near], hashed[near]
-                        exact = np.searchsorted(known, hashed)
-                        near = known[np.minimum(exact, len(known) - 1)] == hashed
-                        at, hashed = at[near], hashed[near]
-                    found.append((at, hashed, length))
+                    for at, hashed, exact in template.all_windows(length, verbatim):
+                        if wanted is not None:
+                            near = may_be[(hashed & np.uint64(len(may_be) - 1)).astype(np.int64)]
+                            at, hashed = at[near], hashed[near]
+                            place = np.searchsorted(known, hashed)
+                            near = known[np.minimum(place, len(known) - 1)] == hashed
+                            at, hashed = at[near], hashed[near]
+                        found.append((at, hashed, length, exact))
                 yield window_rows(template, part, found)
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, part long, place long, hash long, values array<long>").withColumnRenamed("id", "doc")
+    return docs.mapInArrow(run, f"id {kind}, part long, place long, hash long, exact boolean, values array<long>").withColumnRenamed("id", "doc")
 
 
 def judged(matches: DataFrame, totals: DataFrame, keys: list[str], min_covered: float) -> DataFrame:
@@ -236,6 +254,25 @@ def occurrences(matches: DataFrame) -> DataFrame:
     return matches.withColumn("at", F.explode(F.array(*at))).select("*", "at.start", "at.slack").drop("at")
 
 
+def passages(matches: DataFrame, known: DataFrame, window: int, min_covered: float) -> DataFrame:
+    """`doc`, `item`, `covered` and `consistent` of the items that documents hold word by word, whole or for long."""
+    text = ["item", "item_part"]
+    at = ["doc", "part", *text, "shift"]
+    totals = known.select(*text, "item_place").distinct().groupBy(*text).agg(F.count(F.lit(1)).alias("windows"))
+    spots = matches.select("doc", "part", *text, (F.col("place") - F.col("item_place")).alias("shift"), "item_place").distinct()
+    # Places in a row less their rank are one number.
+    order = F.row_number().over(Window.partitionBy(*at).orderBy("item_place"))
+    runs = spots.withColumn("run", F.col("item_place") - order).groupBy(*at, "run").agg(F.count(F.lit(1)).alias("n"))
+    found = runs.groupBy(*at).agg(F.max("n").alias("longest"), F.sum("n").alias("hit")).join(totals, text)
+    return (
+        found.withColumn("covered", F.col("hit") / F.col("windows"))
+        .where((F.col("covered") >= min_covered) | (F.col("longest") > max(RUN - window, 0)))
+        .groupBy("doc", "item")
+        .agg(F.max("covered").alias("covered"))
+        .withColumn("consistent", F.lit(1.0))
+    )
+
+
 def leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -247,6 +284,7 @@ def leaks(
     min_covered: float = MIN_COVERED,
     min_consistent: float = MIN_CONSISTENT,
     max_filter: int = MAX_FILTER,
+    verbatim: bool = False,
 ) -> DataFrame:
     """One row per document and item that it holds: the ids, `covered` and `consistent`."""
 
@@ -254,17 +292,19 @@ def leaks(
         rows = df.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("id IS NOT NULL")
         return rows.withColumn("part", F.xxhash64("text"))  # which of the texts of one id a place is in
 
-    known = settle(item_windows(narrow(items, item_column, item_text_column), window))
+    all_known = settle(item_windows(narrow(items, item_column, item_text_column), window, verbatim))
+    known = all_known.where("NOT exact")
     totals = known.groupBy("item").agg(F.countDistinct("hash").alias("windows"))
-    lengths = sorted(r.length for r in known.select("length").distinct().collect())  # `window` of them at most
-    distinct = known.select("hash").distinct()
+    lengths = sorted(r.length for r in all_known.select("length").distinct().collect())  # `window` of them at most
+    distinct = all_known.select("hash").distinct()
     wanted = None
     if distinct.count() <= max_filter:
         wanted = np.sort(distinct.toPandas()["hash"].to_numpy(np.int64).astype(np.uint64))
         if not len(wanted):
             lengths = []
-    found = document_windows(narrow(docs, id_column, text_column), lengths, wanted)
-    matches = settle(found.join(known.select("item", "item_part", "item_place", "hash", "item_values"), "hash"))
+    found = document_windows(narrow(docs, id_column, text_column), lengths, wanted, verbatim)
+    all_matches = settle(found.join(all_known.select("item", "item_part", "item_place", "hash", "item_values"), "hash"))
+    matches = all_matches.where("NOT exact")
     whole = settle(judged(matches, totals, ["doc", "item"], min_covered))
     # An occurrence covers no more than its document, so only these can still hold one that passes.
     mixed = whole.where(F.col("consistent") < min_consistent).select("doc", "item")
@@ -275,11 +315,12 @@ def leaks(
         .agg(F.max(F.struct("covered", "consistent")).alias("best"))
         .select("doc", "item", "best.covered", "best.consistent")
     )
-    return (
-        whole.where(F.col("consistent") >= min_consistent)
-        .unionByName(single)
-        .select(F.col("doc").alias(id_column), F.col("item").alias(item_column), "covered", "consistent")
-    )
+    result = whole.where(F.col("consistent") >= min_consistent).unionByName(single)
+    if verbatim:
+        as_is = passages(all_matches.where("exact"), all_known.where("exact"), window, min_covered)
+        best = F.max(F.struct("covered", "consistent")).alias("best")
+        result = result.unionByName(as_is).groupBy("doc", "item").agg(best).select("doc", "item", "best.*")
+    return result.select(F.col("doc").alias(id_column), F.col("item").alias(item_column), "covered", "consistent")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", **settings) -> DataFrame:

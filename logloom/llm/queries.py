@@ -70,7 +70,7 @@ URL_PATTERNS = [pattern_rule("?utm_source=*", BLOCK), pattern_rule("?page=*&ref=
 @query
 def op3_template_leaks(spark, sf_dir):
     """Documents that hold benchmark items, as they are or with other parameters."""
-    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), verbatim=True)
     return found.select("doc_id", "item_id", F.round("covered", 6).alias("covered"), F.round("consistent", 6).alias("consistent"))
 
 

@@ -170,3 +170,32 @@ def test_a_copy_beside_variants(spark):
         result = decontaminate.leaks(*tables(spark, docs, items), max_filter=limit)
         assert found(result) == {(1, 1), (2, 1), (3, 1), (5, 6)}
         assert {(r.covered, r.consistent) for r in result.collect() if r.doc_id in (1, 5)} == {(1.0, 1.0)}
+
+
+def test_verbatim_passages(spark):
+    rng = random.Random(4)
+    long = " ".join(rng.choices([f"w{i}" for i in range(500)], k=59))
+    title = "The Old Man And The Sea Was Written By Ernest Hemingway In Cuba"
+    numbers = "12 30 45 km kg 7 8 9 10 11"
+    items = [(1, long), (2, title), (3, numbers), (4, QUESTION), (5, "1 + 2")]
+    docs = [
+        (1, "before " + " ".join(long.split()[20:45]) + " after"),
+        (2, f"They read: {title}, again."),
+        (3, f"A table\n{numbers}\nof numbers."),
+        (4, QUESTION.upper()),
+        (5, numbers.replace("45", "46").replace("9", "99")),
+        (6, " ".join(long.split()[20:32]) + " after"),
+        (7, "so 1 + 2 is"),
+        (8, "so 1 + 3 is"),
+    ]
+    for limit in (0, 4_000_000):
+        assert found(decontaminate.leaks(*tables(spark, docs, items), max_filter=limit, verbatim=True)) == {(1, 1), (2, 2), (3, 3), (4, 4), (7, 5)}
+    kept = decontaminate.drop_leaks(*tables(spark, docs, items), verbatim=True)
+    assert sorted(r.doc_id for r in kept.collect()) == [5, 6, 8]
+
+
+def test_query_finds_passages(spark, tmp_path):
+    docs, items = tables(spark, [(1, "see 12 30 45 km kg 7 8 9 10 11 there")], [(3, ITEMS[2][1])])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert found(QUERIES["op3_template_leaks"](spark, str(tmp_path))) == {(1, 3)}

@@ -1,10 +1,12 @@
-"""Near-duplicate texts by ProbMinHash over weighted word shingles.
+"""Near-duplicate texts by ProbMinHash over word shingles.
 
-Shingles are runs of five words (all words of a shorter text); a shingle that occurs c times
-weighs 1 + ln c. Each shingle is a Poisson process whose arrivals, of a rate in proportion to
+Shingles are runs of five words (all words of a shorter text). Links are judged by sets of shingles, so
+all shingles weigh the same in the sketch, however often they occur: with weights by count, texts that repeat
+what they share unequally would have few registers in common. Each shingle is a Poisson process whose arrivals, of a rate in proportion to
 the weight, visit the registers in an order of the shingle's own without repetition; a register keeps the
 first arrival. A shingle ends as soon as its next arrival is later than all that its text's registers hold.
-Equal registers of two texts are as frequent as their probability Jaccard similarity.
+Equal registers of two texts are as frequent as their probability Jaccard similarity, which for
+equal weights is the Jaccard similarity of the sets.
 
 Equal texts are one node from the start. Bands of registers make buckets. First, every member of a
 bucket is compared with its leader, the member that has most company in all its buckets: of those leaders
@@ -103,7 +105,7 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, stop in groups(texts):
             part = batch.slice(start, stop - start)
             text, shingle, count = shingles(part.column("text"))
-            rows = signatures(text, shingle, count, len(part)).astype("<u4")
+            rows = signatures(text, shingle, np.ones_like(count), len(part)).astype("<u4")
             empty = np.ones(len(part), bool)
             empty[text] = False
             found = pa.array([r.tobytes() for r in rows], pa.binary(), mask=empty)

@@ -163,3 +163,22 @@ def test_chains_and_groups(spark, monkeypatch, block):
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     assert found(QUERIES["op6_prob_minhash"](spark, DATA)) == sorted(all_pairs(rows), key=str)
+
+
+def test_unequal_repeats_keep_the_set_jaccard():
+    rng = random.Random(9)
+    shares, sets, missed = [], [], 0
+    for _ in range(20):
+        base = [f"w{rng.random()}" for _ in range(1000)]
+        other = [*base[:900], *[f"v{rng.random()}" for _ in range(100)]]
+        pair = [" ".join(base), " ".join(other + base[:300] * 50)]
+        a, b = (shingle_set(t) for t in pair)
+        sets.append(len(a & b) / len(a | b))
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(pair)], ["h1", "text"])
+        x, y = (np.frombuffer(r, "<u4") for out in near_dups.sketched(iter([batch])) for r in out.column("registers").to_pylist())
+        shares.append((x == y).mean())
+        width = near_dups.ROWS
+        missed += not any((x[width * k : width * (k + 1)] == y[width * k : width * (k + 1)]).all() for k in range(near_dups.BANDS))
+    assert min(sets) >= 0.8
+    assert np.mean(shares) == pytest.approx(np.mean(sets), abs=0.03)
+    assert not missed

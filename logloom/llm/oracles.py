@@ -110,3 +110,39 @@ SELECT conv_id, coalesce(max(n) FILTER (part = 'p'), 0) AS prompt_turns,
     md5(coalesce(max(trained) FILTER (part = 'c'), '')) AS chosen_trained_md5, md5(coalesce(max(trained) FILTER (part = 'r'), '')) AS rejected_trained_md5
 FROM rendered GROUP BY conv_id
 """
+
+
+def centroid_sql(rounds: int = 10, clusters: int = 8) -> str:
+    """Exact Lloyd rounds, one after another."""
+    steps = [
+        f"""
+WITH kept AS (
+    SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64),
+vectors AS MATERIALIZED (
+    SELECT r, d, floor(1024 * embedding[d]::DOUBLE)::HUGEINT AS v FROM (SELECT r, embedding, unnest(range(1, 65)) AS d FROM kept)),
+seeds AS (
+    SELECT r, row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), embedding) - 1 AS c
+    FROM kept ORDER BY c LIMIT {clusters}),
+c0 AS MATERIALIZED (SELECT c, d, v FROM seeds JOIN vectors USING (r))"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""
+apart{i} AS (SELECT r, c, sum((a.v - b.v) * (a.v - b.v)) AS distance FROM vectors a JOIN c{i} b USING (d) GROUP BY r, c),
+near{i} AS MATERIALIZED (
+    SELECT r, c, distance FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY distance, c) AS k FROM apart{i}) WHERE k = 1)""")
+        if i < rounds:
+            steps.append(f"""
+moved{i} AS (
+    SELECT c, d, (s - ((s % n) + n) % n) // n AS v
+    FROM (SELECT c, d, sum(v) AS s, count(*) AS n FROM near{i} JOIN vectors USING (r) GROUP BY c, d)),
+c{i + 1} AS MATERIALIZED (SELECT c, d, coalesce(moved{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN moved{i} USING (c, d))""")
+    return ",".join(steps) + f""",
+digests AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY d)) AS digest FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+    (sum(distance) OVER ())::BIGINT AS inertia, digest AS centroid_sha256
+FROM near{rounds} JOIN kept USING (r) JOIN digests USING (c)
+"""
+
+
+ORACLES["op11_subvector_centroids"] = centroid_sql()

@@ -207,15 +207,18 @@ def joining(table: pa.Table) -> pa.Table:
 class NearDuplicates:
     """The tables of one run, each written to the shared folder once."""
 
+    #: Makes `registers` of texts, on which the bands are taken.
+    sketch = staticmethod(sketched)
+
     def __init__(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"):
-        self.names = docs.columns
+        self.names, self.id_column = docs.columns, id_column
         text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
         h1, h2 = double_hash(text)
         self.keyed = carried(docs, id=F.col(f"`{id_column}`"), text=text, h1=h1, h2=h2)
         # Equal texts are one node; any row's registers will do for it.
         self.nodes = settle(
             self.keyed.select("h1", "h2", "text")
-            .mapInArrow(sketched, "h1 long, h2 long, registers binary")
+            .mapInArrow(self.sketch, "h1 long, h2 long, registers binary")
             .groupBy("h1", "h2")
             .agg(F.first("registers").alias("registers"))
             .withColumn("node", F.monotonically_increasing_id())
@@ -286,11 +289,16 @@ class NearDuplicates:
         )
 
 
+    def classes(self) -> DataFrame:
+        """The id, `class_id`, the smallest id of the row's class, and `class_size`, in rows."""
+        rows = settle(self.rows())
+        groups_of = rows.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+        return rows.join(groups_of, "root").select(F.col("id").alias(self.id_column), "class_id", "class_size")
+
+
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`id_column`, `class_id`, the smallest id of the row's class, and `class_size`, in rows."""
-    rows = settle(NearDuplicates(docs, id_column, text_column).rows())
-    groups_of = rows.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(groups_of, "root").select(F.col("id").alias(id_column), "class_id", "class_size")
+    return NearDuplicates(docs, id_column, text_column).classes()
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import decontaminate, id_files, line_dedup, near_dups, packing, personal, preference, quality, sharding, url_filter
+from logloom.llm import centroids, decontaminate, fingerprints, id_files, line_dedup, near_dups, packing, personal, preference, quality, sharding, url_filter
 from logloom.llm.url_filter import ALLOW, BLOCK, pattern_rule, site_rule
 from logloom.session import settle, tune
 
@@ -149,3 +149,16 @@ def op10_simple8b_files(spark, sf_dir):
     """The ids of all documents, written to files in the order of doc_id and read back."""
     files = id_files.write(table(spark, sf_dir, "documents"), VOCABULARY, END_ID)
     return id_files.read(files).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+
+
+@query
+def op11_subvector_centroids(spark, sf_dir):
+    """Every vector in one of eight clusters, after ten exact rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op12_minhash_fingerprints(spark, sf_dir):
+    """Every document's fingerprint against those of its edited text and of the next document."""
+    found = fingerprints.against_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumns({c: fingerprints.as_text(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})

@@ -2,7 +2,7 @@
 
 A text's shingles are its runs of five words, A-Z counted as a-z; a text of fewer words is one shingle.
 Universal hash functions, x -> a * x + b modulo 2 ** 64 with odd a, permute the shingles' 64-bit hashes; the fingerprint
-keeps the upper 32 bits of each permutation's least value, for all texts of a batch in a few array operations.
+keeps 16 bits of each permutation's least value, its halves XORed, for all texts of a batch in a few array operations.
 The likeness of two fingerprints is the share of their numbers that are equal, an estimate of the
 Jaccard similarity of the two sets of shingles.
 
@@ -45,7 +45,7 @@ PERMUTATIONS = BANDS * ROWS
 #: Shingles that go through all permutations together: few enough for a processor's cache.
 STEP = 1 << 15
 #: What a text without words has for each permutation.
-NOTHING = np.uint32(0xFFFFFFFF)
+NOTHING = np.uint16(0xFFFF)
 
 with np.errstate(over="ignore"):
     _draws = mixed(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -72,17 +72,23 @@ def shingles_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(text: np.ndarray, shingle: np.ndarray, texts: int) -> np.ndarray:
-    """The fingerprint of each text, a row of 32-bit numbers."""
-    out = np.full((texts, PERMUTATIONS), NOTHING)
+    """The fingerprint of each text, a row of 16-bit numbers."""
+    out = np.full((texts, PERMUTATIONS), 2**64 - 1, np.uint64)
     with np.errstate(over="ignore"):
         for start in range(0, len(shingle), STEP):
             own, values = text[start : start + STEP], shingle[start : start + STEP]
             firsts = np.flatnonzero(np.diff(own, prepend=-1))
             rows = own[firsts]
             for k in range(PERMUTATIONS):
-                least = np.minimum.reduceat(values * MULTIPLIERS[k] + SHIFTS[k], firsts) >> np.uint64(32)
-                out[rows, k] = np.minimum(out[rows, k], least.astype(np.uint32))
-    return out
+                least = np.minimum.reduceat(values * MULTIPLIERS[k] + SHIFTS[k], firsts)
+                out[rows, k] = np.minimum(out[rows, k], least)
+    folded = (out ^ (out >> np.uint64(32))).astype(np.uint16)
+    folded[np.bincount(text, minlength=texts) == 0] = NOTHING
+    return folded
+
+
+def as_bytes(prints: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in prints.astype("<u2")], pa.binary())
 
 
 def likeness(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,6 +118,7 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(start, stop - start)
             found = signatures(*shingles_of(part.column("text")), len(part))
             empty = (found == NOTHING).all(axis=1)
+            # The bands of `NearDuplicates` are cut from 32-bit numbers.
             column = pa.array([r.tobytes() for r in found.astype("<u4")], pa.binary(), mask=empty)
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], column], [*others, "registers"])
 
@@ -128,11 +135,17 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """`id_column` and `fingerprint`, the numbers in order, 32 bits each, little endian."""
+    """`id_column` and `fingerprint`, the numbers in order, 16 bits each, little endian."""
     chosen = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
-    nothing = F.lit(NOTHING.astype("<u4").tobytes() * PERMUTATIONS)
-    found = chosen.mapInArrow(sketched, f"id {dict(chosen.dtypes)['id']}, registers binary")
-    return found.select(F.col("id").alias(id_column), F.coalesce("registers", nothing).alias("fingerprint"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in groups(batch.column("text")):
+                found = signatures(*shingles_of(batch.column("text")[start:stop]), stop - start)
+                yield pa.RecordBatch.from_arrays([batch.column("id")[start:stop], as_bytes(found)], ["id", "fingerprint"])
+
+    found = chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, fingerprint binary")
+    return found.withColumnRenamed("id", id_column)
 
 
 COMPARED = (
@@ -161,8 +174,7 @@ def compared(texts: list[str]) -> dict[str, pa.Array]:
     return {
         "n_chars": pa.array([len(t) for t in texts[:n]], pa.int64()),
         "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in mixtures]),
-        "fingerprint": pa.array([r.tobytes() for r in prints[:n].astype("<u4")], pa.binary()),
-        "edited_fingerprint": pa.array([r.tobytes() for r in made_prints.astype("<u4")], pa.binary()),
+        "fingerprint": as_bytes(prints[:n]), "edited_fingerprint": as_bytes(made_prints),
         "near_edited": pa.array(near_edited), "near_next": pa.array(near_next),
         "bands_edited": pa.array(bands_edited, pa.int32()), "bands_next": pa.array(bands_next, pa.int32()),
         "jaccard_edited": pa.array(jaccard(all_but_last, made, n)), "jaccard_next": pa.array(jaccard(all_but_last, all_but_first, n)),

@@ -146,3 +146,34 @@ FROM near{rounds} JOIN kept USING (r) JOIN digests USING (c)
 
 
 ORACLES["op11_subvector_centroids"] = centroid_sql()
+
+ORACLES["op13_divergence_audit"] = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+tokens AS (
+    SELECT r, lang, source, unnest(regexp_extract_all({ASCII_LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS lang_n FROM tokens GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY lang),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM tokens JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sizes AS (
+    SELECT g.lang, g.source, coalesce(sum(n), 0) AS total
+    FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN counts USING (lang, source) GROUP BY g.lang, g.source),
+shares AS MATERIALIZED (
+    SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.total + l.v)::HUGEINT AS p,
+        1 + (1000000000::HUGEINT * (k.lang_n + 1)) // (l.total + l.v)::HUGEINT AS q
+    FROM sizes s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+    UNION ALL
+    SELECT a.lang, a.source, b.source, 0 FROM sizes a JOIN sizes b ON a.lang = b.lang AND a.source <> b.source
+    WHERE a.lang NOT IN (SELECT lang FROM langs)),
+ranked AS (
+    SELECT lang, source, 'pair' AS part, item, value FROM pairs
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM ranked)
+WHERE part = 'pair' OR rank <= 200
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import centroids, decontaminate, fingerprints, id_files, line_dedup, near_dups, packing, personal, preference, quality, sharding, url_filter
+from logloom.llm import centroids, decontaminate, divergence, fingerprints, id_files, line_dedup, near_dups, packing, personal, preference, quality, sharding, url_filter
 from logloom.llm.url_filter import ALLOW, BLOCK, pattern_rule, site_rule
 from logloom.session import settle, tune
 
@@ -162,3 +162,9 @@ def op12_minhash_fingerprints(spark, sf_dir):
     """Every document's fingerprint against those of its edited text and of the next document."""
     found = fingerprints.against_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumns({c: fingerprints.as_text(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+@query
+def op13_divergence_audit(spark, sf_dir):
+    """How far the sources of each language are apart, and the terms that tell a source from its language."""
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))

@@ -70,13 +70,14 @@ def group_verbs(log: DataFrame, groups: Mapping[str, str] | None = None) -> Data
     return log.withColumn(VERB, verb_group(F.col(VERB), groups))
 
 
-def with_attempts(log: DataFrame) -> DataFrame:
+def with_attempts(log: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
     """Number each student's visits to an item, and the runs of one verb inside a visit.
 
     A visit ends when the next event is on another item. Events without an item end a
-    visit too, and belong to none.
+    visit too, and belong to none. `by` are the columns that tell time lines apart.
     """
-    before = along(log, previous={"_item": F.col(ITEM), "_verb": F.col(VERB)})
+    by = list(by or subject(log))
+    before = along(log, by=by, previous={"_item": F.col(ITEM), "_verb": F.col(VERB)})
     flagged = before.withColumns(
         {"_item_start": changed(F.col(ITEM), F.col("_item"))}
     ).withColumns(
@@ -85,15 +86,16 @@ def with_attempts(log: DataFrame) -> DataFrame:
     counted = settled(
         along(
             flagged.drop("_item", "_verb"),
+            by=by,
             running={"_verb_starts": F.col("_verb_start").cast("long")},
         )
     )
     based = along(
-        counted, latest={"_base": F.when(F.col("_item_start"), F.col("_verb_starts"))}
+        counted, by=by, latest={"_base": F.when(F.col("_item_start"), F.col("_verb_starts"))}
     )
     numbered = along(
         based,
-        by=[*subject(log), ITEM],
+        by=[*by, ITEM],
         running={ATTEMPT: F.col("_item_start").cast("int")},
         source=counted,
     )

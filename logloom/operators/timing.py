@@ -115,8 +115,14 @@ def time_features(
     x_<item>_<attempt> is the attempt's time; y_<measure>_<item> describes the student's
     attempts at the item; z_<measure> describes the student.
     """
-    # Five uses below: sort the log once and keep the much shorter table of attempts.
-    durations = settle(attempt_durations(preprocess(log)))
+    # Sort the log once and keep the much shorter table of attempts.
+    return features_of_attempts(settle(attempt_durations(preprocess(log))), items, fitted)
+
+
+def features_of_attempts(
+    durations: DataFrame, items: Sequence[str] = tuple(ITEMS), fitted: DataFrame | None = None
+) -> DataFrame:
+    """All time features in long form, of a settled table of attempts: it has five uses."""
     keys = subject(durations)
     x = melt(durations, keys, F.concat_ws("_", F.lit("x"), ITEM, ATTEMPT), [DURATION])
     y = melt(

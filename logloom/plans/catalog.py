@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from logloom.operators import answers as ans
 from logloom.operators import behaviour as beh
 from logloom.operators import encode as enc
+from logloom.operators import limits as lim
 from logloom.operators import prepare as prep
 from logloom.operators import scoring as sco
 from logloom.operators import series as ser
+from logloom.operators import sparse as spr
 from logloom.operators import timing as tim
 from logloom.operators.clean import clean_log
 from logloom.operators.timeline import cut, in_blocks, number_rows
@@ -90,6 +92,13 @@ def event_log_truncate(spark, sf_dir):
     return batches.select(STUDENT, SEQ, "batch")
 
 
+@query
+def nested_attempts(spark, sf_dir):
+    """Attempts under every time limit, from one pass over the log."""
+    found = lim.nested_attempts(event_log(spark, sf_dir), adapter.BATCH_LIMITS)
+    return found.select("batch", STUDENT, ITEM, whole(ATTEMPT), rounded(DURATION), beh.CHAIN)
+
+
 @query
 def elapsed_time(spark, sf_dir):
     timed = prep.with_elapsed(event_log(spark, sf_dir))
@@ -684,8 +693,21 @@ def common_features(spark, sf_dir):
 
 @query
 def train_features(spark, sf_dir):
-    train, _, names = training(spark, sf_dir)
-    return rounded_spreads(train.select(STUDENT, LABEL, *names))
+    """Labelled students with the features that hidden ones have too, a column each."""
+    train, _ = mod.common_features(*feature_sets(spark, sf_dir))
+    names = tim.feature_names(train)
+    wide = mod.labelled(tim.widen(train, names).fillna(0.0, names), adapter.labels(spark, sf_dir))
+    return rounded_spreads(wide.select(STUDENT, LABEL, *names))
+
+
+@query
+def sparse_features(spark, sf_dir):
+    """All entries of the train students' vectors of time features, written as vectors and read back."""
+    rows, _, index = training(spark, sf_dir)
+    found = spr.entries(rows).join(index.select(F.col("index").cast("int").alias("index"), "feature"), "index")
+    inexact = F.col("feature").contains("_std_") | F.col("feature").contains("scaled_")
+    value = F.when(inexact, F.round("value", 6)).otherwise(F.col("value")).alias("value")
+    return found.select(STUDENT, LABEL, "index", "feature", value).where("value != 0")
 
 
 def guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -764,44 +786,58 @@ def small_forest(trees: int = 20):
     )
 
 
-def training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+def training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return mod.training_tables(*feature_sets(spark, sf_dir), adapter.labels(spark, sf_dir))
 
 
 @query
 def rf_predict(spark, sf_dir):
-    train, hidden, names = training(spark, sf_dir)
-    _, found = mod.fit_predict(train, hidden, names, mod.random_forest(20))
+    train, hidden, _ = training(spark, sf_dir)
+    _, found = mod.fit_predict(train, hidden, None, mod.random_forest(20))
     return found
 
 
 @query
 def rf_grid(spark, sf_dir):
-    train, _, names = training(spark, sf_dir)
-    return mod.forest_grid(train, names, trees=[5, 10], fractions=[0.3, 0.6])
+    train, _, _ = training(spark, sf_dir)
+    return mod.forest_grid(train, None, trees=[5, 15, 30])
+
+
+@query
+def forest_prefix_votes(spark, sf_dir):
+    """Scores by number of trees, from votes of student and tree that plain SQL can compute."""
+    students = guesses(spark, sf_dir)
+    drawn = (F.col(STUDENT) * 31 + F.col("tree") * F.col("tree") * 17 + F.col("tree") * 7) % 97
+    # Parts of 128: their sums are exact in any order.
+    leaning = (drawn + F.col(met.TRUTH) * 31) / F.lit(128.0)
+    votes = students.select(STUDENT, met.TRUTH, "fold", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("tree"))
+    found = settle(mod.prefix_predictions(votes.withColumn("p", leaning), [5, 15, 30], met.TRUTH, "fold"))
+    parts = [mod.score(found.where(F.col("trees") == n)).select(F.lit(n).alias("trees"), "*") for n in (5, 15, 30)]
+    joined = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return joined.select(whole("trees"), *[rounded(c) for c in joined.columns[1:]])
 
 
 @query
 def boosted_lr(spark, sf_dir):
-    train, hidden, names = training(spark, sf_dir)
-    return mod.BoostedRegression(3).fit(train, names).predict(hidden)
+    train, hidden, _ = training(spark, sf_dir)
+    return mod.BoostedRegression(3).fit(train, None).predict(hidden)
 
 
 @query
 def fold_metrics(spark, sf_dir):
-    train, _, names = training(spark, sf_dir)
+    train, _, _ = training(spark, sf_dir)
     folded = settle(folds.stratified_folds(train, 2, seed=8))
-    found = mod.cross_predictions(folded, names, mod.random_forest(10))
+    found = mod.cross_predictions(folded, None, mod.random_forest(10))
     return mod.fold_metrics(settle(found))
 
 
 @query
 def routine_submission(spark, sf_dir):
     """Train and predict per batch, each hidden student in one batch, then the submission."""
-    log = adapter.with_task(prep.cut_to_batches(event_log(spark, sf_dir), adapter.BATCH_LIMITS))
+    log = adapter.with_task(event_log(spark, sf_dir))
     batches = F.array(*[F.lit(b) for b in adapter.BATCH_LIMITS])
     own = F.col("batch") == F.element_at(batches, (F.floor(F.col(STUDENT) / 4) % 3 + 1).cast("int"))
-    sets = settle(log.where(adapter.is_train() | own))
-    found = rou.batch_predictions(sets, adapter.labels(spark, sf_dir), small_forest(), adapter.ITEMS)
+    features = rou.nested_features(log, adapter.BATCH_LIMITS, adapter.ITEMS, adapter.is_train() | own)
+    found = rou.predict_batches(features, adapter.labels(spark, sf_dir), small_forest())
     hidden = adapter.roster(spark, sf_dir).where(~adapter.is_train())
     return submission_lines(rou.on_roster(hidden, found))

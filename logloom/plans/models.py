@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    LogisticRegression,
+    RandomForestClassificationModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.operators.timing import feature_names, widen
+from logloom.operators.sparse import SPARSE, VECTOR, feature_index, sparse_rows
 from logloom.plans.folds import stratified_folds
 from logloom.plans.metrics import PROBABILITY, TRUTH, adjusted, confusion, rank_auc, with_kappa
 from logloom.schema import LABEL, STUDENT
-from logloom.session import settle
+from logloom.session import delete, scratch_path, settle
 from logloom.sources.files import path_exists
 
 # --- Fixed values: the search spaces. -------------------------------------------------
@@ -66,21 +71,29 @@ def labelled(features: DataFrame, labels: DataFrame) -> DataFrame:
 
 def training_tables(
     train: DataFrame, hidden: DataFrame, labels: DataFrame
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Wide train rows with label, wide hidden rows, and their common columns, no nulls.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Train rows with label and hidden rows, with `features` over the features both have, and their index.
 
-    Training reads its rows many times, so they are written out.
+    Features are sparse vectors, nulls and missing ones 0, so there may be any number of them.
+    Training reads its rows many times: all three tables are written out.
     """
     train, hidden = common_features(train, hidden)
-    names = feature_names(train)
-    wide_train = widen(train, names).fillna(0.0, names)
-    wide_hidden = widen(hidden, names).fillna(0.0, names)
-    return settle(labelled(wide_train, labels)), wide_hidden, names
+    index = feature_index(train)
+    return sparse_rows(labelled(train, labels), index, [LABEL]), sparse_rows(hidden, index), index
 
 
-def pipeline(names: Sequence[str], classifier: Estimator) -> Pipeline:
-    assembler = VectorAssembler(inputCols=list(names), outputCol="features")
-    return Pipeline(stages=[assembler, classifier])
+#: Columns that hold the features, or none if the rows have vectors called `features`.
+Names = Sequence[str] | None
+
+
+def vectorised(rows: DataFrame, names: Names) -> DataFrame:
+    """`rows` with the vector `features`."""
+    return VectorAssembler(inputCols=list(names), outputCol=VECTOR).transform(rows) if names else rows
+
+
+def pipeline(names: Names, classifier: Estimator) -> Pipeline:
+    assembler = [VectorAssembler(inputCols=list(names), outputCol=VECTOR)] if names else []
+    return Pipeline(stages=[*assembler, classifier])
 
 
 def as_training(data: DataFrame) -> DataFrame:
@@ -99,15 +112,15 @@ def probabilities(model: Model, rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def fit_predict(
-    train: DataFrame, hidden: DataFrame, names: Sequence[str], classifier: Estimator
+    train: DataFrame, hidden: DataFrame, names: Names, classifier: Estimator
 ) -> tuple[PipelineModel, DataFrame]:
-    """Train on labelled wide rows; probabilities of the hidden students."""
+    """Train on labelled rows; probabilities of the hidden students."""
     model = pipeline(names, classifier).fit(as_training(train))
     return model, probabilities(model, hidden)
 
 
 def cross_predictions(
-    data: DataFrame, names: Sequence[str], classifier: Estimator
+    data: DataFrame, names: Names, classifier: Estimator
 ) -> DataFrame:
     """Each student's probability from the model fitted on the other folds."""
     rows = as_training(data)
@@ -143,32 +156,6 @@ def score(predictions: DataFrame) -> DataFrame:
     return row.select(*[c.alias(n) for n, c in adjusted(F.col("auc"), F.col("kappa")).items()])
 
 
-def grid_scores(
-    data: DataFrame,
-    names: Sequence[str],
-    classifiers: dict[tuple, Callable[[], Estimator]],
-    parameters: Sequence[str],
-    folds: int = CROSS_VALIDATION,
-    parallelism: int = PARALLELISM,
-) -> DataFrame:
-    """Cross-validated scores of every setting, one row each.
-
-    Every fit and every score reads its input several times, so both are written out.
-    `parallelism` settings are tried at a time, as one alone leaves most of a cluster idle.
-    """
-    rows = settle(stratified_folds(data, folds))
-
-    def tried(entry: tuple[tuple, Callable[[], Estimator]]) -> tuple:
-        setting, build = entry
-        result = score(settle(cross_predictions(rows, names, build()))).first()
-        return (*setting, *(float(x or 0.0) for x in result))
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        table = list(pool.map(inheritable_thread_target(data.sparkSession)(tried), classifiers.items()))
-    columns = [*parameters, "adj_auc", "adj_kappa", "adj_score"]
-    return data.sparkSession.createDataFrame(table, columns)
-
-
 def best_setting(scores: DataFrame, parameters: Sequence[str]) -> tuple:
     """Parameters of the best score; the first of equals."""
     order = [F.desc("adj_score"), *parameters]
@@ -178,23 +165,73 @@ def best_setting(scores: DataFrame, parameters: Sequence[str]) -> tuple:
 FOREST_PARAMETERS = ["trees", "feature_fraction"]
 
 
+def leaf_table(spark: SparkSession, model: RandomForestClassificationModel) -> DataFrame:
+    """`tree`, `leaf` (its number in the tree from the left) and `p`, the share of True in it, as the saved forest has them."""
+    path = scratch_path(spark)
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").where("leftChild < 0")
+    in_tree = Window.partitionBy("treeID").orderBy("id")
+    stats = F.col("impurityStats")
+    share = F.coalesce(F.get(stats, F.lit(1)) / F.aggregate(stats, F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
+    return nodes.select(F.col("treeID").alias("tree"), (F.row_number().over(in_tree) - 1).alias("leaf"), share.alias("p"))
+
+
+def votes(model: PipelineModel, rows: DataFrame, *keep: str) -> DataFrame:
+    """One row per student and tree: `p`, the tree's probability of True.
+
+    The trees of a forest are independent draws, so its first n are a forest of n: one fit
+    serves every number of trees.
+    """
+    forest = model.stages[-1]
+    leaves = vector_to_array("leaves").cast("array<int>")
+    reached = forest.copy({forest.leafCol: "leaves"}).transform(PipelineModel(model.stages[:-1]).transform(rows))
+    placed = reached.select(STUDENT, *keep, F.posexplode(leaves).alias("tree", "leaf"))
+    return placed.join(leaf_table(rows.sparkSession, forest), ["tree", "leaf"]).select(STUDENT, *keep, "tree", "p")
+
+
+def prefix_predictions(votes: DataFrame, sizes: Sequence[int], *keep: str) -> DataFrame:
+    """Each student's probability by the first n trees, a row for each n of `sizes`, called `trees`."""
+    counted = votes.groupBy(STUDENT, *keep).agg(*[F.sum(F.when(F.col("tree") < n, F.col("p"))).alias(f"_{i}") for i, n in enumerate(sizes)])
+    values = [F.struct(F.lit(n).alias("trees"), (F.col(f"_{i}") / n).alias(PROBABILITY)) for i, n in enumerate(sizes)]
+    return counted.select(STUDENT, *keep, F.inline(F.array(*values)))
+
+
 def forest_grid(
     data: DataFrame,
-    names: Sequence[str],
+    names: Names,
     trees: Sequence[int] = tuple(TREES),
     fractions: Sequence[float] = tuple(FEATURE_FRACTIONS),
     folds: int = CROSS_VALIDATION,
     max_depth: int = FULL_DEPTH,
+    parallelism: int = PARALLELISM,
 ) -> DataFrame:
-    settings = {
-        (n, f): (lambda n=n, f=f: random_forest(n, f, max_depth=max_depth))
-        for n, f in itertools.product(trees, fractions)
-    }
-    return grid_scores(data, names, settings, FOREST_PARAMETERS, folds)
+    """Cross-validated scores of every number of trees and feature fraction, one row each.
+
+    A fraction is fitted once a fold, with the largest number of trees; fewer are the first ones of it.
+    """
+    rows = settle(as_training(stratified_folds(data, folds)))
+    truth = F.col(LABEL).cast("int").alias(TRUTH)
+
+    def tried(fraction: float) -> list[tuple]:
+        parts = []
+        for fold in range(folds):
+            forest = random_forest(max(trees), fraction, max_depth=max_depth)
+            model = pipeline(names, forest).fit(rows.where(F.col("fold") != fold))
+            test = rows.where(F.col("fold") == fold).select("*", truth)
+            parts.append(prefix_predictions(votes(model, test, TRUTH, "fold"), trees, TRUTH, "fold"))
+        found = settle(reduce(DataFrame.unionByName, parts))
+        scores = [(n, score(found.where(F.col("trees") == n)).first()) for n in trees]
+        return [(n, fraction, *(float(x or 0.0) for x in result)) for n, result in scores]
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        tables = pool.map(inheritable_thread_target(data.sparkSession)(tried), fractions)
+        table = list(itertools.chain.from_iterable(tables))
+    columns = [*FOREST_PARAMETERS, "adj_auc", "adj_kappa", "adj_score"]
+    return data.sparkSession.createDataFrame(table, columns)
 
 
 def best_forest(
-    data: DataFrame, names: Sequence[str], scores: DataFrame, max_depth: int = FULL_DEPTH
+    data: DataFrame, names: Names, scores: DataFrame, max_depth: int = FULL_DEPTH
 ) -> PipelineModel:
     """Fit the best setting of the grid to all rows."""
     trees, fraction = best_setting(scores, FOREST_PARAMETERS)
@@ -202,6 +239,28 @@ def best_forest(
     return pipeline(names, forest).fit(as_training(data))
 
 
+def products(vectors: pa.StructArray, coefficients: np.ndarray) -> np.ndarray:
+    """Vectors (sparse or dense, as Spark hands them to Arrow) times the columns of a matrix."""
+    values = vectors.field("values")
+    rows = np.repeat(np.arange(len(vectors)), np.diff(values.offsets.to_numpy()))
+    sparse = vectors.field("type").to_numpy(zero_copy_only=False) == SPARSE
+    index = np.zeros(len(rows), np.int64)
+    index[sparse[rows]] = vectors.field("indices").flatten().to_numpy(zero_copy_only=False)
+    firsts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(vectors)))])
+    place = np.arange(len(rows)) - firsts[rows]
+    index = np.where(sparse[rows], index, place)
+    flat = values.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(vectors), coefficients.shape[1]))
+    filled = np.flatnonzero(np.diff(firsts))
+    # A few columns at a time: entries x columns numbers are held.
+    step = max(1, (1 << 22) // max(1, len(rows)))
+    for first in range(0, coefficients.shape[1], step):
+        terms = flat[:, None] * coefficients[index, first : first + step]
+        if len(filled):
+            out[filled, first : first + step] = np.add.reduceat(terms, firsts[:-1][filled])
+    return out
+
+
 class BoostedRegression:
     """Boosted logistic regression: each round weighs the rows missed so far higher.
 
@@ -216,16 +275,15 @@ class BoostedRegression:
         self.names: list[str] = []
         self.members: list[tuple[float, float, list[float]]] = []
 
-    def fit(self, data: DataFrame, names: Sequence[str]) -> BoostedRegression:
-        assembler = VectorAssembler(inputCols=list(names), outputCol="features")
-        rows = assembler.transform(as_training(data)).select(STUDENT, LABEL, "features")
+    def fit(self, data: DataFrame, names: Names) -> BoostedRegression:
+        rows = vectorised(as_training(data), names).select(STUDENT, LABEL, VECTOR)
         rows = settle(rows.withColumn("weight", F.lit(1.0)))
         # Row weights sum to 1 and C is 1, so the penalty is 1. It is put on scaled columns:
         # times and counts differ by orders of magnitude, and the fit would take far longer.
         regression = LogisticRegression(
             labelCol=LABEL, weightCol="weight", regParam=1.0, maxIter=self.max_iter
         )
-        self.names, self.members = list(names), []
+        self.names, self.members = list(names or []), []
         for turn in range(1, self.rounds + 1):
             model = regression.fit(rows)
             member = (float(model.intercept), [float(x) for x in model.coefficients])
@@ -243,7 +301,7 @@ class BoostedRegression:
             strength = math.log((1 - error) / error)
             self.members.append((strength, *member))
             raised = F.col("weight") * F.exp(strength * F.col("_missed")) / F.lit(total)
-            rows = tried.withColumn("weight", raised).select(STUDENT, LABEL, "features", "weight")
+            rows = tried.withColumn("weight", raised).select(STUDENT, LABEL, VECTOR, "weight")
             if turn % self.settle_every == 0:
                 rows = settle(rows)
         if not self.members:
@@ -258,16 +316,18 @@ class BoostedRegression:
         coefficients = np.array([m[2] for m in self.members]).reshape(len(self.members), -1).T
         last = np.minimum(np.array(sizes), len(self.members)) - 1
         whole = np.cumsum(strengths)
+        chosen = vectorised(rows, self.names).select(STUDENT, *keep, VECTOR)
 
-        @F.pandas_udf("array<double>")
-        def vote(features: pd.Series) -> pd.Series:
-            values = np.stack(features.to_numpy()) if len(features) else np.zeros((0, len(coefficients)))
-            sides = np.where(values @ coefficients + intercepts > 0, strengths, -strengths)
-            decisions = np.cumsum(sides, axis=1)[:, last] / whole[last]
-            return pd.Series(list(1 / (1 + np.exp(-decisions))))
+        def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sums = products(batch.column(VECTOR), coefficients) + intercepts
+                sides = np.where(sums > 0, strengths, -strengths)
+                decisions = np.cumsum(sides, axis=1)[:, last] / whole[last]
+                staged = pa.array(list(1 / (1 + np.exp(-decisions))), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (STUDENT, *keep)], staged], [STUDENT, *keep, "staged"])
 
-        features = F.array(*[F.col(f"`{n}`").cast("double") for n in self.names])
-        return rows.select(STUDENT, *keep, vote(features).alias("staged"))
+        kinds = dict(chosen.dtypes)
+        return chosen.mapInArrow(vote, ", ".join(f"`{c}` {kinds[c]}" for c in (STUDENT, *keep)) + ", staged array<double>")
 
     def predict(self, rows: DataFrame, *keep: str) -> DataFrame:
         """Probability from the weighted vote of all rounds."""
@@ -279,7 +339,7 @@ class BoostedRegression:
     def save(self, spark: SparkSession, path: str) -> None:
         table = [(i, *member) for i, member in enumerate(self.members)]
         members = spark.createDataFrame(table, "round int, strength double, intercept double, coefficients array<double>")
-        members.withColumn("names", F.array(*[F.lit(n) for n in self.names])).coalesce(1).write.mode("overwrite").parquet(path)
+        members.withColumn("names", F.array(*[F.lit(n) for n in self.names]).cast("array<string>")).coalesce(1).write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> BoostedRegression:
@@ -292,7 +352,7 @@ class BoostedRegression:
 
 def boosted_grid(
     data: DataFrame,
-    names: Sequence[str],
+    names: Names,
     rounds: Sequence[int] = tuple(BOOSTING_ROUNDS),
     folds: int = CROSS_VALIDATION,
 ) -> DataFrame:
@@ -316,26 +376,57 @@ def boosted_grid(
     return data.sparkSession.createDataFrame(table, columns)
 
 
-def best_boosted(data: DataFrame, names: Sequence[str], scores: DataFrame) -> BoostedRegression:
+def best_boosted(data: DataFrame, names: Names, scores: DataFrame) -> BoostedRegression:
     """Fit the best number of rounds of the grid to all rows."""
     (rounds,) = best_setting(scores, ["rounds"])
     return BoostedRegression(rounds).fit(data, names)
 
 
-def load_or_train_boosted(path: str, train: Callable[[], BoostedRegression]) -> BoostedRegression:
-    """The boosted model saved at `path`, or a newly trained one, which is saved there."""
+def content_of(settings: str, *tables: DataFrame) -> str:
+    """A digest of settings and of tables' rows, whatever their order and partitions."""
+    parts = [settings]
+    for table in tables:
+        columns = sorted(table.columns)
+        hashes = [F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)]
+        sums = table.agg(F.count(F.lit(1)), *[F.sum(h.cast("decimal(38,0)")) for h in hashes]).first()
+        parts.append(f"{columns} {tuple(str(x) for x in sums)}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+
+def kept_with(path: str, content: str | None) -> bool:
+    """Whether the model at `path` was trained on this content; any model will do for None."""
+    spark = SparkSession.active()
+    if content is None:
+        return True
+    note = f"{path}.content"
+    return path_exists(spark, note) and spark.read.text(note).first()[0] == content
+
+
+def keep_with(path: str, content: str | None, save: Callable[[], None]) -> None:
+    """Save a model, and then what it was trained on: a save that fails half way leaves a model without that."""
+    spark = SparkSession.active()
+    delete(spark, f"{path}.content")
+    save()
+    if content is not None:
+        spark.range(1).select(F.lit(content).alias("value")).coalesce(1).write.text(f"{path}.content")
+
+
+def load_or_train_boosted(
+    path: str, train: Callable[[], BoostedRegression], content: str | None = None
+) -> BoostedRegression:
+    """The boosted model saved at `path` for this content (`content_of`), or a newly trained one, which is saved there."""
     spark = SparkSession.active()
-    if path_exists(spark, path):
+    if path_exists(spark, path) and kept_with(path, content):
         return BoostedRegression.load(spark, path)
     model = train()
-    model.save(spark, path)
+    keep_with(path, content, lambda: model.save(spark, path))
     return model
 
 
-def load_or_train(path: str, train: Callable[[], PipelineModel]) -> PipelineModel:
-    """The model saved at `path`, or a newly trained one, which is saved there."""
-    if path_exists(SparkSession.active(), f"{path}/metadata"):
+def load_or_train(path: str, train: Callable[[], PipelineModel], content: str | None = None) -> PipelineModel:
+    """The model saved at `path` for this content (`content_of`), or a newly trained one, which is saved there."""
+    if path_exists(SparkSession.active(), f"{path}/metadata") and kept_with(path, content):
         return PipelineModel.load(path)
     model = train()
-    model.write().overwrite().save(path)
+    keep_with(path, content, lambda: model.write().overwrite().save(path))
     return model

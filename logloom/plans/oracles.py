@@ -376,6 +376,21 @@ add("event_log_truncate", f"""
 SELECT student_id, seq, batch FROM elapsed
 JOIN (VALUES ('10', {600 * SECOND}), ('20', {1200 * SECOND}), ('30', NULL)) b(batch, lim)
   ON lim IS NULL OR us <= lim * CAST(1000000 AS BIGINT)""")
+
+
+def limited(query: str, limit: int | None) -> str:
+    """The query with the log cut to a time limit in front of all cleaning."""
+    inside = "TRUE" if limit is None else f"us <= {limit} * CAST(1000000 AS BIGINT)"
+    cut = f"(SELECT * EXCLUDE (us) FROM ({VIEWS['elapsed']}) e WHERE {inside})"
+    return sql(query, ("SELECT * FROM log\n        WHERE", f"SELECT * FROM {cut} l\n        WHERE"))
+
+
+ORACLES["nested_attempts"] = "\nUNION ALL\n".join(
+    f"""SELECT '{batch}' AS batch, * FROM ({limited(
+        "SELECT student_id, item_id, attempt, round(duration, 6) AS duration, verb_chain "
+        "FROM durations LEFT JOIN chains USING (student_id, item_id, attempt)", limit)})"""
+    for batch, limit in (("10", 600 * SECOND), ("20", 1200 * SECOND), ("30", None))
+)
 add("elapsed_time", "SELECT student_id, seq, round(us / 1e6, 6) AS elapsed FROM elapsed")
 add("base_clean", "SELECT student_id, seq, item_id, observable FROM clean WHERE item_id IN ('IT00','IT01','IT02','IT03')")
 add("verb_groups", "SELECT student_id, seq, observable FROM grouped")
@@ -677,6 +692,11 @@ TRAIN_ONLY = ORACLES["time_features"].replace(
 ORACLES["train_features"] = (
     "SELECT student_id % 2 = 1 AS label, t.* FROM (" + TRAIN_ONLY + ") t"
 )
+ORACLES["sparse_features"] = f"""
+WITH wide AS ({ORACLES["train_features"]}),
+long AS (SELECT * FROM wide UNPIVOT INCLUDE NULLS (value FOR feature IN (COLUMNS(* EXCLUDE (student_id, label))))),
+numbers AS (SELECT feature, CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS "index" FROM (SELECT DISTINCT feature FROM long) d)
+SELECT student_id, label, "index", feature, value FROM long JOIN numbers USING (feature) WHERE value <> 0"""
 add("submission", """
 SELECT s.student_id AS ord, CAST(coalesce(CASE WHEN s.student_id % 4 <> 1 THEN CAST(g.p AS DOUBLE) END, 0.0)
        AS VARCHAR) || ',' AS value
@@ -702,6 +722,20 @@ add("metrics_adjusted", f"""
 SELECT round(a, 6) AS adj_auc, round(k, 6) AS adj_kappa, round(a + k, 6) AS adj_score
 FROM (SELECT greatest(2 * ((SELECT avg(auc) FROM fold_auc) - 0.5), 0.0) AS a, greatest({KAPPA}, 0.0) AS k
       FROM ({COUNTS.format(by="", where="", group="")}) c) s""")
+
+
+def prefix_scores(trees: int) -> str:
+    """`metrics_adjusted` of the mean vote of the first trees."""
+    votes = f"""SELECT student_id, truth, fold, sum(((student_id * 31 + t * t * 17 + t * 7) % 97 + truth * 31) / 128.0::DOUBLE) / {trees} AS p
+        FROM guesses, unnest(range(0, {trees})) u(t) GROUP BY student_id, truth, fold"""
+    counts = COUNTS.format(by="", where="", group="").replace("guesses", "averaged")
+    auc = VIEWS["fold_auc"].replace("guesses", "averaged")
+    return sql(f"""SELECT CAST({trees} AS BIGINT) AS trees, round(a, 6) AS adj_auc, round(k, 6) AS adj_kappa, round(a + k, 6) AS adj_score
+FROM (WITH averaged AS ({votes}) SELECT greatest(2 * ((SELECT avg(auc) FROM ({auc}) f) - 0.5), 0.0) AS a, greatest({KAPPA}, 0.0) AS k
+      FROM ({counts}) c) s""")
+
+
+ORACLES["forest_prefix_votes"] = "\nUNION ALL\n".join(f"SELECT * FROM ({prefix_scores(n)})" for n in (5, 15, 30))
 add("metrics_accuracy", """
 SELECT count(*) AS students, count(*) FILTER ((p > 0.5) = (truth = 1)) AS right,
        round(avg(CASE WHEN (p > 0.5) = (truth = 1) THEN 1 ELSE 0 END), 6) AS accuracy FROM guesses""")

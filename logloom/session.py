@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     # Time stamps without a zone are read as UTC, so differences never cross a clock change.
@@ -59,16 +60,16 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there.
 
     Later steps prune its columns like any Parquet table's, and a lost executor costs
-    no more than re-reading files.
+    no more than re-reading files. `schema` reads the same files as other types.
     """
     spark = df.sparkSession
     path = scratch_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.errors import PySparkException
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
+from logloom.operators import sparse
 from logloom.plans import folds, metrics, models, routine
 from logloom.schema import STUDENT
 
@@ -171,9 +175,10 @@ def test_common_features(spark):
     train = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0)], schema)
     hidden = spark.createDataFrame([(2, "b", 3.0), (2, "c", 4.0)], schema)
     labels = spark.createDataFrame([(1, True)], f"{STUDENT} long, label boolean")
-    wide, other, names = models.training_tables(train, hidden, labels)
-    assert names == ["b"]
-    assert rows(wide) == [(1, 2.0, True)] and rows(other) == [(2, 3.0)]
+    wide, other, index = models.training_tables(train, hidden, labels)
+    assert rows(index) == [("b", 0)]
+    assert rows(wide, STUDENT, "label", "features") == [(1, True, SparseVector(1, {0: 2.0}))]
+    assert rows(other) == [(2, SparseVector(1, {0: 3.0}))]
 
 
 def test_roster_gets_zero_and_students_are_unique(spark):
@@ -198,3 +203,102 @@ def test_model_is_trained_once(training, tmp_path):
     again = models.load_or_train(path, train)
     assert len(calls) == 1
     probabilities_are_fine(models.probabilities(again, training), 150)
+
+
+def test_a_model_follows_its_training_rows(spark, training, tmp_path):
+    calls = []
+
+    def train():
+        calls.append(1)
+        return models.pipeline(NAMES, models.random_forest(2)).fit(models.as_training(training))
+
+    path = str(tmp_path / "model")
+    content = models.content_of("forest", training)
+    # The order and the partitions of rows don't matter.
+    assert models.content_of("forest", training.repartition(7).orderBy("x_a").select(*reversed(training.columns))) == content
+    for _ in range(2):
+        models.load_or_train(path, train, content)
+    assert len(calls) == 1
+    changed = training.withColumn("x_a", F.when(F.col(STUDENT) == 7, 0.0).otherwise(F.col("x_a")))
+    others = [models.content_of("forest", changed), models.content_of("forest of 3", training), models.content_of("forest", training.unionByName(training.limit(1)))]
+    assert len({content, *others}) == 4
+    models.load_or_train(path, train, others[0])
+    models.load_or_train(path, train, others[0])
+    assert len(calls) == 2
+    # A save that ended before the note is no model of that content.
+    spark.range(1).select(F.lit("").alias("value")).write.mode("overwrite").text(f"{path}.content")
+    models.load_or_train(path, train, others[0])
+    assert len(calls) == 3
+
+
+def test_votes_add_up_to_the_forest(training):
+    folded = folds.stratified_folds(training, 3)
+    test = folded.withColumn("truth", F.col("label").cast("int"))
+    model = models.pipeline(NAMES, models.random_forest(12)).fit(models.as_training(training))
+    votes = models.votes(model, test, "truth", "fold")
+    assert votes.count() == 12 * 150
+    whole = {r[STUDENT]: r[P] for r in models.probabilities(model, training).collect()}
+    found = models.prefix_predictions(votes, [1, 5, 12], "truth", "fold").collect()
+    assert {r[STUDENT]: r[P] for r in found if r["trees"] == 12} == pytest.approx(whole)
+    # The first five trees, one by one.
+    rows_of = model.stages[0].transform(training)
+    total = {}
+    for tree in model.stages[-1].trees[:5]:
+        out = tree.transform(rows_of).select(STUDENT, vector_to_array("rawPrediction").alias("raw"))
+        for r in out.collect():
+            total[r[STUDENT]] = total.get(r[STUDENT], 0.0) + r["raw"][1] / sum(r["raw"]) / 5
+    assert {r[STUDENT]: r[P] for r in found if r["trees"] == 5} == pytest.approx(total)
+
+
+def test_features_beyond_the_columns_of_a_table(spark):
+    """12,000 features of 60 students: forest, grid, regression and boosting train on them."""
+    n, sets = 12_000, {"train": range(60), "hidden": range(100, 130)}
+    limit = spark.conf.get("spark.sql.pivotMaxValues")
+    tables = {}
+    for task, students in sets.items():
+        people = spark.createDataFrame([(s,) for s in students], f"{STUDENT} long")
+        own = people.select(STUDENT, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).where((F.col("k") * 7 + F.col(STUDENT) * 13) % 20 == 0)
+        few = people.select(STUDENT, F.explode(F.array(F.lit(1), F.lit(n - 1))).alias("k"))
+        tables[task] = own.unionByName(few).distinct().select(
+            STUDENT, F.format_string("m_%05d", "k").alias("feature"), (F.when(F.col("k") == 1, F.col(STUDENT) % 2 * 5 + 1).otherwise(1)).cast("double").alias("value"),
+        )
+    labels = spark.createDataFrame([(s, s % 2 == 1) for s in (*sets["train"], *sets["hidden"])], f"{STUDENT} long, label boolean")
+    train, hidden, index = models.training_tables(tables["train"], tables["hidden"], labels)
+    assert index.count() == n > int(limit)
+    assert train.count() == 60 and hidden.count() == 30
+    long = sparse.entries(train).join(index.select(F.col("index").cast("int").alias("index"), "feature"), "index")
+    assert rows(long, STUDENT, "feature", "value") == rows(tables["train"])
+    _, found = models.fit_predict(train, hidden, None, models.random_forest(4, 0.05, max_depth=4))
+    probabilities_are_fine(found, 30)
+    boosted = models.BoostedRegression(2, max_iter=5).fit(train, None)
+    probabilities_are_fine(boosted.predict(hidden), 30)
+    right = boosted.predict(train, "label").agg(F.avg(((F.col(P) > 0.5) == F.col("label")).cast("int"))).first()[0]
+    assert right == 1
+
+
+def test_sparse_rows_of_odd_features(spark):
+    schema = f"{STUDENT} long, feature string, value double"
+    long = spark.createDataFrame([(1, "b", 2.0), (1, "a", 0.0), (2, "c", None), (3, "a", 5.0), (3, "a", 4.0), (4, "z", 1.0), (None, "b", 1.0)], schema)
+    index = sparse.feature_index(long.where("feature != 'z'"))
+    assert rows(index) == [("a", 0), ("b", 1), ("c", 2)]
+    found = dict(rows(sparse.sparse_rows(long, index)))
+    # Zeros and nulls are no entries; the smaller of two values counts; students without features of the index are out.
+    assert found == {1: SparseVector(3, {1: 2.0}), 2: SparseVector(3, {}), 3: SparseVector(3, {0: 4.0}), None: SparseVector(3, {1: 1.0})}
+    assert sparse.sparse_rows(long.where("false"), index).collect() == []
+    batches = long.withColumn("batch", F.when(F.col(STUDENT) == 1, "10").otherwise("20"))
+    per_batch = sparse.feature_index(batches)
+    assert {(r["batch"], r["features"].size) for r in sparse.sparse_rows(batches, per_batch).collect()} == {("10", 2), ("20", 4)}
+
+
+def test_products_of_dense_and_sparse_vectors():
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(5, 4)) * (rng.random((5, 4)) < 0.6)
+    values[3] = 0
+    kind = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+    data = []
+    for i, row in enumerate(values):
+        at = np.flatnonzero(row)
+        data.append({"type": 1, "size": None, "indices": None, "values": row.tolist()} if i % 2 else {"type": 0, "size": 4, "indices": at.tolist(), "values": row[at].tolist()})
+    matrix = rng.normal(size=(4, 3))
+    assert np.allclose(models.products(pa.array(data, kind), matrix), values @ matrix)
+    assert models.products(pa.array([], kind), matrix).shape == (0, 3)

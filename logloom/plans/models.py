@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.operators.sparse import SPARSE, VECTOR, feature_index, sparse_rows
+from logloom.plans.boosting import MOST_FEATURES, boost
 from logloom.plans.folds import stratified_folds
 from logloom.plans.metrics import PROBABILITY, TRUTH, adjusted, confusion, rank_auc, with_kappa
 from logloom.schema import LABEL, STUDENT
@@ -268,16 +269,22 @@ class BoostedRegression:
     many numbers as rounds x features, and all rounds vote in one matrix product.
     """
 
-    def __init__(self, rounds: int, settle_every: int = 5, max_iter: int = 200):
+    def __init__(self, rounds: int, settle_every: int = 5, max_iter: int = 200, most_features: int = MOST_FEATURES):
         self.rounds = rounds
         self.settle_every = settle_every
         self.max_iter = max_iter
+        self.most_features = most_features
         self.names: list[str] = []
         self.members: list[tuple[float, float, list[float]]] = []
 
     def fit(self, data: DataFrame, names: Names) -> BoostedRegression:
+        """By Newton steps of block sums for up to `most_features` features, else by Spark's optimiser."""
         rows = vectorised(as_training(data), names).select(STUDENT, LABEL, VECTOR)
         rows = settle(rows.withColumn("weight", F.lit(1.0)))
+        width = rows.select(F.size(vector_to_array(VECTOR))).first()
+        if width is not None and width[0] <= self.most_features:
+            self.names, self.members = list(names or []), boost(rows, width[0], self.rounds)
+            return self
         # Row weights sum to 1 and C is 1, so the penalty is 1. It is put on scaled columns:
         # times and counts differ by orders of magnitude, and the fit would take far longer.
         regression = LogisticRegression(

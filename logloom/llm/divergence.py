@@ -35,8 +35,8 @@ from logloom.session import settle
 
 #: Terms of a chunk, and groups of a block, on average.
 CHUNK, BLOCK = 1024, 64
-#: Counts that a task holds before it hands them on.
-HELD = 400_000
+#: Counts, or terms, that a task holds before it hands them on.
+HELD = 1_500_000
 #: Words that are ANDed at once.
 CELLS = 1 << 21
 #: Shares are out of so many.
@@ -48,7 +48,7 @@ TERM_BYTES[128:] = np.arange(128, 256)
 TERM_BYTES[ord("a") : ord("z") + 1] = TERM_BYTES[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 
 
-def terms_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Text and code of each term in order, and the terms by code."""
     texts = texts.cast(pa.large_string())
     _, offsets, body = texts.buffers()
@@ -59,68 +59,117 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
     flat = words.flatten()
     real = pc.greater(pc.binary_length(flat), 0)
     coded = flat.filter(real).dictionary_encode()
-    return text[real.to_numpy(zero_copy_only=False)], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return text[real.to_numpy(zero_copy_only=False)], code, coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`lang`, `source`, `term`, how often it occurs there (`n`) and in how many documents (`docs`), in parts."""
-    numbers: dict[tuple[str, str], int] = {}
-    held, rows = [], 0
+class Counts:
+    """Counts of (group, term) in a task, under numbers that are the task's own."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], int] = {}
+        self.terms: dict[str, int] = {}
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, keys: list[tuple[str, str]], texts: pa.Array) -> None:
+        text, code, terms = terms_of(texts)
+        known = self.terms
+        number = np.array([known.setdefault(t, len(known)) for t in terms], np.int64)
+        group = np.array([self.groups.setdefault(k, len(self.groups)) for k in keys], np.int64)
+        # Once per document first: its terms are counted in few numbers.
+        width = max(1, len(terms))
+        once, n = np.unique(text * width + code, return_counts=True)
+        key = group[once // width] << 40 | number[once % width]
+        self.hold(key, n, np.ones(len(key), np.int64))
+
+    def hold(self, key: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
+        """Add up equal keys, and whenever as many have come again, with those held."""
+        self.held.append(self.merged([(key, n, docs)]))
+        self.rows += len(self.held[-1][0])
+        if len(self.held) > 1 and self.rows > 2 * len(self.held[0][0]):
+            self.held = [self.merged(self.held)]
+            self.rows = len(self.held[0][0])
 
-    def merged() -> pa.Table:
-        found = pa.concat_tables(held).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
-        return found.rename_columns(["group", "term", "n", "docs"])
+    @staticmethod
+    def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, n, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        firsts = np.flatnonzero(np.diff(key, prepend=-1))
+        if not len(firsts):
+            return key, n, docs
+        return key[firsts], np.add.reduceat(n[order], firsts), np.add.reduceat(docs[order], firsts)
 
-    def named(found: pa.Table) -> Iterator[pa.RecordBatch]:
-        langs, sources = (pa.array([key[i] for key in numbers], pa.string()) for i in (0, 1))
-        group = found.column("group").combine_chunks()
-        whole = pa.table({"lang": langs.take(group), "source": sources.take(group), **{c: found.column(c) for c in ("term", "n", "docs")}})
-        yield from whole.cast(pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])).to_batches(50_000)
+    def full(self) -> bool:
+        return self.rows > HELD or len(self.terms) > HELD
 
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        """`lang`, `term`, `docs`, `n`, and `parts`: the sources with their counts."""
+        if self.held:
+            key, n, docs = self.merged(self.held)
+            langs = np.array([lang for lang, _ in self.groups])
+            names, lang_of = np.unique(langs, return_inverse=True)
+            group, term = key >> 40, key & (1 << 40) - 1
+            # A row for each language and term.
+            order = np.lexsort((group, term, lang_of[group]))
+            group, term, n, docs = group[order], term[order], n[order], docs[order]
+            row = lang_of[group] * len(self.terms) + term
+            firsts = np.flatnonzero(np.diff(row, prepend=-1))
+            ends = np.append(firsts, len(row))
+            sources = pa.array([s for _, s in self.groups], pa.string()).take(pa.array(group))
+            parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([sources, pa.array(n)], ["source", "n"]))
+            columns = [
+                pa.array(names.tolist(), pa.string()).take(pa.array(lang_of[group[firsts]])),
+                pa.array(list(self.terms), pa.string()).take(pa.array(term[firsts])),
+                pa.array(np.add.reduceat(docs, firsts)), pa.array(np.add.reduceat(n, firsts)), parts,
+            ]
+            yield from pa.Table.from_arrays(columns, ["lang", "term", "docs", "n", "parts"]).to_batches(20_000)
+        self.__init__()
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often terms occur in groups, and in how many documents, in parts."""
+    counts = Counts()
     for batch in batches:
         keys = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True))
         for start, stop in groups(batch.column("text")):
-            text, code, terms = terms_of(batch.column("text")[start:stop])
-            group = np.array([numbers.setdefault(k, len(numbers)) for k in keys[start:stop]], np.int64)
-            width = max(1, len(terms))
-            found, n = np.unique(group[text] * width + code, return_counts=True)
-            once = np.unique(text * width + code)
-            _, docs = np.unique(group[once // width] * width + once % width, return_counts=True)
-            held.append(pa.table({"group": found // width, "term": terms.take(pa.array(found % width)), "n": n, "docs": docs}))
-            rows += len(found)
-            if rows > HELD:
-                held = [merged()]
-                rows = len(held[0])
-                if rows > HELD // 2:
-                    yield from named(held[0])
-                    held, rows = [], 0
-                    numbers.clear()
-                    numbers.update({k: i for i, k in enumerate(dict.fromkeys(keys[stop:]))})
-    if held:
-        yield from named(merged())
+            counts.add(keys[start:stop], batch.column("text")[start:stop])
+            if counts.full():
+                yield from counts.flush()
+    yield from counts.flush()
 
 
 def share(count: Column, total: str, vocabulary: str) -> Column:
-    """1 + floor(UNIT * (count + 1) / (total + vocabulary)), beyond 64 bits in between."""
+    """1 + floor(UNIT * (count + 1) / (total + vocabulary)), of numbers beyond 64 bits for counts that have them."""
     wide = "decimal(20,0)"
-    up = F.lit(UNIT).cast(wide) * (count + 1).cast(wide)
-    down = (F.col(total) + F.col(vocabulary)).cast(wide)
+    up, down = count + 1, F.col(total) + F.col(vocabulary)
+    large = F.lit(UNIT).cast(wide) * up.cast(wide)
     # The remainder goes first, so that the quotient is whole.
-    return (((up - up % down) / down).cast("long") + 1).cast("long")
+    by_decimals = ((large - large % down.cast(wide)) / down.cast(wide)).cast("long")
+    small = up * UNIT
+    return F.when(count < (1 << 33), F.call_function("div", small, down)).otherwise(by_decimals) + 1
 
 
 def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-def cells(one: np.ndarray, other: np.ndarray, terms: int) -> np.ndarray:
-    """Number of terms by row of `one` and of `other` (sets as rows of words); row and column 0 are terms in none."""
-    out = np.zeros((len(one) + 1, len(other) + 1), np.int64)
+def intersections(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Number of terms in each set of `one` and each of `other`, sets as rows of words."""
+    out = np.zeros((len(one), len(other)), np.int64)
     step = max(1, CELLS // max(1, other.size))
     for a in range(0, len(one), step):
-        out[a + 1 : a + step + 1, 1:] = np.bitwise_count(one[a : a + step, None] & other[None]).sum(axis=2, dtype=np.int64)
-    out[1:, 0] = np.bitwise_count(one).sum(axis=1, dtype=np.int64) - out[1:, 1:].sum(axis=1)
-    out[0, 1:] = np.bitwise_count(other).sum(axis=1, dtype=np.int64) - out[1:, 1:].sum(axis=0)
+        out[a : a + step] = np.bitwise_count(one[a : a + step, None] & other[None]).sum(axis=2, dtype=np.int64)
+    return out
+
+
+def cells(one: np.ndarray, other: np.ndarray, terms: int, common: np.ndarray) -> np.ndarray:
+    """Number of terms by row of `one` and of `other`, from their intersections; row and column 0 are terms in none."""
+    out = np.zeros((len(one) + 1, len(other) + 1), np.int64)
+    out[1:, 1:] = common
+    out[1:, 0] = np.bitwise_count(one).sum(axis=1, dtype=np.int64) - common.sum(axis=1)
+    out[0, 1:] = np.bitwise_count(other).sum(axis=1, dtype=np.int64) - common.sum(axis=0)
     out[0, 0] = terms - out.sum()
     return out
 
@@ -148,13 +197,17 @@ def partial_sums(table: pa.Table) -> pa.Table:
         sets.append(found[1:])
         shares.append(at)
         blocks.append(block[own[0]])
-    one_block = len(set(blocks)) == 1
+    # A block may be empty, so the blocks that are met don't tell.
+    one_block = table.column("one")[0].as_py() == table.column("two")[0].as_py()
+    stacked, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
     left, right, values = [], [], []
     for i in range(len(sets)):
+        # All later groups at once.
+        common = intersections(sets[i], stacked[at[i + 1] :])
         for j in range(i + 1, len(sets)):
             if not one_block and blocks[i] == blocks[j]:
                 continue  # the blocks' own pairs are in other tasks
-            joint = cells(sets[i], sets[j], terms)
+            joint = cells(sets[i], sets[j], terms, common[:, at[j] - at[i + 1] : at[j + 1] - at[i + 1]])
             a, b = shares[i][:, None], shares[j][None, :]
             left += [i, j]
             right += [j, i]
@@ -167,16 +220,24 @@ def audit(docs: DataFrame, least: int = 3, most_terms: int = 200, text_column: s
     """`lang`, `source`, `part`, `item`, `value`, `rank`: of each group the divergence from the other
     sources of its language (part `pair`), and its terms of higher share than in the language (part `term`, the first `most_terms`)."""
     named = docs.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in ((text_column, "text"), (lang_column, "lang"), (source_column, "source"))])
-    parts = named.mapInArrow(counted, "lang string, source string, term string, n long, docs long")
-    counts = settle(parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    terms = settle(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs"))
+    parts = named.mapInArrow(counted, "lang string, term string, docs long, n long, parts array<struct<source:string,n:long>>")
+    # One shuffle, of a row per task, language and term; sums over languages and groups find their rows where they are.
+    of_term = Window.partitionBy("lang", "term")
+    frequent = (
+        parts.repartition("lang", "term")
+        .withColumns({"docs": F.sum("docs").over(of_term), "lang_n": F.sum("n").over(of_term)})
+        .where(F.col("docs") >= least)
+        .select("lang", "term", "lang_n", F.inline("parts"))
+    )
+    counts = settle(frequent.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.first("lang_n").alias("lang_n")))
+    terms = settle(counts.select("lang", "term", "lang_n").distinct())
     # Small tables are settled, so that joins with them are planned from their size.
     langs = settle(terms.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total")))
     chunks = F.ceil(F.col("terms") / CHUNK).cast("int")
     chunked = terms.join(langs, "lang").select("lang", "term", "lang_n", F.pmod(F.xxhash64("term"), chunks).cast("int").alias("chunk"))
     in_chunk = Window.partitionBy("lang", "chunk").orderBy("term")
     placed = chunked.withColumn("place", F.row_number().over(in_chunk) - 1)
-    kept = settle(counts.drop("docs").join(placed, ["lang", "term"]))
+    kept = settle(counts.drop("lang_n").join(placed, ["lang", "term"]))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     all_groups = named.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").na.fill(0, ["total"])
     all_groups = settle(all_groups)
@@ -211,7 +272,8 @@ def summed_pairs(kept: DataFrame, of_lang: DataFrame) -> DataFrame:
         .agg(F.expr("bit_or(shiftleft(1L, place % 64))").alias("bits"))
     )
     numbers = F.explode(F.sequence(F.lit(0), F.ceil(F.col("terms") / CHUNK).cast("int") - 1))
-    sizes = kept.select("lang", "chunk", "term").distinct().groupBy("lang", "chunk").agg(F.count(F.lit(1)).alias("in_chunk"))
+    # Places are numbered without gaps.
+    sizes = kept.groupBy("lang", "chunk").agg((F.max("place") + 1).cast("long").alias("in_chunk"))
     none = of_lang.select("lang", "source", numbers.alias("chunk")).withColumns({"n": F.lit(0).cast("long"), "word": F.lit(0), "bits": F.lit(0).cast("long")})
     rows = words.select(none.columns).unionByName(none).join(of_lang, ["lang", "source"]).join(settle(sizes), ["lang", "chunk"])
     blocks = F.ceil(F.col("sources") / BLOCK).cast("int")

@@ -33,7 +33,7 @@ def test_encoder_gives_the_librarys_ids(spark):
 
 
 def test_encoder_forgets_and_still_agrees(monkeypatch):
-    monkeypatch.setattr("logloom.llm.tokens.MAX_KNOWN", 3)
+    monkeypatch.setattr("logloom.llm.tokens.MAX_BYTES", 2000)
     encoder = Encoder(VOCABULARY, END_ID)
     for _ in range(3):
         for text in ODD:

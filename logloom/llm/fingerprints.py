@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logloom.llm.common import mixed
-from logloom.llm.near_dups import NearDuplicates
+from logloom.llm.near_dups import NearDuplicates, without_counts
 from logloom.llm.tokens import groups
 from logloom.llm.words import hashes, windows, words_of
 from logloom.session import settle
@@ -111,7 +111,7 @@ def jaccard(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndar
 
 
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`registers`, the fingerprint, in place of `text`; null where a text has no words."""
+    """`registers`, the fingerprint, in place of `text`; null where a text has no words. There are no weights."""
     for batch in batches:
         others = [c for c in batch.schema.names if c != "text"]
         for start, stop in groups(batch.column("text")):
@@ -120,13 +120,15 @@ def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             empty = (found == NOTHING).all(axis=1)
             # The bands of `NearDuplicates` are cut from 32-bit numbers.
             column = pa.array([r.tobytes() for r in found.astype("<u4")], pa.binary(), mask=empty)
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], column], [*others, "registers"])
+            columns = [*[part.column(c) for c in others], column, pa.nulls(len(part), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*others, "registers", "weighted"])
 
 
 class Fingerprinted(NearDuplicates):
     """Similar texts by bands of fingerprints."""
 
     sketch = staticmethod(sketched)
+    measured = staticmethod(without_counts)
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,31 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def weights(text):
+    w = words(text)
+    counts = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
+    return {x: 1 + np.log(n) for x, n in counts.items()}
+
+
+def probability_jaccard(a, b):
+    """By its definition, a sum over all pairs of shingles."""
+    union = list({*a, *b})
+    x, y = (np.array([side.get(u, 0.0) for u in union]) for side in (a, b))
+    both = (x > 0) & (y > 0)
+    return sum(1 / np.maximum(x / x[i], y / y[i]).sum() for i in np.flatnonzero(both))
+
+
+def linked(one, other):
+    """Whether two texts are alike as sets of shingles, or by the weights of their counts."""
+    a, b = weights(one), weights(other)
+    both = len(a.keys() & b.keys())
+    if not both:
+        return False
+    if 5 * both >= 4 * (len(a) + len(b) - both):
+        return True
+    return max(*a.values(), *b.values()) > 1 and probability_jaccard(a, b) >= 0.8
+
+
 def all_pairs(rows):
     """Class ids by comparing everything with everything."""
     parent = list(range(len(rows)))
@@ -39,9 +65,8 @@ def all_pairs(rows):
     sets = [shingle_set(t) for _, t in rows]
     for i in range(len(rows)):
         for j in range(i):
-            both = len(sets[i] & sets[j])
             equal = (rows[i][1] or "") == (rows[j][1] or "")
-            if equal or both and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+            if equal or not sets[i].isdisjoint(sets[j]) and linked(rows[i][1], rows[j][1]):
                 parent[root(i)] = root(j)
     ids = {}
     for i, (doc, _) in enumerate(rows):
@@ -136,10 +161,32 @@ def test_odd_rows(spark):
     assert near_dups.keep_one(clash.limit(0)).count() == 0
 
 
+def test_measures():
+    rng = random.Random(12)
+    kinds = Counter()
+    for _ in range(300):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 60))]
+        other = base[: rng.randrange(len(base) + 1)] + [f"v{rng.randrange(60)}" for _ in range(rng.choice([0, 0, 2, 9]))]
+        pair = [" ".join(base * rng.choice([1, 1, 7])), " ".join(other * rng.choice([1, 3]) + base[:9])]
+        if rng.random() < 0.2:  # most of the weight is in what both repeat
+            pair = [" ".join(base * 40 + [f"{side}{i}" for i in range(len(base) // 5 + 6)]) for side in "xy"]
+        part = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(pair)], ["node", "text"])
+        (batch,) = near_dups.shingle_sets(iter([part]))
+        one, two = near_dups.weighted_sets(batch.column("shingles"), batch.column("counts"))
+        assert batch.column("n").to_pylist() == [len(shingle_set(t)) for t in pair]
+        exact = probability_jaccard(*map(weights, pair))
+        assert near_dups.probability_jaccard(one, two) == pytest.approx(exact)
+        assert near_dups.alike(one, two) == linked(*pair)
+        sets = [shingle_set(t) for t in pair]
+        kinds[len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]), exact >= 0.8] += 1
+    assert len(kinds) == 4  # each measure has pairs that the other has not
+
+
 @pytest.mark.parametrize("block", [8, 1024])
 def test_chains_and_groups(spark, monkeypatch, block):
     """Groups around a base, a chain of neighbours, and texts that only share half."""
     monkeypatch.setattr("logloom.llm.near_dups.BLOCK", block)
+    monkeypatch.setattr("logloom.llm.near_dups.BLOCK_SHINGLES", 200 * block)
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(4000)]
     rows = []
@@ -156,6 +203,12 @@ def test_chains_and_groups(spark, monkeypatch, block):
     half = rng.choices(vocabulary, k=100)
     rows += [(i, " ".join(half + rng.choices(vocabulary, k=100))) for i in range(300, 340)]
     rows += [(400, " ".join(half)), (401, " ".join([*half, "x"]))]
+    # Alike by the weights of what they repeat, or only as sets.
+    loud = rng.choices(vocabulary, k=100)
+    for i in range(500, 530):
+        rows.append((i, " ".join(loud * rng.randrange(20, 40) + rng.choices(vocabulary, k=rng.choice([40, 60, 80])))))
+    for i in range(600, 630):
+        rows.append((i, " ".join(base[:280] + rng.choices(vocabulary, k=10) + base[:60] * rng.choice([0, 30]))))
     rng.shuffle(rows)
     assert found(near_dups.classes(frame(spark, rows))) == sorted(all_pairs(rows), key=str)
 

@@ -73,7 +73,11 @@ spread AS (
 prior AS (
     SELECT mean, CASE WHEN between_domains > 0 AND mean > 0 AND mean < 1
         THEN greatest(1, mean * (1 - mean) / between_domains - 1) ELSE greatest(1, n) END AS strength FROM spread),
-verdicts AS (SELECT source, (failed + mean * strength) / (documents + strength) > 0.5 AS strict FROM domains, prior)
+rates AS (
+    SELECT source, documents, mean, strength, (failed + mean * strength) / (documents + strength) AS rate FROM domains, prior),
+verdicts AS (
+    SELECT source, rate - mean > 3 * sqrt(rate * (1 - rate) / (documents + strength + 1))
+        AND rate - mean > sqrt(mean * (1 - mean) / (strength + 1)) AS strict FROM rates)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT hard AND NOT (strict AND soft) AS kept, strict AS domain_strict
 FROM failures JOIN verdicts ON failures.source IS NOT DISTINCT FROM verdicts.source

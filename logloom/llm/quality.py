@@ -3,8 +3,10 @@
 Counts per text are columns of its row: nothing is exploded, so a document's windows never
 leave its task. Rule failures are counted per domain in a partial aggregation, so a domain with
 a third of all documents is a few rows before any shuffle. A domain's failure rate is shrunk
-towards all domains' by a beta prior fitted to the domains (method of moments), and domains whose
-shrunk rate is above a limit become strict: their documents must pass the soft rules as well.
+towards all domains' by a beta prior fitted to the domains (method of moments). Domains that stand out become
+strict: their shrunk rate is above the prior's mean by DEVIATIONS standard deviations of their own posterior, so that
+few documents can't make it by chance, and by SPREADS of the prior's, so that many documents don't make an ordinary domain
+stand out. The documents of strict domains must pass the soft rules as well.
 Verdicts come back to the documents by a join on the domain, one row each.
 
 A document fails the hard rules if it has few words, mostly repeated windows of words, or many
@@ -17,6 +19,7 @@ with the names of NEW are replaced. An empty table gives an empty one, with the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -30,8 +33,9 @@ MIN_WORDS = 20
 #: Shares in percent, compared in whole numbers.
 MAX_REPEATED, MAX_SYMBOLS, MAX_SAME_LINES = 30, 10, 30
 MIN_WORD_CHARS, MAX_WORD_CHARS = 3, 10
-#: A domain is strict if its shrunk share of failing documents is above this.
-STRICT_RATE = 0.5
+#: A domain is strict if its shrunk share of failing documents exceeds the prior's mean by so many standard
+#: deviations of its posterior, and by so many of the prior.
+DEVIATIONS, SPREADS = 3.0, 1.0
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 NEW = [*COUNTS, "base_failed", "hard_failed", "soft_failed"]
 
@@ -117,21 +121,32 @@ def beta_prior(domains: DataFrame) -> DataFrame:
     return prior.select((F.col("mean") * F.col("strength")).alias("alpha"), ((1 - F.col("mean")) * F.col("strength")).alias("beta"))
 
 
-def strict_domains(counted: DataFrame, domain_column: str = "source", strict_rate: float = STRICT_RATE) -> DataFrame:
+def strict_domains(
+    counted: DataFrame, domain_column: str = "source", deviations: float = DEVIATIONS, spreads: float = SPREADS
+) -> DataFrame:
     """`domain`, `documents`, `failed`, `shrunk_rate` and `strict` of each domain."""
     domains = counted.groupBy(F.col(f"`{domain_column}`").alias("domain")).agg(
         F.count(F.lit(1)).alias("documents"), F.sum(F.col("hard_failed").cast("long")).alias("failed")
     )
     prior = beta_prior(domains).first()  # two numbers
-    rate = (F.col("failed") + F.lit(prior["alpha"])) / (F.col("documents") + F.lit(prior["alpha"] + prior["beta"]))
-    return domains.withColumn("shrunk_rate", rate).withColumn("strict", F.col("shrunk_rate") > strict_rate)
-
-
-def judge(counted: DataFrame, domain_column: str = "source", strict_rate: float = STRICT_RATE) -> DataFrame:
+    strength = prior["alpha"] + prior["beta"]
+    mean = prior["alpha"] / strength
+    rate = (F.col("failed") + F.lit(prior["alpha"])) / (F.col("documents") + F.lit(strength))
+    excess, posterior = F.col("shrunk_rate") - F.lit(mean), F.col("documents") + F.lit(strength + 1)
+    by_chance = F.lit(deviations) * F.sqrt(F.col("shrunk_rate") * (1 - F.col("shrunk_rate")) / posterior)
+    usual = F.lit(spreads * math.sqrt(mean * (1 - mean) / (strength + 1)))
+    return domains.withColumn("shrunk_rate", rate).withColumn("strict", (excess > by_chance) & (excess > usual))
+
+
+def judge(
+    counted: DataFrame, domain_column: str = "source", deviations: float = DEVIATIONS, spreads: float = SPREADS
+) -> DataFrame:
     """`counted`, from `with_counts` and settled, with `domain_strict` and `kept`."""
     # Written first, the domains have a known size when the join is planned: while they are few,
     # the documents stay where they are.
-    domains = settle(strict_domains(counted, domain_column, strict_rate).select("domain", F.col("strict").alias("own_strict")))
+    domains = settle(
+        strict_domains(counted, domain_column, deviations, spreads).select("domain", F.col("strict").alias("own_strict"))
+    )
     whole = carried(counted, domain=F.col(f"`{domain_column}`"), hard=F.col("hard_failed"), soft=F.col("soft_failed"))
     found = whole.join(domains, whole["domain"].eqNullSafe(domains["domain"]), "left")
     strict = F.coalesce("own_strict", F.lit(False))

@@ -78,16 +78,9 @@ def op3_template_leaks(spark, sf_dir):
 def op4_url_rules(spark, sf_dir):
     """Every page judged by site rules; pages that none fits, by patterns on the whole URL."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    by_site = url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES))
-    judged = url_filter.judge(
-        by_site.select("page_id", "url", "host", "path", F.struct("rule", "verdict").alias("site")),
-        url_filter.rule_table(spark, URL_PATTERNS),
-    )
-    ruled = F.col("site")["rule"].isNotNull()
-    return judged.select(
-        "page_id", "host", "path", F.col("site")["rule"].alias("rule"),
-        F.when(ruled, F.col("site")["verdict"]).otherwise(F.col("verdict")).alias("verdict"),
-    )
+    judged = url_filter.judge(pages, url_filter.rule_table(spark, [*URL_RULES, *URL_PATTERNS]))
+    of_site = F.col("rule").isin([r.rule for r in URL_RULES])
+    return judged.select("page_id", "host", "path", F.when(of_site, F.col("rule")).alias("rule"), "verdict")
 
 
 @query

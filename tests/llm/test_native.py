@@ -92,7 +92,7 @@ def test_quality_of_odd_rows(spark, tmp_path):
         words = rng.choices(["aa", "bb", "c#", "|", "dd dd", "e\ne", "ünï", "\x0b", "x" * 12], k=rng.randrange(80))
         rows.append((i, " ".join(words), rng.choice(["hot", "hot", "hot", "b", None])))
     found = by_oracle(spark, tmp_path, "op5_domain_quality", "documents", documents(spark, rows))
-    assert {r.domain_strict for r in found.collect()} == {True, False} or found.count()
+    assert found.count() == len(rows)
 
 
 def test_strict_domains_reject_more(spark):
@@ -109,11 +109,36 @@ def test_strict_domains_reject_more(spark):
     assert quality.filter_documents(docs.limit(0)).count() == 0
 
 
+def test_one_bad_host_among_hosts_of_unequal_sizes(spark):
+    """The bad host has a third of all rows; small hosts and those like all others are not strict by chance."""
+    rng = random.Random(8)
+    clean = " ".join(f"word{i}" for i in range(40))
+    lined = "\n".join([clean, *["again"] * 9])
+    bad = "| " * 30
+    sizes = {"bad": 900, "large": 800, **{f"host{i}": 5 + 12 * i for i in range(10)}, **{f"tiny{i}": 1 + i % 3 for i in range(40)}}
+    rows = []
+    for host, n in sizes.items():
+        rate = 0.6 if host == "bad" else 0.1
+        for k in range(n):
+            rows.append((len(rows), lined if k == 0 else bad if rng.random() < rate else clean, host))
+    rows += [(len(rows), bad, "alone"), (len(rows) + 1, bad, None)]
+    counted = settle(quality.with_counts(documents(spark, rows)))
+    strict = {r.domain for r in quality.strict_domains(counted).where("strict").collect()}
+    assert strict == {"bad"}
+    judged = {r.doc_id: r for r in quality.judge(counted).collect()}
+    for i, text, host in rows:
+        assert judged[i].kept == (text == clean or text == lined and host != "bad")
+    # Hosts that are all alike: none stands out.
+    alike = [(i, bad if i % 5 == 0 else clean, f"h{i % 7}") for i in range(700)]
+    same = quality.strict_domains(settle(quality.with_counts(documents(spark, alike))))
+    assert not same.where("strict").count()
+
+
 def test_urls_of_odd_rows(spark, tmp_path):
     urls = [
         None, "", "no scheme", "http://", "HTTP://EXAMPLE.ORG/es/x", "https://a.b.example.org/en/1234", "https://example.org/EN/1", "x://y://example.org/es/",
         "http://notexample.org/es/", "http://example.com/fr/1?utm_source=feed", "http://example.net/?page=2&x&ref=", "http://example.net?page=2&REF=y", "http://com/de/",
-        "http://example.net/a\nb?page=1\n&ref=", "http://exämple.com/de/ü", "http://org/", "http://org", "ftp://x.org/#a", "http://example.net/UTM_SOURCE", "http://example.net/?utm_source=",
+        "http://example.net/a\nb?page=1\n&ref=", "http://exämple.com/de/ü", "http://org/", "http://org", "ftp://x.org/#a", "http://my site.example.org/es/x", "http://a b/c?://example.org/es/", "http://tab\there.org/es", "http://x.org:80/es/", "http://h.example.org:80/es/1", "http://example.net/UTM_SOURCE", "http://example.net/?utm_source=",
     ]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(3, urls[5]), (None, urls[6])], "page_id long, url string")
     by_oracle(spark, tmp_path, "op4_url_rules", "pages", pages)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.operators.clean import clean_log
+from logloom.operators.codes import code_book, with_codes
 from logloom.operators.series import MASKED, weight_series
+from logloom.operators.sparse import as_vectors, sparse_struct
 from logloom.operators.timeline import MAX_ROWS, cut, number_rows, settled
 from logloom.operators.timing import beside
 from logloom.schema import (
@@ -31,26 +32,6 @@ WEIGHT_BINS = 6
 NEWTON_STEPS = 60
 
 
-def code_book(
-    values: DataFrame, column: str, max_rows: int = MAX_ROWS, by: Sequence[str] = ()
-) -> DataFrame:
-    """Distinct non-null values and their codes 0, 1, ... in sorted order, per `by` if given."""
-    words = values.select(*by, column).where(F.col(column).isNotNull()).distinct()
-    words = settle(words.withColumn("_book", F.lit(column)))
-    # A vocabulary too long for one task is numbered slice by slice.
-    book = [*by, "_book"]
-    words = cut(words, max_rows, by=book, order=[column])
-    numbered = number_rows(words, by=book, order=[column], name="code")
-    return numbered.select(*by, column, "code")
-
-
-def with_codes(df: DataFrame, column: str, book: DataFrame) -> DataFrame:
-    """Replace a column's values by their codes; values outside the book become null."""
-    keys = [c for c in book.columns if c != "code"]
-    coded = df.join(book, keys, "left")
-    return coded.withColumn(column, F.col("code")).drop("code").select(*df.columns)
-
-
 def encoded_series(
     spans: DataFrame, columns: Sequence[str] = MASKED
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -81,31 +62,54 @@ def embedding_width(dim: Column) -> Column:
     return F.floor(F.sqrt(dim) / 2).cast("long")
 
 
-def one_hot_model(df: DataFrame, columns: Sequence[str], output: str = "features") -> PipelineModel:
-    """Fits one-hot encoding of text columns; values unseen here become all zeros."""
-    indexed = [f"_{c}_index" for c in columns]
-    vectors = [f"_{c}_vector" for c in columns]
-    # The indexer keeps unseen values as its last index, and the encoder drops the last.
-    stages = [
-        StringIndexer(
-            inputCols=list(columns),
-            outputCols=indexed,
-            stringOrderType="alphabetAsc",
-            handleInvalid="keep",
-        ),
-        OneHotEncoder(inputCols=indexed, outputCols=vectors, dropLast=True),
-        VectorAssembler(inputCols=vectors, outputCol=output),
-    ]
-    return Pipeline(stages=stages).fit(df)
+@dataclass(frozen=True)
+class OneHot:
+    """Places of the values of some text columns: `book` has `position`, `value` and `code`, and `size` rows."""
+
+    columns: Sequence[str]
+    book: DataFrame
+    size: int
+
 
+def in_columns(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
+    """`position` of the column and `value`, a row for each of `columns`."""
+    cells = [F.struct(F.lit(i).alias("position"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)]
+    return df.select(*keep, F.inline(F.array(*cells)))
 
-def one_hot(model: PipelineModel, df: DataFrame, output: str = "features") -> DataFrame:
-    return model.transform(df).select(*df.columns, output)
+
+def one_hot_model(df: DataFrame, columns: Sequence[str], max_rows: int = MAX_ROWS) -> OneHot:
+    """Fits one-hot encoding of text columns; values unseen here, and nulls, become all zeros.
+
+    The values of each column follow those of the columns before it, in sorted order. They stay in a table,
+    which is numbered by slices if it outgrows a task.
+    """
+    # Text that sorts like (position, value).
+    keyed = in_columns(df, columns).where("value IS NOT NULL").select(F.concat(F.lpad(F.col("position").cast("string"), 6, "0"), "value").alias("key"))
+    book = code_book(keyed, "key", max_rows).select(
+        F.substring("key", 1, 6).cast("int").alias("position"), F.expr("substring(key, 7)").alias("value"), F.col("code").cast("int").alias("code")
+    )
+    book = settle(book)
+    return OneHot(tuple(columns), book, book.count())
+
+
+def one_hot(model: OneHot, df: DataFrame, output: str = "features") -> DataFrame:
+    """`df` with the sparse vector `output`, settled: codes by a join, vectors by an aggregation of one code per column."""
+    numbered = settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    cells = in_columns(numbered, model.columns, "_row").where("value IS NOT NULL")
+    codes = (
+        cells.join(model.book, ["position", "value"])
+        .groupBy("_row")
+        .agg(F.array_sort(F.collect_list("code")).alias("_codes"))
+    )
+    found = F.coalesce("_codes", F.array().cast("array<int>"))
+    vector = sparse_struct(F.lit(model.size), found, F.transform(found, lambda _: F.lit(1.0)))
+    whole = numbered.join(codes, "_row", "left").select(*[F.col(f"`{c}`") for c in df.columns], vector.alias(output))
+    return as_vectors(whole, output)
 
 
 def response_features(
     matrix: DataFrame, items: Sequence[str] = tuple(RESPONSE_FEATURE_ITEMS)
-) -> tuple[PipelineModel, DataFrame]:
+) -> tuple[OneHot, DataFrame]:
     """One-hot vectors of each student's answers to some items, and the fitted encoding."""
     model = one_hot_model(matrix, items)
     return model, one_hot(model, matrix.select(*subject(matrix), *items))

@@ -44,6 +44,24 @@ def test_unseen_values_are_all_zeros(spark):
     assert {r["a"]: r["v"] for r in found} == {"2": [0, 1, 0, 1], "7": [0, 0, 1, 0], "1": [1, 0, 0, 0]}
 
 
+@pytest.mark.parametrize("max_rows", [3, 1000])
+def test_one_hot_of_a_sliced_vocabulary(spark, max_rows):
+    """Many values, nulls, repeated rows, and a column that is called like one of the operator's."""
+    data = [(f"v{(i * 7) % 23:02d}" if i % 5 else None, "" if i % 3 == 0 else f"{i % 4}", i) for i in range(60)] + [("v01", "1", 1)] * 3
+    df = spark.createDataFrame(data, "a string, b string, value int")
+    model = encode.one_hot_model(df.where("value < 40"), ["a", "b"], max_rows)
+    known = [sorted({r[k] for r in data if r[2] < 40 and r[k] is not None}) for k in (0, 1)]
+    assert rows(model.book, "code", "position", "value") == sorted(((c, p, v) for c, (p, v) in enumerate((p, v) for p in (0, 1) for v in known[p])), key=lambda r: tuple((x is None, str(x)) for x in r))
+    encoded = encode.one_hot(model, df)
+    assert encoded.columns == ["a", "b", "value", "features"] and encoded.count() == len(data)
+    names = [(p, v) for p in (0, 1) for v in known[p]]
+    for r in encoded.collect():
+        assert r["features"].toArray().tolist() == [float(r[p] == v) for p, v in names]
+    assert encode.one_hot(model, df.limit(0)).collect() == []
+    nothing = encode.one_hot_model(df.limit(0), ["a", "b"])
+    assert {r["features"].size for r in encode.one_hot(nothing, df).collect()} == {0}
+
+
 def test_equal_width_bins(spark):
     df = spark.createDataFrame([(float(x),) for x in (0, 0.9, 1, 3, 5.99, 6)], "w double")
     assert [r[0] for r in encode.equal_width_bins(df, "w").collect()] == [1, 1, 2, 4, 6, 6]

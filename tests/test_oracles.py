@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from logloom.plans.catalog import QUERIES as CATALOG
+from logloom.plans.models import FEATURE_FRACTIONS
 
 DATA = "/root/testdata/sf0.001"
 
@@ -63,7 +64,7 @@ def test_predictions(spark, students, name):
 
 def test_forest_grid(spark):
     found = CATALOG["rf_grid"](spark, DATA).collect()
-    assert {(r["trees"], r["feature_fraction"]) for r in found} == {(t, f) for t in (5, 10) for f in (0.3, 0.6)}
+    assert {(r["trees"], r["feature_fraction"]) for r in found} == {(t, f) for t in (5, 15, 30) for f in FEATURE_FRACTIONS}
     assert all(r["adj_score"] == pytest.approx(r["adj_auc"] + r["adj_kappa"]) for r in found)
     assert all(0 <= r[c] <= 1 for r in found for c in ("adj_auc", "adj_kappa"))
 

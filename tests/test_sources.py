@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import shutil
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -124,3 +126,43 @@ def test_features_are_saved_and_read(spark, make_log, tmp_path):
     series = features.read_sequences(spark, folder, "10", ["item_id"])
     assert rows(series.select(F.size("values")).distinct()) == [(41,)]
     assert rows(series, "task", STUDENT)[0] == ("hidden", 3)
+
+
+def test_a_save_that_fails_half_way_leaves_the_one_before(spark, make_log, tmp_path, monkeypatch):
+    events = make_log([(s, n, "AB"[n % 2], "xyz"[n % 3]) for s in (1, 2) for n in range(10)])
+    labels = spark.createDataFrame([(1, True), (2, False)], f"{STUDENT} long, label boolean")
+    log = events.withColumn("task", F.when(F.col(STUDENT) == 1, "train").otherwise("hidden")).withColumn("batch", F.lit("10"))
+    other = log.where(F.col(VERB) != "z")
+    folder = str(tmp_path / "saved")
+
+    def save(what):
+        features.save_all(what, labels, folder, limit=12, training_log=events)
+
+    save(log)
+    before = rows(features.read_sequences(spark, folder, "10")), rows(features.read_dims(spark, folder, "10"))
+    reader = features.read_dims(spark, folder, "10")
+    assert features.damages(spark, folder).count() == 0
+    write = features.write_table
+
+    def failing(df, path, *more):
+        if path.endswith(features.FEATURES):
+            raise OSError("the disk is full")
+        write(df, path, *more)
+
+    monkeypatch.setattr(features, "write_table", failing)
+    with pytest.raises(OSError, match="full"):
+        save(other)
+    assert (rows(features.read_sequences(spark, folder, "10")), rows(features.read_dims(spark, folder, "10"))) == before
+    monkeypatch.setattr(features, "write_table", write)
+    # A manifest whose writing was cut short doesn't count either.
+    (tmp_path / "saved" / "manifest" / "7").mkdir()
+    save(other)
+    assert features.manifests(spark, folder) == [1, 2]
+    after = rows(features.read_dims(spark, folder, "10"))
+    assert after != before[1] and rows(reader) == before[1]
+    assert features.prune(spark, folder) == 1 and features.manifests(spark, folder) == [2]
+    assert rows(features.read_dims(spark, folder, "10")) == after
+    # Files that don't hold what the manifest says.
+    version = features.current(spark, folder).split("/")[-1]
+    shutil.rmtree(tmp_path / "saved" / version / features.FEATURES / "task=train")
+    assert features.damages(spark, folder).count() > 0

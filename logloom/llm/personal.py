@@ -3,8 +3,9 @@
 Patterns find emails, ip addresses, cards and phones, each kind on its own. The tagger, a
 bidirectional LSTM with CRF transitions, is trained from labelled spans; the samples are invented
 from rules with a fixed seed, `SAMPLES` of them, and need no data. It reads overlapping windows
-around all characters that its kinds cannot be without (ANCHOR: a digit, an at sign, an equals
-sign, or a run of capitals); text far from any has no span by definition of the kinds.
+around all characters that spans which pass its checks cannot be without (ANCHOR: a digit, an at sign, an equals
+sign, or a run of capitals), or, with `whole`, over the whole text: that costs about a hundred times as much and can only add spans
+whose characters the windows around anchors show with too little text beside them.
 The windows' scores meet weighted by how far from its window's ends a character is, and one
 decoding over the whole stretch reconciles them. Stretches longer than PIECE are decoded in
 pieces, and spans that touch at a seam are joined. The tagger's spans of the patterns' kinds must pass the
@@ -101,8 +102,10 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """What the tagger reads of a text: pieces around anchors, in order."""
+def stretches(text: str, whole: bool = False) -> list[tuple[int, int]]:
+    """What the tagger reads of a text: pieces around anchors, or all, in order."""
+    if whole:
+        return [(a, min(a + PIECE, len(text))) for a in range(0, len(text), PIECE)]
     joined: list[list[int]] = []
     for m in ANCHOR.finditer(text):
         a, b = max(0, m.start() - NEAR), min(len(text), m.end() + NEAR)
@@ -126,9 +129,9 @@ def plausible(kind: str, found: str) -> bool:
     return re.fullmatch(r"[A-Za-z0-9_+/=.~-]{12,}", found) is not None and len(set(found)) >= 6 and (re.search("[0-9]", found) is not None or found.isupper())
 
 
-def tagged(texts: list[str], tagger: Tagger) -> list[list[Span]]:
+def tagged(texts: list[str], tagger: Tagger, whole: bool = False) -> list[list[Span]]:
     """The tagger's spans of each text, before any check."""
-    pieces = [(i, a, b) for i, text in enumerate(texts) for a, b in stretches(text)]
+    pieces = [(i, a, b) for i, text in enumerate(texts) for a, b in stretches(text, whole)]
     ids = {i: symbols(texts[i]) for i in {i for i, _, _ in pieces}}
     weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
     out: list[list[Span]] = [[] for _ in texts]
@@ -159,19 +162,19 @@ def tagged(texts: list[str], tagger: Tagger) -> list[list[Span]]:
     ends = {(i, b) for i, _, b in pieces}
     seams = {(i, a) for i, a, _ in pieces} & ends
     for i, spans in enumerate(out):
-        whole: list[Span] = []
+        joined: list[Span] = []
         for kind, a, b in sorted(spans, key=lambda s: s[1:]):
-            if whole and whole[-1][0] == kind and whole[-1][2] == a and (i, a) in seams:
-                a = whole.pop()[1]
-            whole.append((kind, a, b))
-        out[i] = whole
+            if joined and joined[-1][0] == kind and joined[-1][2] == a and (i, a) in seams:
+                a = joined.pop()[1]
+            joined.append((kind, a, b))
+        out[i] = joined
     return out
 
 
-def all_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int, bool]]]:
+def all_spans(texts: list[str], tagger: Tagger, whole: bool = False) -> list[list[tuple[str, int, int, bool]]]:
     """Spans with whether a pattern found them, by kind, then start."""
     out = []
-    for text, more in zip(texts, tagged(texts, tagger), strict=True):
+    for text, more in zip(texts, tagged(texts, tagger, whole), strict=True):
         base = base_spans(text)
         spans = [(*s, True) for s in base]
         for kind, a, b in more:
@@ -277,15 +280,15 @@ def trained(samples: int = SAMPLES, seed: int = 1) -> Tagger:
     return train(invented_samples(samples, seed), KINDS)
 
 
-def find(docs: DataFrame, text_column: str = "text", tagger: Tagger | None = None, redact: bool = False) -> DataFrame:
-    """`docs` with `spans` (SPAN_TYPE) and, if asked for, the `redacted` text."""
+def find(docs: DataFrame, text_column: str = "text", tagger: Tagger | None = None, redact: bool = False, whole: bool = False) -> DataFrame:
+    """`docs` with `spans` (SPAN_TYPE) and, if asked for, the `redacted` text. With `whole`, the tagger reads all of each text."""
     model = docs.sparkSession.sparkContext.broadcast(tagger or trained())
 
     def judged(text: Column) -> Column:
         @F.arrow_udf(f"struct<spans:{SPAN_TYPE},redacted:string>")
         def judge(column: pa.Array) -> pa.Array:
             texts = [x or "" for x in column.to_pylist()]
-            found = all_spans(texts, model.value)
+            found = all_spans(texts, model.value, whole)
             names = ("kind", "start", "end", "base")
             kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
             spans = pa.array([[dict(zip(names, s, strict=True)) for s in row] for row in found], pa.list_(kind))
@@ -294,9 +297,9 @@ def find(docs: DataFrame, text_column: str = "text", tagger: Tagger | None = Non
 
         return judge(text)
 
-    whole = carried(docs, found=judged(F.col(f"`{text_column}`")))
+    rows = carried(docs, found=judged(F.col(f"`{text_column}`")))
     new = {"spans": F.col("found")["spans"]} | ({"redacted": F.col("found")["redacted"]} if redact else {})
-    return restored(whole, docs.columns, **new)
+    return restored(rows, docs.columns, **new)
 
 
 def listed(spans: Column) -> Column:

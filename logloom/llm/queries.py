@@ -111,6 +111,7 @@ def op7_bilstm_crf_pii(spark, sf_dir):
     return found.select(
         "doc_id", *[count(kind) for kind in ("email", "ip", "card", "phone")],
         F.sha2(personal.listed(base).cast("binary"), 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"),
     )
 
 

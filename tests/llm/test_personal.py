@@ -135,3 +135,19 @@ def test_query(spark):
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(","))
         values = [m.span(1) for m in re.finditer(r'(?:token = "|password=)([0-9a-f]+)', docs[r.doc_id])]
         assert {(int(a), int(b)) for k, a, b in spans if k == "secret"} >= set(values)
+
+
+def test_whole_texts(spark):
+    """Reading everything finds what reading around anchors does, and windows over the seams of pieces agree."""
+    samples = personal.invented_samples(40, seed=77)
+    model = personal.trained()
+    texts = [t for t, _ in samples] + ["", "no anchor here", "x" * 3000 + " mail me: a.b@example.org " + "y" * 3000]
+    near, whole = (personal.all_spans(texts, model, whole=w) for w in (False, True))
+    for text, some, more in zip(texts, near, whole, strict=True):
+        assert {s for s in some if s[3]} <= set(more)
+        assert personal.stretches(text, whole=True) == [(a, min(a + personal.PIECE, len(text))) for a in range(0, len(text), personal.PIECE)]
+    some, more = ({(i, *s) for i, row in enumerate(rows) for s in row} for rows in (near, whole))
+    assert len(some & more) >= 0.97 * len(some)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in personal.find(df, whole=True).collect()}
+    assert [got[i] for i in range(len(texts))] == whole

@@ -125,30 +125,35 @@ def equal_width_bins(df: DataFrame, column: str, bins: int = WEIGHT_BINS) -> Dat
     return bounded.withColumn(column, binned).drop("_min", "_max")
 
 
-def pair_counts(clean: DataFrame, labels: DataFrame) -> DataFrame:
-    """`positive` and `negative`: balanced weights of the events of each (item, verb) by label.
-
-    Each label that occurs weighs as much as any other in total, and all events as many as they are.
-    """
+def label_counts(clean: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Events of each (item, verb) by their student's label, `yes` and `no`, settled; per value of `by`, columns of `labels`."""
     events = (
         clean.where(F.col(ITEM).isNotNull() & F.col(VERB).isNotNull())
         .groupBy(STUDENT, ITEM, VERB)
         .count()
-        .join(labels.select(STUDENT, LABEL), STUDENT, "left")
+        .join(labels.select(STUDENT, LABEL, *by), STUDENT, "left")
         .where(F.col(LABEL).isNotNull())
     )
     count = F.col("count")
-    counts = settle(
-        events.groupBy(ITEM, VERB).agg(
+    return settle(
+        events.groupBy(*by, ITEM, VERB).agg(
             F.coalesce(F.sum(F.when(F.col(LABEL), count)), F.lit(0)).alias("yes"),
             F.coalesce(F.sum(F.when(~F.col(LABEL), count)), F.lit(0)).alias("no"),
         )
     )
-    totals = counts.agg(F.sum("yes").alias("_yes"), F.sum("no").alias("_no"))
-    both = beside(counts, totals, [])
+
+
+def balanced(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """`positive` and `negative`: balanced weights of the events of each (item, verb) by label.
+
+    Each label that occurs weighs as much as any other in total, and all events as many as they are.
+    """
+    totals = counts.groupBy(*by).agg(F.sum("yes").alias("_yes"), F.sum("no").alias("_no"))
+    both = beside(counts, totals, by)
     labels_seen = (F.col("_yes") > 0).cast("int") + (F.col("_no") > 0).cast("int")
     share = {n: F.try_divide(F.col("_yes") + F.col("_no"), labels_seen * F.col(f"_{n}")) for n in ("yes", "no")}
     return both.select(
+        *by,
         ITEM,
         VERB,
         F.coalesce(F.col("yes") * share["yes"], F.lit(0.0)).alias("positive"),
@@ -156,6 +161,22 @@ def pair_counts(clean: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def pair_counts(clean: DataFrame, labels: DataFrame) -> DataFrame:
+    """`balanced` counts of all labelled events."""
+    return balanced(label_counts(clean, labels))
+
+
+def without_each_fold(counts: DataFrame) -> DataFrame:
+    """Of counts by `fold`, those of all other folds: the total less the fold's own, pairs that are left with none aside."""
+    folds = [F.lit(r["fold"]) for r in counts.select("fold").distinct().collect()]  # a row per fold
+    totals = counts.groupBy(ITEM, VERB).agg(F.sum("yes").alias("_yes"), F.sum("no").alias("_no"))
+    # One row per fold and pair; a pair that a fold lacks is whole outside it.
+    grid = totals.withColumn("fold", F.explode(F.array(*folds).cast(f"array<{dict(counts.dtypes)['fold']}>")))
+    own = grid.join(counts, ["fold", ITEM, VERB], "left").na.fill(0, ["yes", "no"])
+    rest = own.select("fold", ITEM, VERB, (F.col("_yes") - F.col("yes")).alias("yes"), (F.col("_no") - F.col("no")).alias("no"))
+    return settle(rest.where((F.col("yes") > 0) | (F.col("no") > 0)))
+
+
 def pair_weight(intercept: Column, steps: int = NEWTON_STEPS) -> Column:
     """The best coefficient of a pair for a given intercept.
 
@@ -204,6 +225,45 @@ def verb_weights(clean: DataFrame, labels: DataFrame) -> DataFrame:
     return counts.select(ITEM, VERB, pair_weight(F.lit(intercept)).alias(WEIGHT))
 
 
+def fitted_intercepts(counts: DataFrame, tolerance: float = 1e-10, limit: int = 100) -> dict:
+    """`fitted_intercept` of each fold, all of them in one aggregate per step."""
+    state = {r["fold"]: (0.0, float("-inf"), float("inf")) for r in counts.select("fold").distinct().collect()}  # a row per fold
+    done: dict = {}
+    for _ in range(limit):
+        here = F.lit(0.0)
+        for fold, (b, _, _) in state.items():
+            here = F.when(F.col("fold") == F.lit(fold), F.lit(b)).otherwise(here)
+        left = [fold for fold in state if fold not in done]
+        if not left:
+            return done
+        w = counts.where(F.col("fold").isin(left)).withColumn("b", here).withColumn("w", pair_weight(F.col("b")))
+        p = 1 / (1 + F.exp(-(F.col("w") + F.col("b"))))
+        bend = (F.col("positive") + F.col("negative")) * p * (1 - p)
+        for r in w.groupBy("fold").agg(F.sum("w").alias("total"), F.sum(bend / (1 + bend)).alias("slope")).collect():
+            b, low, high = state[r["fold"]]
+            gap = b - r["total"]
+            if abs(gap) <= tolerance * (1 + abs(b)):
+                done[r["fold"]] = b
+                continue
+            low, high = (low, b) if gap > 0 else (b, high)
+            b = b - gap / (1 + r["slope"])
+            state[r["fold"]] = (b if low < b < high else (low + high) / 2, low, high)
+    raise RuntimeError("an intercept does not settle")
+
+
+def verb_weights_by_fold(clean: DataFrame, folds: DataFrame) -> DataFrame:
+    """For each fold, the verb weights of the students outside it: (fold, item, verb, weight).
+
+    `folds` has the students' label and `fold`. Events are counted once, by fold; what is outside a fold is the
+    total less its own counts, and all folds' intercepts are found together.
+    """
+    counts = settle(balanced(without_each_fold(label_counts(clean, folds, ["fold"])), ["fold"]))
+    intercept = F.lit(0.0)
+    for fold, b in fitted_intercepts(counts).items():
+        intercept = F.when(F.col("fold") == F.lit(fold), F.lit(b)).otherwise(intercept)
+    return counts.select("fold", ITEM, VERB, pair_weight(intercept).alias(WEIGHT))
+
+
 def verb_weight_map(clean: DataFrame, labels: DataFrame) -> DataFrame:
     """(item, verb) -> weight class 1..6."""
     return equal_width_bins(verb_weights(clean, labels), WEIGHT)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.columns import floor_ratio, mean_seconds, seconds_between
@@ -56,6 +56,37 @@ def item_duration_stats(durations: DataFrame, items: Sequence[str] = tuple(ITEMS
     )
 
 
+def item_duration_state(durations: DataFrame, items: Sequence[str] = tuple(ITEMS)) -> DataFrame:
+    """What `item_duration_stats` needs of a log, to be kept and merged: per item `n`, `mean` and `m2`, the sum of squares about the mean."""
+    return (
+        real_items(durations, items)
+        .groupBy(*scope(durations), ITEM)
+        .agg(F.count(DURATION).alias("n"), mean_seconds(F.col(DURATION)).alias("mean"), (F.var_pop(DURATION) * F.count(DURATION)).alias("m2"))
+        .where("n > 0")
+    )
+
+
+def merged_states(*states: DataFrame) -> DataFrame:
+    """The state of all logs together, from the states of each: a new log needs no old one."""
+    keys = [*scope(states[0]), ITEM]
+    stacked = states[0]
+    for state in states[1:]:
+        stacked = stacked.unionByName(state)
+    # A row per item and log.
+    of_item = Window.partitionBy(*keys)
+    centred = stacked.withColumn("_mean", F.sum(F.col("n") * F.col("mean")).over(of_item) / F.sum("n").over(of_item))
+    apart = F.col("mean") - F.col("_mean")
+    return centred.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * apart * apart).alias("m2")
+    )
+
+
+def stats_of_state(state: DataFrame) -> DataFrame:
+    """`item_duration_stats` of the logs that a state is of."""
+    spread = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))
+    return state.select(*scope(state), ITEM, F.col("mean").alias("item_mean"), spread.alias("item_std"))
+
+
 def with_zscore(
     durations: DataFrame,
     items: Sequence[str] = tuple(ITEMS),

@@ -200,6 +200,17 @@ def item_zscore_fitted(spark, sf_dir):
     return scores.select(STUDENT, ITEM, whole(ATTEMPT), rounded("z"))
 
 
+@query
+def item_zscore_merged(spark, sf_dir):
+    """Hidden students against the training students' attempts, of which only three merged states are kept."""
+    times = settle(durations(spark, sf_dir))
+    train = times.where(adapter.is_train())
+    states = [settle(tim.item_duration_state(train.where(F.col(STUDENT) % 3 == k), adapter.ITEMS)) for k in range(3)]
+    merged = tim.merged_states(tim.merged_states(*states[:2]), states[2])
+    scores = tim.with_zscore(times.where(~adapter.is_train()), adapter.ITEMS, tim.stats_of_state(merged))
+    return scores.select(STUDENT, ITEM, whole(ATTEMPT), rounded("z"))
+
+
 @query
 def student_time_stats(spark, sf_dir):
     scores = tim.with_zscore(durations(spark, sf_dir), adapter.ITEMS)
@@ -655,6 +666,15 @@ def verb_weight_map(spark, sf_dir):
     return enc.verb_weight_map(clean_log(log), adapter.labels(spark, sf_dir))
 
 
+@query
+def verb_weights_by_fold(spark, sf_dir):
+    """Verb weights of the students outside each of three folds, from one count by fold."""
+    log = adapter.event_log(spark, sf_dir).where(adapter.is_train())
+    folds = adapter.labels(spark, sf_dir).withColumn("fold", F.floor(F.col(STUDENT) / 2).cast("int") % 3)
+    found = enc.verb_weights_by_fold(clean_log(log), folds)
+    return found.select("fold", ITEM, VERB, F.round("verb_weight", 5).alias("verb_weight"))
+
+
 @query
 def weight_sequences(spark, sf_dir):
     """Weight and duration sequences of all students, padded to the longest."""

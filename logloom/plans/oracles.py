@@ -444,6 +444,8 @@ FROM durations d JOIN (SELECT item_id, avg(duration) AS m, stddev_samp(duration)
                        WHERE student_id % 4 <> 0 GROUP BY item_id) s USING (item_id)
 WHERE d.student_id % 4 = 0""")
 
+ORACLES["item_zscore_merged"] = ORACLES["item_zscore_fitted"]
+
 
 def z_columns(prefix: str = "") -> str:
     return ", ".join(
@@ -659,6 +661,14 @@ SELECT b.student_id, row_number() OVER (PARTITION BY b.student_id ORDER BY b.eve
 FROM binned b LEFT JOIN (SELECT * FROM rate_bins WHERE item_id <> 'IT03') w USING (item_id, observable)""")
 
 add("verb_weight_map", "SELECT item_id, observable, verb_weight FROM weight_classes")
+TRAIN_EVENTS = "WHERE student_id % 4 <> 0 AND item_id IS NOT NULL AND observable IS NOT NULL"
+ORACLES["verb_weights_by_fold"] = "\nUNION ALL\n".join(
+    "SELECT * FROM (" + sql(
+        f"SELECT {fold} AS fold, item_id, observable, round(verb_weight, 5) AS verb_weight FROM weighed",
+        (TRAIN_EVENTS, f"{TRAIN_EVENTS} AND (student_id // 2) % 3 <> {fold}"),
+    ) + ")"
+    for fold in range(3)
+)
 add("weight_sequences", """
 SELECT student_id, position AS start, position AS "end", verb_weight, verb_duration FROM weight_places
 UNION ALL

@@ -107,3 +107,19 @@ def test_unknown_verbs_get_the_neutral_weight(spark, make_log):
 def test_embedding_width(spark):
     df = spark.createDataFrame([(20,), (100,), (3,)], "d int")
     assert [r[0] for r in df.select(encode.embedding_width(F.col("d"))).collect()] == [2, 5, 0]
+
+
+def test_folds_by_subtraction(spark, make_log):
+    """Weights from total less fold equal those fitted to the other folds alone, also for pairs of one fold only."""
+    rng = np.random.default_rng(3)
+    data = [(s, n, "AB"[int(rng.integers(2))], "wxyz"[int(rng.integers(4))]) for s in range(24) for n in range(int(rng.integers(1, 9)))]
+    data += [(3, 50, "C", "rare"), (0, 51, None, "x"), (1, 52, "A", None)]
+    log = clean_log(make_log(data))
+    labels = spark.createDataFrame([(s, s % 5 < 2, s % 4) for s in range(23)], f"{STUDENT} long, label boolean, fold int")
+    found = rows(encode.verb_weights_by_fold(log, labels))
+    for fold in range(4):
+        alone = rows(encode.verb_weights(log, labels.where(F.col("fold") != fold)))
+        own = [r[1:] for r in found if r[0] == fold]
+        assert [r[:2] for r in own] == [r[:2] for r in alone]
+        assert [r[2] for r in own] == pytest.approx([r[2] for r in alone], abs=1e-8)
+    assert not [r for r in found if r[0] == 3 and "rare" in r[2]]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import statistics
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import prepare, timing
 from logloom.schema import ATTEMPT, DURATION, ITEM, STUDENT
+from logloom.session import settle
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +92,18 @@ def test_fitted_stats_score_another_log(times):
     other = times.where(F.col(STUDENT) == 2)
     assert rows(timing.with_zscore(other, ["A"], fitted), "z") == [(1.0,)]
     assert prepare.real_items(other, ["A"]).count() == 1
+
+
+def test_states_of_parts_merge_to_the_whole(spark, make_log):
+    rng = random.Random(3)
+    log = make_log([(s, rng.randrange(5000), rng.choice("ABC"), "x") for s in range(30) for _ in range(12)] + [(90, 1, "Z", "x")])
+    durations = settle(timing.attempt_durations(prepare.preprocess(log)))
+    items = ["A", "B", "C", "Z"]
+    parts = [timing.item_duration_state(durations.where(F.col(STUDENT) % 5 == k), items) for k in range(5)]
+    merged = timing.merged_states(timing.merged_states(*parts[:2]), timing.merged_states(*parts[2:]), parts[0].where("false"))
+    whole = {r[ITEM]: r for r in timing.item_duration_stats(durations, items).collect()}
+    found = {r[ITEM]: r for r in timing.stats_of_state(merged).collect()}
+    assert found.keys() == whole.keys() == set(items)
+    for item, r in whole.items():
+        assert found[item]["item_mean"] == pytest.approx(r["item_mean"])
+        assert found[item]["item_std"] == (None if r["item_std"] is None else pytest.approx(r["item_std"]))

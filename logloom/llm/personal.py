@@ -19,17 +19,21 @@ gives an empty one.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import pickle
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.common import carried, restored
 from logloom.llm.tagger import WINDOW, Span, Tagger, symbols, train
+from logloom.session import shared_folder
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 SAMPLES = 6000
@@ -280,9 +284,26 @@ def trained(samples: int = SAMPLES, seed: int = 1) -> Tagger:
     return train(invented_samples(samples, seed), KINDS)
 
 
+def kept(spark: SparkSession, samples: int = SAMPLES, seed: int = 1) -> Tagger:
+    """The tagger of the invented samples, from the shared folder if a session has left it there.
+
+    It is kept under a digest of the settings and of the code that makes it.
+    """
+    code = "".join(inspect.getsource(x) for x in (invented_samples, inspect.getmodule(Tagger)))
+    digest = hashlib.sha256(f"{KINDS} {samples} {seed} {np.__version__}\n{code}".encode()).hexdigest()
+    path = f"{shared_folder(spark).rstrip('/')}/tagger-{digest}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return pickle.loads(spark.read.parquet(path).first()["tagger"])
+    tagger = trained(samples, seed)
+    table = spark.createDataFrame([(pickle.dumps(tagger),)], "tagger binary")
+    table.coalesce(1).write.mode("overwrite").parquet(path)
+    return tagger
+
+
 def find(docs: DataFrame, text_column: str = "text", tagger: Tagger | None = None, redact: bool = False, whole: bool = False) -> DataFrame:
     """`docs` with `spans` (SPAN_TYPE) and, if asked for, the `redacted` text. With `whole`, the tagger reads all of each text."""
-    model = docs.sparkSession.sparkContext.broadcast(tagger or trained())
+    model = docs.sparkSession.sparkContext.broadcast(tagger or kept(docs.sparkSession))
 
     def judged(text: Column) -> Column:
         @F.arrow_udf(f"struct<spans:{SPAN_TYPE},redacted:string>")

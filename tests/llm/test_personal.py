@@ -151,3 +151,15 @@ def test_whole_texts(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in personal.find(df, whole=True).collect()}
     assert [got[i] for i in range(len(texts))] == whole
+
+
+def test_the_tagger_is_kept(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(personal, "shared_folder", lambda _: str(tmp_path))
+    calls = []
+    monkeypatch.setattr(personal, "trained", lambda samples, seed: calls.append(samples) or personal.train(personal.invented_samples(samples, seed), personal.KINDS))
+    one, again = (personal.kept(spark, samples=40) for _ in range(2))
+    assert calls == [40] and len(list(tmp_path.iterdir())) == 1
+    texts = [t for t, _ in personal.invented_samples(5, seed=9)]
+    assert personal.all_spans(texts, one) == personal.all_spans(texts, again)
+    personal.kept(spark, samples=41)
+    assert calls == [40, 41]

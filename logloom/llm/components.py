@@ -1,4 +1,8 @@
-"""Connected components of a link table, by alternating stars."""
+"""Connected components of a link table, by alternating stars.
+
+Links may be repeated, and in either direction; links of a node to itself, and links with a null end, are none. An empty
+table has no components.
+"""
 
 from __future__ import annotations
 

@@ -4,6 +4,8 @@ A word is a run of bytes other than space, tab, line feed, vertical tab, form fe
 Its 64-bit hash is a polynomial in its bytes, A-Z counted as a-z; differences of running sums
 give the hashes of all words of a segment in a few array operations. Segments end between
 words, so a long text costs no more memory than many short ones.
+
+Texts have no nulls; an empty text, or one of separators only, has no words. Bytes beyond ASCII are part of words.
 """
 
 from __future__ import annotations

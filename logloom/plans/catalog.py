@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.info import clean_info
 from logloom.operators import answers as ans
 from logloom.operators import behaviour as beh
 from logloom.operators import encode as enc
@@ -43,7 +44,15 @@ from logloom.session import scratch_path, settle, tune
 from logloom.sources import adapter
 from logloom.sources.adapter import SECOND
 from logloom.sources.features import read_dims, read_sequences, save_all
-from logloom.sources.files import SOURCE_COLUMNS, read_log_csv, roster_in_batches
+from logloom.sources.files import (
+    SOURCE_COLUMNS,
+    SOURCE_LABEL,
+    read_labels,
+    read_log_csv,
+    read_roster,
+    roster_in_batches,
+    write_table,
+)
 from logloom.sources.nested import events_of, read_student_logs, student_logs, write_student_logs
 from logloom.sources.submission import read_submission, submission_lines, write_submission
 
@@ -426,6 +435,39 @@ def log_csv(spark, sf_dir):
     return read_log_csv(spark, path).select(STUDENT, ITEM, ITEM_TYPE, VERB, INFO, TIME)
 
 
+@query
+def labels_csv(spark, sf_dir):
+    """Labels and roster written as the source's CSV and read again; the roster keeps the order of its file."""
+    paths = [scratch_path(spark) for _ in range(2)]
+    student = F.col(STUDENT).cast("string").alias(SOURCE_COLUMNS[STUDENT])
+    labels, roster = adapter.labels(spark, sf_dir), adapter.roster(spark, sf_dir)
+    labels.select(student, F.col(LABEL).alias(SOURCE_LABEL)).write.option("header", True).csv(paths[0])
+    ordered = roster.repartitionByRange(1, F.desc(STUDENT)).sortWithinPartitions(F.desc(STUDENT))
+    ordered.select(student).write.option("header", True).csv(paths[1])
+    placed = number_rows(read_roster(spark, paths[1]).withColumn("file", F.lit(0)), by=["file"], order=["ord"])
+    return read_labels(spark, paths[0]).join(placed, STUDENT).select(STUDENT, LABEL, "position")
+
+
+@query
+def partitioned_table(spark, sf_dir):
+    """Attempts of all batches in folders by task and batch, written and read again: rows and seconds of each."""
+    path = scratch_path(spark)
+    attempts = lim.nested_attempts(adapter.with_task(event_log(spark, sf_dir)), adapter.BATCH_LIMITS, verbs=False)
+    write_table(attempts, path)
+    saved = spark.read.parquet(path)
+    micros = (F.col(DURATION).cast("decimal(22,6)") * 1_000_000).cast("long")
+    return saved.groupBy("task", F.col("batch").cast("string").alias("batch"), ITEM).agg(
+        F.count(F.lit(1)).alias("attempts"), F.sum(micros).alias("micros")
+    )
+
+
+@query
+def eliminated_choices(spark, sf_dir):
+    """The log with clicks as eliminated options: how often each one is."""
+    log = adapter.event_log(spark, sf_dir).where(F.col(VERB) == "Click Choice").withColumn(VERB, F.lit("Eliminate Choice"))
+    return log.groupBy(ITEM, clean_info(F.col(VERB), F.col(INFO)).alias("option")).agg(F.count(F.lit(1)).alias("events"))
+
+
 @query
 def nested_json(spark, sf_dir):
     """The nested documents written as JSON, read and unfolded again."""
@@ -837,6 +879,14 @@ def forest_prefix_votes(spark, sf_dir):
     return joined.select(whole("trees"), *[rounded(c) for c in joined.columns[1:]])
 
 
+@query
+def best_grid_setting(spark, sf_dir):
+    """The best number of trees of `forest_prefix_votes`; of equal scores the smallest."""
+    scores = forest_prefix_votes(spark, sf_dir).withColumn("feature_fraction", F.lit(0.3))
+    trees, fraction = mod.best_setting(scores, mod.FOREST_PARAMETERS)
+    return scores.where((F.col("trees") == trees) & (F.col("feature_fraction") == fraction)).select("trees", "feature_fraction")
+
+
 @query
 def boosted_lr(spark, sf_dir):
     train, hidden, _ = training(spark, sf_dir)

@@ -539,6 +539,16 @@ FROM dense GROUP BY student_id""")
 
 # --- Sources and back -----------------------------------------------------------------
 add("log_csv", "SELECT student_id, item_id, item_type, observable, ext_info, event_time FROM log")
+add("labels_csv", """
+SELECT student_id, student_id % 2 = 1 AS label, row_number() OVER (ORDER BY student_id DESC) - 1 AS position
+FROM (SELECT DISTINCT student_id FROM log) s""")
+ORACLES["partitioned_table"] = f"""
+SELECT CASE WHEN student_id % 4 <> 0 THEN 'train' ELSE 'hidden' END AS task, batch, item_id, count(*) AS attempts,
+       CAST(sum(CAST(round(duration * 1000000) AS BIGINT)) AS BIGINT) AS micros
+FROM ({ORACLES["nested_attempts"]}) a GROUP BY 1, 2, 3"""
+add("eliminated_choices", """
+SELECT item_id, regexp_extract(ext_info, '_([0-9]:.*)$', 1) AS option, count(*) AS events
+FROM log WHERE observable = 'Click Choice' GROUP BY 1, 2""")
 add("nested_json", """
 SELECT student_id, item_id, n // 1000 AS block,
        row_number() OVER (PARTITION BY student_id, item_id, n // 1000 ORDER BY n) - 1 AS place,
@@ -746,6 +756,8 @@ FROM (WITH averaged AS ({votes}) SELECT greatest(2 * ((SELECT avg(auc) FROM ({au
 
 
 ORACLES["forest_prefix_votes"] = "\nUNION ALL\n".join(f"SELECT * FROM ({prefix_scores(n)})" for n in (5, 15, 30))
+ORACLES["best_grid_setting"] = f"""
+SELECT trees, CAST(0.3 AS DOUBLE) AS feature_fraction FROM ({ORACLES["forest_prefix_votes"]}) v ORDER BY adj_score DESC, trees LIMIT 1"""
 add("metrics_accuracy", """
 SELECT count(*) AS students, count(*) FILTER ((p > 0.5) = (truth = 1)) AS right,
        round(avg(CASE WHEN (p > 0.5) = (truth = 1) THEN 1 ELSE 0 END), 6) AS accuracy FROM guesses""")

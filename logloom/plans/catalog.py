@@ -889,8 +889,9 @@ def best_grid_setting(spark, sf_dir):
 
 @query
 def boosted_lr(spark, sf_dir):
+    """Up to 2,500 rounds; boosting ends at a round that is no better than chance."""
     train, hidden, _ = training(spark, sf_dir)
-    return mod.BoostedRegression(3).fit(train, None).predict(hidden)
+    return mod.BoostedRegression(mod.BOOSTING_ROUNDS[-1]).fit(train, None).predict(hidden)
 
 
 @query

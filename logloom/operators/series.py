@@ -128,12 +128,14 @@ def stacked(frames: Mapping[str, DataFrame]) -> DataFrame:
     """Join per-student arrays of several features into one array of structs.
 
     Each frame holds its array in the column of its name. Arrays of one student must have
-    equal lengths.
+    equal lengths. Files of long runs of equal values are a hundredth of their rows and less, so
+    the joins are sorted ones: by the files' size, Spark would send whole arrays through the driver.
     """
     names = list(frames)
     keys = subject(frames[names[0]])
     joined = reduce(
-        lambda a, b: a.join(b, keys), (f.select(*keys, n) for n, f in frames.items())
+        lambda a, b: a.hint("merge").join(b.hint("merge"), keys),
+        (f.select(*keys, n) for n, f in frames.items()),
     )
     sizes = F.array_distinct(F.array(*[F.size(n) for n in names]))
     checked = F.when(F.size(sizes) == 1, F.arrays_zip(*names)).otherwise(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from logloom.operators import series
 from logloom.operators.clean import clean_log
 from logloom.schema import ITEM, SEQ, STUDENT, VERB
+from logloom.session import settle
 
 
 @pytest.mark.parametrize(
@@ -75,3 +76,15 @@ def test_arrays_wide_and_stacked(make_log):
     frames[VERB] = arrays.select(STUDENT, F.slice(VERB, 1, 2).alias(VERB))
     with pytest.raises(Exception, match="differ in length"):
         series.stacked(frames).collect()
+
+
+def test_arrays_are_stacked_without_broadcasts(spark):
+    """Two thousand students' grids are a few kilobytes in a file and many times that as rows."""
+    spans = spark.range(2000).select(
+        F.col("id").alias(STUDENT), F.lit(0).alias("start"), F.lit(1800).alias("end"), F.lit("A").alias(ITEM), F.lit("x").alias(VERB)
+    )
+    arrays = settle(series.series_arrays(spans, [ITEM, VERB]))
+    stack = series.stacked({c: arrays.select(STUDENT, c) for c in (ITEM, VERB)})
+    plan = stack._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert stack.where(F.size("series") == 1801).count() == 2000

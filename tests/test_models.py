@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from logloom.operators import sparse
 from logloom.plans import folds, metrics, models, routine
-from logloom.schema import STUDENT
+from logloom.schema import LABEL, STUDENT
+from logloom.session import settle
 
 P, TRUTH = metrics.PROBABILITY, metrics.TRUTH
 
@@ -302,3 +303,23 @@ def test_products_of_dense_and_sparse_vectors():
     matrix = rng.normal(size=(4, 3))
     assert np.allclose(models.products(pa.array(data, kind), matrix), values @ matrix)
     assert models.products(pa.array([], kind), matrix).shape == (0, 3)
+
+
+def test_training_rows_are_spread(spark, training):
+    """A table that Spark reads in one task is trained on in several, and always alike."""
+    many = settle(training.crossJoin(spark.range(60).select(F.col("id").alias("copy"))).withColumn(STUDENT, F.col(STUDENT) * 60 + F.col("copy")).coalesce(1))
+    assert many.rdd.getNumPartitions() == 1 and many.count() == 9000
+    parts = models.spread(many)
+    assert parts.rdd.getNumPartitions() == 3 and rows(parts) == rows(many)
+    assert models.spread(training) is training
+    seen = []
+
+    class Watched(models.RandomForestClassifier):
+        def _fit(self, dataset):
+            seen.append(dataset.rdd.getNumPartitions())
+            return super()._fit(dataset)
+
+    watched = Watched(featuresCol="features", labelCol=LABEL, numTrees=2, seed=0)
+    first, again = (models.fitted(many, NAMES, watched) for _ in range(2))
+    assert seen == [3, 3]
+    assert rows(models.probabilities(first, training)) == rows(models.probabilities(again, training))

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from logloom.operators.clean import clean_log
 from logloom.operators.codes import code_book, with_codes
-from logloom.operators.series import MASKED, weight_series
+from logloom.operators.series import MASKED, SECOND, weight_series
 from logloom.operators.sparse import as_vectors, sparse_struct
-from logloom.operators.timeline import MAX_ROWS, cut, number_rows, settled
-from logloom.operators.timing import beside
+from logloom.operators.timeline import MAX_ROWS, SLICE, cut, number_rows, settled
+from logloom.operators.timing import VERB_DURATION, beside
 from logloom.schema import (
     ITEM,
     LABEL,
+    ORDER,
     RESPONSE_FEATURE_ITEMS,
     STUDENT,
     VERB,
@@ -279,3 +280,10 @@ def weight_rows(log: DataFrame, weights: DataFrame, time_bin: int = 1, limit: in
     """Raw events to their weights and durations, numbered along each student's time line."""
     series = weight_series(with_weights(clean_log(log), weights), time_bin, limit)
     return number_rows(settled(series))
+
+
+def weights_of_bins(numbered: DataFrame, weights: DataFrame) -> DataFrame:
+    """`weight_rows` of bins that have been numbered: `weights` has one row per item and verb."""
+    kept = [c for c in (*subject(numbered), SLICE) if c in numbered.columns]
+    weight = F.col(WEIGHT).cast("int").alias(WEIGHT)
+    return with_weights(numbered, weights).select(*kept, *ORDER, SECOND, weight, VERB_DURATION, "position")

@@ -66,6 +66,12 @@ def series_spans(seconds: DataFrame, time_bin: int = 1, limit: int = GRID_SECOND
         {c: F.last(c, ignorenulls=True).over(so_far) for c in values}
         | {"_next": F.lead(SECOND).over(rows)}
     )
+    return _spans(filled, time_bin, limit)
+
+
+def _spans(filled: DataFrame, time_bin: int, limit: int) -> DataFrame:
+    """Spans of observed bins with the values that hold there, and the student's next bin as `_next`."""
+    values = (*MASKED, VERB_DURATION)
     end = F.lit(limit // time_bin).cast("long")
     own = F.struct(
         F.col(SECOND).alias("start"),
@@ -80,14 +86,29 @@ def series_spans(seconds: DataFrame, time_bin: int = 1, limit: int = GRID_SECOND
     )
     rest = F.when(F.col("_next").isNull() & (F.col(SECOND) < end), masked)
     return filled.select(
-        *subject(seconds), F.inline(F.array_compact(F.array(own, rest)))
+        *subject(filled), F.inline(F.array_compact(F.array(own, rest)))
     )
 
 
+def filled_bins(bins: DataFrame) -> DataFrame:
+    """`bins` with, as `_last_...`, the last non-null value of each column up to an event, and as `_next` the bin of the next one.
+
+    They follow the order that binning sorts by, so they cost no other sort.
+    """
+    latest = {f"_last_{c}": F.col(c) for c in (*MASKED, VERB_DURATION)}
+    return along(settled(bins), latest=latest, following={"_next": F.col(SECOND)})
+
+
+def spans_of_bins(filled: DataFrame, time_bin: int = 1, limit: int = GRID_SECONDS) -> DataFrame:
+    """`series_spans` of `last_per_second`, from `filled_bins`: the last event of a bin has its values."""
+    last = filled.where(F.col("_next").isNull() | (F.col("_next") != F.col(SECOND)))
+    values = [F.col(f"_last_{c}").alias(c) for c in (*MASKED, VERB_DURATION)]
+    return _spans(last.select(*subject(filled), SECOND, "_next", *values), time_bin, limit)
+
+
 def second_series(log: DataFrame, time_bin: int = 1, limit: int = GRID_SECONDS) -> DataFrame:
     """From raw events to the spans of each student's dense series."""
-    bins = second_bins(clean_log(log), time_bin, limit)
-    return series_spans(last_per_second(bins), time_bin, limit)
+    return spans_of_bins(filled_bins(second_bins(clean_log(log), time_bin, limit)), time_bin, limit)
 
 
 def dense_rows(spans: DataFrame) -> DataFrame:

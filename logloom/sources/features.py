@@ -19,11 +19,11 @@ from logloom.operators.encode import (
     encoded_series,
     encoding_dims,
     verb_weight_map,
-    weight_rows,
+    weights_of_bins,
 )
 from logloom.operators.clean import clean_log
-from logloom.operators.series import MASKED, second_series
-from logloom.operators.timeline import blocks_of_spans
+from logloom.operators.series import MASKED, filled_bins, second_bins, spans_of_bins
+from logloom.operators.timeline import blocks_of_spans, number_rows, settled
 from logloom.operators.timing import VERB_DURATION
 from logloom.schema import GRID_SECONDS, STUDENT, subject
 from logloom.session import delete, settle
@@ -32,10 +32,12 @@ from logloom.sources.files import write_table
 FEATURES, DIMS, MANIFEST = "features", "dims", "manifest"
 
 
-def sequence_blocks(spans: DataFrame, column: str, size: int = 1000) -> DataFrame:
-    """A column's values per student in order, as blocks (feature, block, values)."""
-    blocks = blocks_of_spans(spans, subject(spans), F.col(column).cast("double"), size=size)
-    return blocks.withColumn("feature", F.lit(column))
+def sequence_blocks(spans: DataFrame, columns: Sequence[str], size: int = 1000) -> DataFrame:
+    """The columns' values per student in order, as blocks (block, values, feature): one shuffle for all of them."""
+    values = F.struct(*[F.col(c).cast("double").alias(c) for c in columns])
+    blocks = blocks_of_spans(spans, subject(spans), values, size=size)
+    features = [F.struct(F.col("values")[c].alias("values"), F.lit(c).alias("feature")) for c in columns]
+    return blocks.select(*subject(spans), "block", F.inline(F.array(*features)))
 
 
 def save_all(
@@ -51,20 +53,19 @@ def save_all(
 
     `log` holds train and hidden logs of every batch; code books are shared by the tasks of
     one batch. `training_log` gives the verb weights: the full log of the training students.
+    The log is cleaned, sorted and binned once, for the series and the weights.
     """
     version = f"{folder}/{uuid.uuid4().hex}"
-    spans = settle(second_series(log, time_bin, limit))
+    filled = filled_bins(second_bins(clean_log(log), time_bin, limit))
+    bins = settle(number_rows(settled(filled)))
+    spans = settle(spans_of_bins(bins, time_bin, limit))
     write_table(encoding_dims(spans), f"{version}/{DIMS}")
     weights = settle(verb_weight_map(clean_log(training_log), labels))
     coded, _ = encoded_series(spans)
     coded = settle(coded)
-    parts = [sequence_blocks(coded, c) for c in MASKED]
-    rows = settle(weight_rows(log, weights, time_bin, limit))
-    filled = settle(padded_spans(rows, {WEIGHT: 0, VERB_DURATION: 0.0}))
-    parts += [sequence_blocks(filled, c) for c in (WEIGHT, VERB_DURATION)]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
+    rows = settle(weights_of_bins(bins, weights))
+    padded = settle(padded_spans(rows, {WEIGHT: 0, VERB_DURATION: 0.0}))
+    stacked = sequence_blocks(coded, MASKED).unionByName(sequence_blocks(padded, (WEIGHT, VERB_DURATION)))
     write_table(stacked, f"{version}/{FEATURES}", ["task", "batch", "feature"])
     publish(log.sparkSession, folder, version)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import series
 from logloom.operators.clean import clean_log
+from logloom.operators.timeline import cut
 from logloom.schema import ITEM, SEQ, STUDENT, VERB
 from logloom.session import settle
 
@@ -88,3 +89,18 @@ def test_arrays_are_stacked_without_broadcasts(spark):
     plan = stack._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert stack.where(F.size("series") == 1801).count() == 2000
+
+
+@pytest.mark.parametrize("max_rows", [1000, 4])
+def test_spans_come_from_the_sort_of_the_bins(make_log, max_rows):
+    """Values, also null ones and those of a cut log, are those of the last events of bins, at one sort."""
+    log = make_log(
+        [(1, 0, None, "x"), (1, 0, "A", None), (1, 0, None, "y"), (1, 2, None, "z"), (1, 2, "B", "z"), (1, 4, "C", "w"), (1, 90, "D", "w")]
+        + [(2, 1, "A", "x"), (2, 5, None, None), (3, 0, None, None)]
+    )
+    bins = series.second_bins(clean_log(cut(log, max_rows)), 1, 5)
+    found = series.spans_of_bins(series.filled_bins(bins), 1, 5)
+    assert rows(found) == rows(series.series_spans(series.last_per_second(bins), 1, 5), *found.columns)
+    if max_rows == 1000:
+        plan = series.second_series(log, 1, 5)._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[-1].count("Exchange") == 1 and "Aggregate" not in plan

@@ -1,0 +1,204 @@
+"""Forests that grow in tasks: against splits tried one by one, Spark's forest, and themselves."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from conftest import rows
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
+
+from logloom.operators.sparse import VECTOR
+from logloom.plans import folds, forest, growing, metrics, models
+from logloom.schema import LABEL, STUDENT
+from logloom.session import settle
+
+P, TRUTH = metrics.PROBABILITY, metrics.TRUTH
+NAMES = ["x_a", "x_b", "x_c"]
+SCHEMA = f"{STUDENT} long, x_a double, x_b double, x_c double, label boolean"
+
+
+@pytest.fixture(scope="module")
+def training(spark):
+    rng = np.random.default_rng(5)
+    data = []
+    for i in range(160):
+        a, b = rng.normal(size=2).round(1)
+        data.append((i, float(a), float(b), float(rng.integers(0, 3)), bool(a + 0.5 * rng.normal() > 0)))
+    return settle(spark.createDataFrame(data, SCHEMA))
+
+
+@pytest.fixture
+def always(monkeypatch):
+    """Every forest grows in tasks."""
+    monkeypatch.setattr(forest, "FEW_TREES", 0)
+
+
+@pytest.fixture(scope="module")
+def small():
+    rng = np.random.default_rng(1)
+    return rng.integers(0, 9, (4, 120)).astype(np.uint8), rng.random(120) < 0.4
+
+
+def test_splits_are_the_best_of_all(small):
+    bins, truth = small
+    rng = np.random.default_rng(2)
+    sizes, row = np.array([40, 1, 30, 2]), rng.integers(0, 120, 73).astype(np.int32)
+    weight = rng.integers(1, 4, 73)
+    counts = weight | (np.where(truth[row], weight, 0) << 32)
+    parts = np.split(np.arange(73), np.cumsum(sizes)[:-1])
+    total, true = (np.array([w[p].sum() for p in parts]) for w in (weight, np.where(truth[row], weight, 0)))
+    chosen = np.array([[0, 1, 2], [1, 2, 3], [3, 0, 1], [2, 3, 0]])
+    feature, threshold, gain = growing.best_splits(bins, row, counts, sizes, total, true, chosen)
+
+    def gini(at):
+        share = np.average(truth[row[at]], weights=weight[at])
+        return 2 * share * (1 - share) * weight[at].sum()
+
+    for i, part in enumerate(parts):
+        tried = {}
+        for f in chosen[i]:
+            value = bins[f, row[part]]
+            for t in np.unique(value)[:-1]:
+                tried[f, t] = gini(part) - gini(part[value <= t]) - gini(part[value > t])
+        best = max(tried.values(), default=0)
+        assert (gain[i] > 0) == (best > 1e-9)
+        if gain[i] > 0:
+            assert tried[feature[i], threshold[i]] == pytest.approx(best)
+
+
+def test_trees_do_not_depend_on_those_beside_them(small, monkeypatch):
+    bins, truth = small
+    votes = [v.tolist() for v in growing.grown(bins, truth, 2, 0, 0, 6, 30).votes(bins)]
+    assert [v.tolist() for v in growing.grown(bins, truth, 2, 0, 4, 2, 30).votes(bins)] == votes[4:]
+    monkeypatch.setattr(growing, "WINDOW", 20)
+    monkeypatch.setattr(growing, "BLOCK_ROWS", 1)
+    blocks = list(growing.grown_blocks(bins, truth, 2, 0, 0, 6, 30))
+    assert [b.first for b in blocks] == list(range(6))
+    assert [v.tolist() for b in blocks for v in b.votes(bins)] == votes
+    # A tree without drawn features to spare grows until its own rows are pure, or as deep as it may.
+    one = growing.grown(bins, truth, 4, 0, 0, 1, 30)
+    drawn = np.random.default_rng([0, 0]).poisson(1.0, 120) > 0
+    assert np.mean((next(one.votes(bins)) > 0.5)[drawn] == truth[drawn]) > 0.95
+    assert (growing.grown(bins, truth, 4, 0, 0, 1, 1).left >= 0).sum() == 1
+
+
+def test_draws(small):
+    keys = growing.mixed(np.arange(3000, dtype=np.uint64))
+    chosen = growing.drawn_features(keys, 10, 3)
+    assert all(len(set(c)) == 3 for c in chosen.tolist())
+    assert np.bincount(chosen.ravel(), minlength=10) == pytest.approx(900, rel=0.12)
+    # A draw without rows is drawn again, and no rows are an error.
+    assert all(growing.bootstrap(np.random.default_rng(s), 1).any() for s in range(20))
+    with pytest.raises(ValueError, match="training rows"):
+        growing.grown(small[0][:, :0], small[1][:0], 1, 0, 0, 1, 3)
+
+
+def test_borders(spark, monkeypatch):
+    """All values of a few, else quantiles of all rows, beside which common values have bins of their own."""
+    n = 1000
+    data = [(i, Vectors.dense([i % 3, 0.0, i if i >= 600 else 0, i])) for i in range(n)]
+    table = settle(spark.createDataFrame(data, [STUDENT, VECTOR]).repartition(5))
+    found = forest.bin_borders(table, n)
+    assert found[0].tolist() == [0.5, 1.5] and found[1].tolist() == []
+    assert 30 <= len(found[2]) <= 33 and found[2][0] == 300
+    assert np.diff(found[2][1:]) == pytest.approx(400 / 32, abs=1.1)
+    assert len(found[3]) == 31 and np.diff(found[3]) == pytest.approx(n / 32, abs=1.1)
+    # In slices, where values are too many for a task.
+    monkeypatch.setattr(forest, "cut", lambda *a, f=forest.cut, **k: f(a[0], 50, **k))
+    assert [b.tolist() for b in forest.bin_borders(table, n)] == [b.tolist() for b in found]
+
+
+def test_forest_in_tasks(spark, training, always, tmp_path):
+    model, found = models.fit_predict(training, training, NAMES, models.random_forest(40))
+    assert isinstance(model, forest.GrownForest)
+    data = found.collect()
+    assert len(data) == 160 and all(r[P] + r["probability_false"] == pytest.approx(1) for r in data)
+    truth = {r[STUDENT]: r[LABEL] for r in training.collect()}
+    assert np.mean([(r[P] > 0.5) == truth[r[STUDENT]] for r in data]) > 0.9
+    # Whatever the partitions; and from a file.
+    other = training.repartition(7).orderBy("x_b")
+    assert rows(models.fit_predict(other, other, NAMES, models.random_forest(40))[1]) == rows(found)
+    path, calls = str(tmp_path / "model"), []
+    for _ in range(2):
+        again = models.load_or_train(path, lambda: calls.append(1) or model, "content")
+    assert len(calls) == 1 and rows(models.probabilities(again, training)) == rows(found)
+    kept = models.probabilities(model, training.withColumn("fold", F.lit(1)), "fold")
+    assert kept.columns == [STUDENT, "fold", "probability_false", P]
+    # Another kind of model takes its place.
+    few = models.pipeline(NAMES, models.random_forest(2)).fit(models.as_training(training))
+    models.load_or_train(path, lambda: few, "other")
+    assert isinstance(models.load_or_train(path, lambda: model, "other"), models.PipelineModel)
+
+
+def test_as_good_as_spark(spark, training, monkeypatch):
+    """The same shares as Spark's forest, but for other draws."""
+    spark_model = models.pipeline(NAMES, models.random_forest(100, 0.6)).fit(models.as_training(training))
+    theirs = {r[STUDENT]: r[P] for r in models.probabilities(spark_model, training).collect()}
+    monkeypatch.setattr(forest, "FEW_TREES", 0)
+    ours = {r[STUDENT]: r[P] for r in models.fit_predict(training, training, NAMES, models.random_forest(100, 0.6))[1].collect()}
+    gaps = np.array([ours[s] - theirs[s] for s in theirs])
+    assert abs(gaps.mean()) < 0.02 and np.abs(gaps).max() < 0.3 and np.abs(gaps).mean() < 0.06
+
+
+def test_rows_beyond_a_task_are_voted_on_in_parts(training, always, monkeypatch):
+    model, found = models.fit_predict(training, training, NAMES, models.random_forest(9))
+    expected = rows(found)
+    monkeypatch.setattr(forest, "MOST_CELLS", 100)
+    monkeypatch.setattr(forest, "BLOCK", 30)
+    assert rows(models.probabilities(model, training)) == expected
+    # Training rows beyond a task are Spark's.
+    assert isinstance(models.fitted(training, NAMES, models.random_forest(9)), models.PipelineModel)
+
+
+def test_odd_rows(spark, training, always):
+    """Students twice or without an id are rows like any other; labels besides 0 and 1 are left to Spark."""
+    model = models.fitted(training, NAMES, models.random_forest(9))
+    one = training.where(f"{STUDENT} < 3")
+    odd = one.unionByName(one).unionByName(one.withColumn(STUDENT, F.lit(None).cast("long")))
+    single = sorted(r[P] for r in models.probabilities(model, one).collect())
+    assert sorted(r[P] for r in models.probabilities(model, odd).collect()) == sorted(single * 3)
+    assert models.probabilities(model, one.where("false")).count() == 0
+    doubled = training.unionByName(training)
+    assert models.fit_predict(doubled, doubled, NAMES, models.random_forest(9))[1].count() == 320
+    unlabelled = training.withColumn(LABEL, F.when(F.col(STUDENT) > 3, F.col(LABEL)))
+    assert forest.in_tasks(models.random_forest(9), models.vectorised(models.as_training(unlabelled), NAMES)) is None
+    assert forest.in_tasks(models.random_forest(9), models.vectorised(models.as_training(training.where("false")), NAMES)) is None
+
+
+def test_grid_in_one_job(training, always):
+    """Its scores are those of forests fitted one by one outside each fold."""
+    table = models.forest_grid(training, NAMES, trees=[1, 15], fractions=[0.5, 1.0])
+    found = {(r["trees"], r["feature_fraction"]): r for r in table.collect()}
+    assert list(found) == [(1, 0.5), (15, 0.5), (1, 1.0), (15, 1.0)]
+    folded = settle(folds.stratified_folds(training, 3))
+    for (trees, fraction), row in found.items():
+        alone = models.cross_predictions(folded, NAMES, models.random_forest(trees, fraction))
+        expected = models.score(settle(alone)).first()
+        # Bins of the one are those of all folds, of the other those of two: nearly the same.
+        assert row["adj_score"] == pytest.approx(expected["adj_score"], abs=0.25)
+        assert row["adj_score"] == pytest.approx(row["adj_auc"] + row["adj_kappa"])
+    assert max(r["adj_score"] for r in found.values()) > 0.8
+
+
+def test_scores_of_groups(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, g, round(float(rng.random()), 1), int(rng.random() < 0.4), i % 3) for i in range(90) for g in (1, 2)]
+    # All in a group alike: no score.
+    data += [(i, 3, 0.2, 0, i % 3) for i in range(9)]
+    table = spark.createDataFrame(data, f"{STUDENT} long, g int, {P} double, {TRUTH} int, fold int")
+    found = {r["g"]: r for r in models.scores_by(table, ["g"]).collect()}
+    for g in (1, 2, 3):
+        expected = models.score(table.where(F.col("g") == g)).first()
+        assert tuple(found[g])[1:] == pytest.approx(tuple(expected))
+
+
+def test_tasks_have_equal_work(spark):
+    fits = [(i, fold, k, 3000) for i, k in enumerate((1, 5, 20)) for fold in range(3)]
+    tasks = forest.pieces_of(spark, fits).collect()
+    assert [t["piece"] for t in tasks] == list(range(len(tasks)))
+    for i, fold, k, trees in fits:
+        own = sorted((t["first"], t["trees"]) for t in tasks if (t["setting"], t["left_out"]) == (i, fold))
+        assert [a for a, _ in own] == [sum(n for _, n in own[:j]) for j in range(len(own))] and sum(n for _, n in own) == trees
+    work = [t["k"] * t["trees"] for t in tasks]
+    assert work == sorted(work, reverse=True) and max(work) <= sum(work) / (8 * spark.sparkContext.defaultParallelism) + 20

@@ -131,6 +131,22 @@ def test_forest_in_tasks(spark, training, always, tmp_path):
     assert isinstance(models.load_or_train(path, lambda: model, "other"), models.PipelineModel)
 
 
+def test_large_forests_never_reach_the_driver(spark, training, monkeypatch):
+    """`rf_predict`'s 20 trees of more than 6,553 rows: no forest of Spark's, whose nodes are on the driver."""
+
+    def driver(self, dataset):
+        raise AssertionError("Spark's forest keeps its nodes on the driver")
+
+    copies = spark.range(45).select(F.col("id").alias("copy"))
+    many = settle(training.crossJoin(copies).withColumn(STUDENT, F.col(STUDENT) * 45 + F.col("copy")).drop("copy"))
+    monkeypatch.setattr(models.RandomForestClassifier, "_fit", driver)
+    model, found = models.fit_predict(many, training, NAMES, models.random_forest(20))
+    assert isinstance(model, forest.GrownForest) and found.count() == 160
+    assert sum(r["trees"] for r in model.table.select("trees").collect()) == 20
+    with pytest.raises(AssertionError, match="on the driver"):
+        models.fitted(training, NAMES, models.random_forest(20))
+
+
 def test_as_good_as_spark(spark, training, monkeypatch):
     """The same shares as Spark's forest, but for other draws."""
     spark_model = models.pipeline(NAMES, models.random_forest(100, 0.6)).fit(models.as_training(training))

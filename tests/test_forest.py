@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import inspect
+from datetime import timedelta
+
 import numpy as np
 import pytest
-from conftest import rows
+from conftest import START, rows
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from logloom.operators.sparse import VECTOR
-from logloom.plans import folds, forest, growing, metrics, models
+from logloom.plans import folds, forest, growing, metrics, models, routine
+from logloom.plans.catalog import QUERIES
 from logloom.schema import LABEL, STUDENT
 from logloom.session import settle
 
@@ -218,3 +222,32 @@ def test_tasks_have_equal_work(spark):
         assert [a for a, _ in own] == [sum(n for _, n in own[:j]) for j in range(len(own))] and sum(n for _, n in own) == trees
     work = [t["k"] * t["trees"] for t in tasks]
     assert work == sorted(work, reverse=True) and max(work) <= sum(work) / (8 * spark.sparkContext.defaultParallelism) + 20
+
+
+def test_the_routine_searches_the_grid(spark, monkeypatch, tmp_path):
+    """The registered query looks for the best of all settings in each batch, and fits that."""
+    events = [
+        (u * 50 + j, START + timedelta(hours=13 * j + u, seconds=u * j), u, ("signup", "click", "view", "purchase")[(u + j) % 4], 1.0, f'{{"k": {(u * 7 + j) % 100}}}')
+        for u in range(24)
+        for j in range(50)
+    ]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(events, schema).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    called = []
+
+    def grid(data, names, *settings, **more):
+        called.append((data.count(), settings, more))
+        return spark.createDataFrame([(3, 0.5, 0.1), (5, 1.0, 0.2)], "trees int, feature_fraction double, adj_score double")
+
+    def best(data, names, scores):
+        called.append(models.best_setting(scores, models.FOREST_PARAMETERS))
+        return models.best_forest(data, names, scores)
+
+    monkeypatch.setattr(routine, "forest_grid", grid)
+    monkeypatch.setattr(routine, "best_forest", best)
+    found = QUERIES["routine_submission"](spark, str(tmp_path)).collect()
+    # No other setting than the search's own: 500, 1,500 and 3,000 trees, 13 fractions, three folds.
+    assert called == [(18, (), {}), (5, 1.0)] * 3
+    own = [p.default for p in inspect.signature(models.forest_grid).parameters.values()][2:6]
+    assert own == [(500, 1500, 3000), tuple(models.FEATURE_FRACTIONS), 3, 30] and len(own[1]) == 13
+    assert {r["ord"] for r in found} == {0, 4, 8, 12, 16, 20}

@@ -151,6 +151,19 @@ def test_large_forests_never_reach_the_driver(spark, training, monkeypatch):
         models.fitted(training, NAMES, models.random_forest(20))
 
 
+def test_the_best_of_the_search_never_reaches_the_driver(spark, training, monkeypatch):
+    """Forests of the routine's sizes grow in tasks whatever the rows."""
+
+    def driver(self, dataset):
+        raise AssertionError("Spark's forest keeps its nodes on the driver")
+
+    monkeypatch.setattr(models.RandomForestClassifier, "_fit", driver)
+    scores = spark.createDataFrame([(500, 0.3, 0.5)], "trees int, feature_fraction double, adj_score double")
+    model = models.best_forest(training, NAMES, scores)
+    assert isinstance(model, forest.GrownForest) and model.trees == 500
+    assert sum(r["trees"] for r in model.table.select("trees").collect()) == 500
+
+
 def test_as_good_as_spark(spark, training, monkeypatch):
     """The same shares as Spark's forest, but for other draws."""
     spark_model = models.pipeline(NAMES, models.random_forest(100, 0.6)).fit(models.as_training(training))
